@@ -21,18 +21,20 @@ VERDICT_RULES = [
 VERDICT_DEFAULT = "Other"
 
 # --- question 2, automated vehicle ------------------------------------------
-# (pattern, replacement), applied in this order.
-AV_PATTERN_REWRITES = [
-    (
-        r"Autonomous Vehicle:|Vehicle 1 \(Autonomous Vehicle\):|Vehicle 1 \(Automated Vehicle\):"
-        r"|The automated vehicle was a|The autonomous vehicle was a"
-        r"|One vehicle was involved: a|Vehicle 1:",
-        "Automated Vehicle:",
-    ),
-    (r"\*\*Automated Vehicle:\*\*", "Automated Vehicle:"),
-    (r"Apple Inc.", "Apple"),
+# Phrases that introduce the automated vehicle, and the heading that replaces them.
+AV_LEAD_INS = [
+    "Autonomous Vehicle:",
+    "Vehicle 1 (Autonomous Vehicle):",
+    "Vehicle 1 (Automated Vehicle):",
+    "The automated vehicle was a",
+    "The autonomous vehicle was a",
+    "One vehicle was involved: a",
+    "Vehicle 1:",
 ]
-# (text, replacement), applied after the patterns, in this order.
+AV_HEADING = "Automated Vehicle:"
+AV_BOLD_HEADING = "**Automated Vehicle:**"
+AV_PATTERN_REWRITES = [(r"Apple Inc.", "Apple")]
+# (text, replacement), applied in this order.
 AV_TEXT_REWRITES = [
     ("(Not Specified)", "Unknown"),
     (" (indicated by a blank space)", ""),
@@ -102,11 +104,14 @@ MODEL_NAMES = [("av", "Unknown"), ("3", "Model 3"), ("x", "Model X"), ("s", "Mod
 UNKNOWN = "Unknown"
 
 # --- question 2, other road user --------------------------------------------
-ROAD_USER_LEAD_INS = (
-    r"Other Involved Road User:|The other involved party was a"
-    r"|The other involved road user was the|other party was a|road user was a"
-    r"|Other Involved Party:"
-)
+ROAD_USER_LEAD_INS = [
+    "Other Involved Road User:",
+    "The other involved party was a",
+    "The other involved road user was the",
+    "other party was a",
+    "road user was a",
+    "Other Involved Party:",
+]
 ROAD_USER_HEADING = "Other Road User:"
 ROAD_USER_BOLD_HEADING = "**Other Road User:**"
 ROAD_USER_PATTERN = r"Other Road User: \s*([^\n]*)"
@@ -126,7 +131,8 @@ ROAD_USER_VEHICLE_HEADINGS = ["Other Vehicle:", "Vehicle 2:", "Other Car:"]
 ROAD_USER_IN_VEHICLE = "Driver in vehicle"
 
 # --- question 2, other vehicle ----------------------------------------------
-OTHER_VEHICLE_LEAD_INS = (r"Vehicle 2:|Hyundai:|Other Car:", "Other Vehicle:")
+OTHER_VEHICLE_LEAD_INS = ["Vehicle 2:", "Hyundai:", "Other Car:"]
+OTHER_VEHICLE_HEADING = "Other Vehicle:"
 OTHER_VEHICLE_TEXT_REWRITES = [
     ("**Other Vehicle:**", "Other Vehicle:"),
     ("Make:", "Brand"),

@@ -37,9 +37,17 @@ def regex(pattern: str, flags: str = "Ud") -> str:
     return f"(?{flags})" + pattern.replace(r"\s", r"[\s\x1c-\x1f]")
 
 
-def capture(col: Column, pattern: str, group: int, flags: str = "Ud") -> Column:
-    """Group of the first match; null without a match or with an empty group."""
-    return F.nullif(F.regexp_extract(col, regex(pattern, flags), group), F.lit(""))
+def extract(col: Column, pattern: str, group: int, flags: str = "Ud") -> Column:
+    """Group of the first match; ``''`` without a match."""
+    return F.regexp_extract(col, regex(pattern, flags), group)
+
+
+def found(raw: Column) -> Column:
+    """Stripped capture, null where the pattern did not match.
+
+    ``raw`` should be a column, not an expression: it is read twice.
+    """
+    return F.when(raw != "", strip(raw))
 
 
 def matches(col: Column, pattern: str, flags: str = "Ud") -> Column:
@@ -56,13 +64,18 @@ def extract_answer(col: Column, question: int) -> Column:
     return strip(F.regexp_extract(text_or_empty(col), pattern, 1))
 
 
+def raw_labelled_field(col: Column, label: str, stop: str = r"*\n.") -> Column:
+    """Text behind a bold ``**Label:**`` up to the first stop character, not stripped."""
+    name = re.escape(label).replace(r"\ ", " ")
+    return extract(col, rf"\*\*{name}:\*\*\s*([^{stop}]+)", 1)
+
+
 def labelled_field(col: Column, label: str, stop: str = r"*\n.") -> Column:
     """Value behind a bold ``**Label:**`` up to the first stop character.
 
     Null when the label is absent; may be ``''`` when only blanks follow it.
     """
-    name = re.escape(label).replace(r"\ ", " ")
-    return strip(capture(col, rf"\*\*{name}:\*\*\s*([^{stop}]+)", 1))
+    return strip(F.nullif(raw_labelled_field(col, label, stop), F.lit("")))
 
 
 def rewrite(col: Column, pairs) -> Column:
@@ -70,6 +83,11 @@ def rewrite(col: Column, pairs) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, col)
 
 
+def unify(col: Column, phrases, heading: str) -> Column:
+    """Replace each of the phrases by one heading."""
+    return rewrite(col, [(phrase, heading) for phrase in phrases])
+
+
 def rewrite_patterns(col: Column, pairs) -> Column:
     """Replace patterns one after the other, in the given order."""
     return reduce(lambda c, p: F.regexp_replace(c, regex(p[0]), p[1]), pairs, col)
@@ -98,9 +116,9 @@ def presence_flag(present: Column, absent: Column) -> Column:
     return F.when(present, F.lit(True)).when(absent, F.lit(False))
 
 
-def choice_flag(col: Column, pattern: str, positive: str) -> Column:
-    """Whether the first captured choice is ``positive``; null without a match."""
-    return F.lower(capture(col, pattern, 1, flags="Uid")) == positive
+def choice_flag(raw: Column, positive: str) -> Column:
+    """Whether a captured choice is ``positive``; null where nothing was captured."""
+    return F.when(raw != "", F.lower(raw) == positive)
 
 
 def pretty_label(col: Column) -> Column:

@@ -1,13 +1,18 @@
 """Question operators: one answer column in, category columns out.
 
-Each operator adds columns to a DataFrame in stages.  A stage names its result,
-so that an expression used by several rules is evaluated once per row, and a
-query that needs one category only pays for that category: the optimizer drops
-every stage nobody reads.  There is no shuffle and no Python worker here.
+An operator returns *stages*: dictionaries of columns, to be added one after the
+other.  A stage names its results, so that an expression that several rules read
+is evaluated once per row; helper columns start with ``_`` and are dropped at the
+end.  A query that needs one category only pays for that category, as the
+optimizer drops every stage nobody reads.  There is no shuffle and no Python
+worker here.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import zip_longest
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +20,20 @@ from ..functions import fixed_values as V
 from ..functions import rules as R
 from ..functions import text as T
 
+Stages = list[dict[str, Column]]
+
 
 def _null() -> Column:
     return F.lit(None).cast("string")
 
 
-def verdict(df: DataFrame, source: str, target: str) -> DataFrame:
+def _answer(source: str) -> Column:
+    return T.text_or_empty(F.col(source))
+
+
+def verdict(source: str, target: str) -> Stages:
     """Yes / No / Other."""
-    answer = T.text_or_empty(F.col(source))
-    return df.withColumn(target, R.first_match(answer, V.VERDICT_RULES, V.VERDICT_DEFAULT))
+    return [{target: R.first_match(_answer(source), V.VERDICT_RULES, V.VERDICT_DEFAULT)}]
 
 
 def _vehicle(brand, model, year) -> Column:
@@ -34,7 +44,7 @@ def _vehicle(brand, model, year) -> Column:
     ])
 
 
-def automated_vehicle(df: DataFrame, source: str, target: str) -> DataFrame:
+def automated_vehicle(source: str, target: str) -> Stages:
     """``<target>_brand``, ``<target>_model`` and ``<target>_year``; never null or empty.
 
     A known phrase decides alone.  Otherwise the first pattern that yields a brand
@@ -42,102 +52,103 @@ def automated_vehicle(df: DataFrame, source: str, target: str) -> DataFrame:
     that an earlier pattern found next to a blank brand.
     """
     text, found, low = f"_{target}_text", f"_{target}_found", f"_{target}_low"
-    brand, model, year = (f"{target}_{part}" for part in ("brand", "model", "year"))
-    model_low = f"_{target}_model_low"
+    brand, model, model_low = f"_{target}_brand", f"_{target}_model", f"_{target}_model_low"
 
-    clean = T.rewrite_patterns(T.text_or_empty(F.col(source)), V.AV_PATTERN_REWRITES)
-    df = df.withColumn(text, T.rewrite(clean, V.AV_TEXT_REWRITES))
+    clean = T.unify(_answer(source), V.AV_LEAD_INS, V.AV_HEADING)
+    clean = T.rewrite(clean, [(V.AV_BOLD_HEADING, V.AV_HEADING)])
+    clean = T.rewrite(T.rewrite_patterns(clean, V.AV_PATTERN_REWRITES), V.AV_TEXT_REWRITES)
 
     t = F.col(text)
 
-    def group(pattern: str, number: int) -> Column:
-        return T.capture(t, pattern, number)
-
     def full(pattern: str) -> Column:
-        return _vehicle(T.strip(group(pattern, 2)), T.strip(group(pattern, 3)), group(pattern, 1))
+        return _vehicle(
+            T.strip(T.extract(t, pattern, 2)), T.strip(T.extract(t, pattern, 3)), T.extract(t, pattern, 1)
+        )
 
-    chain = None
+    def brand_only(pattern: str) -> Column:
+        return _vehicle(T.strip(T.extract(t, pattern, 2)), None, T.extract(t, pattern, 1))
+
+    rules = None
     for phrases, *known in V.AV_KNOWN_PHRASES:
         test = R.contains_any(t, phrases)
-        chain = F.when(test, _vehicle(*known)) if chain is None else chain.when(test, _vehicle(*known))
-    for pattern in (V.AV_YEAR_BRAND_MODEL, V.AV_BARE_YEAR_BRAND_MODEL):
-        chain = chain.when(T.matches(t, pattern), full(pattern))
-    named = T.strip(group(V.AV_YEAR_BRAND, 2))
-    free = T.strip(group(V.AV_FREE_TEXT, 2))
-    chain = (
-        chain.when(named != "", _vehicle(named, None, group(V.AV_YEAR_BRAND, 1)))
-        .when(free.isNotNull(), _vehicle(free, None, group(V.AV_FREE_TEXT, 1)))
+        rules = F.when(test, _vehicle(*known)) if rules is None else rules.when(test, _vehicle(*known))
+    rules = (
+        rules.when(T.matches(t, V.AV_YEAR_BRAND_MODEL), full(V.AV_YEAR_BRAND_MODEL))
+        .when(T.matches(t, V.AV_BARE_YEAR_BRAND_MODEL), full(V.AV_BARE_YEAR_BRAND_MODEL))
+        .when(T.strip(T.extract(t, V.AV_YEAR_BRAND, 2)) != "", brand_only(V.AV_YEAR_BRAND))
+        .when(T.matches(t, V.AV_FREE_TEXT), brand_only(V.AV_FREE_TEXT))
         .otherwise(_vehicle(None, None, None))
     )
-    df = df.withColumn(found, chain)
-    df = df.withColumn(low, F.lower(F.col(f"{found}.brand")))
 
     raw_brand = F.col(f"{found}.brand")
     kept = F.when(R.contains_any(raw_brand, V.NOT_A_BRAND), _null()).otherwise(raw_brand)
-    df = df.withColumn(brand, R.first_match(F.col(low), V.BRAND_NAMES, kept))
-
     part, part_model = V.TESLA_MODEL_IN_BRAND
     in_brand = (F.col(brand) == "Tesla") & F.contains(F.col(low), F.lit(part))
-    df = df.withColumn(model, F.when(in_brand, F.lit(part_model)).otherwise(F.col(f"{found}.model")))
-    df = df.withColumn(model_low, F.lower(F.col(model)))
-
-    named_model = F.when(F.contains(F.col(model_low), F.lit(V.MODEL_UNKNOWN_PART)), F.lit(V.UNKNOWN))
+    named = F.when(F.contains(F.col(model_low), F.lit(V.MODEL_UNKNOWN_PART)), F.lit(V.UNKNOWN))
     for value, name in V.MODEL_NAMES:
-        named_model = named_model.when(F.col(model_low) == value, F.lit(name))
-    return df.withColumns({
-        brand: R.default_if_blank(F.col(brand), V.UNKNOWN),
-        model: R.default_if_blank(named_model.otherwise(F.col(model)), V.UNKNOWN),
-        year: R.default_if_blank(F.col(f"{found}.year"), V.UNKNOWN),
-    }).drop(text, found, low, model_low)
-
-
-def always_null(df: DataFrame, source: str, target: str) -> DataFrame:
+        named = named.when(F.col(model_low) == value, F.lit(name))
+
+    return [
+        {text: clean},
+        {found: rules},
+        {low: F.lower(raw_brand)},
+        {brand: R.first_match(F.col(low), V.BRAND_NAMES, kept)},
+        {model: F.when(in_brand, F.lit(part_model)).otherwise(F.col(f"{found}.model"))},
+        {model_low: F.lower(F.col(model))},
+        {
+            f"{target}_brand": R.default_if_blank(F.col(brand), V.UNKNOWN),
+            f"{target}_model": R.default_if_blank(named.otherwise(F.col(model)), V.UNKNOWN),
+            f"{target}_year": R.default_if_blank(F.col(f"{found}.year"), V.UNKNOWN),
+        },
+    ]
+
+
+def always_null(source: str, target: str) -> Stages:
     """The driving mode is not derived; the column is there and always null."""
-    return df.withColumn(target, _null())
+    return [{target: _null()}]
 
 
-def no_rule(df: DataFrame, source: str, target: str) -> DataFrame:
+def no_rule(source: str, target: str) -> Stages:
     """Questions without a rule get one constant."""
-    return df.withColumn(target, F.lit(V.NO_RULE))
+    return [{target: F.lit(V.NO_RULE)}]
 
 
-def other_road_user(df: DataFrame, source: str, target: str) -> DataFrame:
+def other_road_user(source: str, target: str) -> Stages:
     """Kind of the other road user; the captured text when no kind fits, else null."""
     text, user, low = f"_{target}_text", f"_{target}_user", f"_{target}_low"
-    lead_ins = [(V.ROAD_USER_LEAD_INS, V.ROAD_USER_HEADING)]
-    clean = T.rewrite_patterns(T.text_or_empty(F.col(source)), lead_ins)
-    df = df.withColumn(text, T.rewrite(clean, [(V.ROAD_USER_BOLD_HEADING, V.ROAD_USER_HEADING)]))
+    clean = T.unify(_answer(source), V.ROAD_USER_LEAD_INS, V.ROAD_USER_HEADING)
+    clean = T.rewrite(clean, [(V.ROAD_USER_BOLD_HEADING, V.ROAD_USER_HEADING)])
     # The heading and one blank are enough for a match, the capture may be empty.
-    captured = F.regexp_extract(F.col(text), T.regex(V.ROAD_USER_PATTERN), 1)
     has_heading = F.contains(F.col(text), F.lit(V.ROAD_USER_HEADING + " "))
-    df = df.withColumn(user, F.when(has_heading, captured))
-    df = df.withColumn(low, F.lower(F.col(user)))
+    captured = F.when(has_heading, T.extract(F.col(text), V.ROAD_USER_PATTERN, 1))
 
     by_kind = R.first_match(F.col(low), V.ROAD_USER_KINDS, T.strip(F.col(user)))
     by_heading = R.first_match(
         F.col(text), [(V.ROAD_USER_VEHICLE_HEADINGS, V.ROAD_USER_IN_VEHICLE)]
     )
     fallback = F.when(F.col(user).isNotNull(), by_kind).otherwise(by_heading)
-    return df.withColumn(target, R.first_match(F.col(text), V.ROAD_USER_PHRASES, fallback)).drop(
-        text, user, low
-    )
+    return [
+        {text: clean},
+        {user: captured},
+        {low: F.lower(F.col(user))},
+        {target: R.first_match(F.col(text), V.ROAD_USER_PHRASES, fallback)},
+    ]
 
 
-def other_vehicle(df: DataFrame, source: str, target: str) -> DataFrame:
+def other_vehicle(source: str, target: str) -> Stages:
     """Name of the other vehicle; null when there is none, ``''`` when only a cut-off tail was given."""
     text, name = f"_{target}_text", f"_{target}_name"
-    clean = T.rewrite_patterns(T.text_or_empty(F.col(source)), [V.OTHER_VEHICLE_LEAD_INS])
-    df = df.withColumn(text, T.rewrite(clean, V.OTHER_VEHICLE_TEXT_REWRITES))
+    clean = T.unify(_answer(source), V.OTHER_VEHICLE_LEAD_INS, V.OTHER_VEHICLE_HEADING)
+    clean = T.rewrite(clean, V.OTHER_VEHICLE_TEXT_REWRITES)
 
     t = F.col(text)
-    brand = T.strip(T.capture(t, V.OTHER_VEHICLE_YEAR_BRAND_MODEL, 2))
-    model = T.strip(T.capture(t, V.OTHER_VEHICLE_YEAR_BRAND_MODEL, 3))
-    df = df.withColumn(
-        name,
+    brand, model = (T.strip(T.extract(t, V.OTHER_VEHICLE_YEAR_BRAND_MODEL, n)) for n in (2, 3))
+    # No match of the free-text pattern and a blank one both end as null in the last stage.
+    named = (
         F.when(R.contains_any(t, V.OTHER_VEHICLE_NONE_PHRASES), _null())
         .when(T.matches(t, V.OTHER_VEHICLE_YEAR_BRAND_MODEL), T.strip(F.concat_ws(" ", brand, model)))
         .when(F.contains(t, F.lit(V.OTHER_VEHICLE_TRUCK_PHRASE)), F.lit(V.OTHER_VEHICLE_TRUCK))
-        .otherwise(T.strip(T.capture(t, V.OTHER_VEHICLE_FREE_TEXT, 2))),
+        .otherwise(T.strip(T.extract(t, V.OTHER_VEHICLE_FREE_TEXT, 2)))
     )
     value = R.exact_map(
         F.col(name),
@@ -145,28 +156,24 @@ def other_vehicle(df: DataFrame, source: str, target: str) -> DataFrame:
     )
     for marker, ending in V.OTHER_VEHICLE_CUTS:
         value = T.cut_tail(value, marker, ending)
-    return df.withColumn(target, value).drop(text, name)
+    return [{text: clean}, {name: named}, {target: value}]
 
 
-def environment(df: DataFrame, source: str, target: str) -> DataFrame:
+def environment(source: str, target: str) -> Stages:
     """Struct of the labelled conditions."""
-    answer = T.text_or_empty(F.col(source))
-    fields = [T.labelled_field(answer, label).alias(name) for name, label in V.ENVIRONMENT_LABELS]
-    return df.withColumn(target, F.struct(*fields))
+    raw = {name: f"_{target}_{name}" for name, _ in V.ENVIRONMENT_LABELS}
+    fields = [T.found(F.col(column)).alias(name) for name, column in raw.items()]
+    return [
+        {raw[name]: T.raw_labelled_field(_answer(source), label) for name, label in V.ENVIRONMENT_LABELS},
+        {target: F.struct(*fields)},
+    ]
 
 
-def damage(df: DataFrame, source: str, target: str) -> DataFrame:
+def damage(source: str, target: str) -> Stages:
     """Struct of collision type, damage severity and descriptions, injury flag."""
-    answer, damages, described, low, hurt = (
-        f"_{target}_{part}" for part in ("answer", "damages", "described", "low", "hurt")
+    kind, damages, hurt, av, other, low = (
+        f"_{target}_{part}" for part in ("kind", "damages", "hurt", "av", "other", "low")
     )
-    df = df.withColumn(answer, T.text_or_empty(F.col(source)))
-    df = df.withColumns({
-        damages: T.labelled_field(F.col(answer), V.DAMAGE_LABEL, stop="*"),
-        hurt: T.labelled_field(F.col(answer), V.INJURIES_LABEL, stop="*"),
-    })
-    df = df.withColumn(described, T.strip(T.capture(F.col(damages), V.AV_DAMAGE_PATTERN, 2, "Uid")))
-    df = df.withColumn(low, F.lower(F.col(described)))
     severity = R.first_match(
         F.col(low), [(words, name) for name, words in V.DAMAGE_CATEGORIES.items()], V.DAMAGE_DEFAULT
     )
@@ -175,59 +182,78 @@ def damage(df: DataFrame, source: str, target: str) -> DataFrame:
         & ~T.matches(F.col(hurt), V.NO_INJURY_PATTERN, "Uid"),
         F.contains(F.lower(F.col(hurt)), F.lit(V.NO_INJURIES_TEXT)),
     )
-    return df.withColumn(
-        target,
-        F.struct(
-            T.labelled_field(F.col(answer), V.COLLISION_LABEL).alias("collision_type"),
-            severity.alias("av_damage_category"),
-            F.col(described).alias("av_damage_description"),
-            T.strip(T.capture(F.col(damages), V.OTHER_DAMAGE_PATTERN, 2, "Uid")).alias(
-                "other_vehicle_damage"
-            ),
-            injuries.alias("injuries"),
-        ),
-    ).drop(answer, damages, described, low, hurt)
-
-
-def responsibility(df: DataFrame, source: str, target: str) -> DataFrame:
+    return [
+        {
+            kind: T.raw_labelled_field(_answer(source), V.COLLISION_LABEL),
+            damages: T.strip(T.raw_labelled_field(_answer(source), V.DAMAGE_LABEL, stop="*")),
+            hurt: T.strip(T.raw_labelled_field(_answer(source), V.INJURIES_LABEL, stop="*")),
+        },
+        {
+            av: T.extract(F.col(damages), V.AV_DAMAGE_PATTERN, 2, "Uid"),
+            other: T.extract(F.col(damages), V.OTHER_DAMAGE_PATTERN, 2, "Uid"),
+        },
+        {low: F.lower(F.col(av))},
+        {
+            target: F.struct(
+                T.found(F.col(kind)).alias("collision_type"),
+                severity.alias("av_damage_category"),
+                T.found(F.col(av)).alias("av_damage_description"),
+                T.found(F.col(other)).alias("other_vehicle_damage"),
+                injuries.alias("injuries"),
+            )
+        },
+    ]
+
+
+def responsibility(source: str, target: str) -> Stages:
     """Struct of the at-fault flag and the contributing factors (``[]`` when none)."""
-    answer, low = f"_{target}_answer", f"_{target}_low"
-    df = df.withColumn(answer, T.text_or_empty(F.col(source)))
-    df = df.withColumn(low, F.lower(F.col(answer)))
-    a = F.col(answer)
+    quoted, plain = f"_{target}_quoted", f"_{target}_plain"
+    a = _answer(source)
     # The plain text test spares most rows the two backtracking searches.
-    mentioned = F.contains(F.col(low), F.lit(V.FAULT_TEXT))
     at_fault = F.when(
-        mentioned,
+        F.contains(F.lower(a), F.lit(V.FAULT_TEXT)),
         T.presence_flag(
             T.matches(a, V.AV_FAULT_PATTERN, "Uid"), T.matches(a, V.OTHER_FAULT_PATTERN, "Uid")
         ),
     )
-    quoted = T.capture(a, V.FACTORS_QUOTED_PATTERN, 1, "d")
-    plain = T.strip(T.capture(a, V.FACTORS_PLAIN_PATTERN, 1))
-    factors = F.coalesce(
-        T.split_keep(quoted), T.split_list(plain), F.array().cast("array<string>")
+    factors = (
+        F.when(F.col(quoted) != "", T.split_keep(F.col(quoted)))
+        .when(F.col(plain) != "", T.split_list(T.strip(F.col(plain))))
+        .otherwise(F.array().cast("array<string>"))
     )
-    return df.withColumn(
-        target, F.struct(at_fault.alias("av_at_fault"), factors.alias("contributing_factors"))
-    ).drop(answer, low)
+    return [
+        {
+            quoted: T.extract(a, V.FACTORS_QUOTED_PATTERN, 1),
+            plain: T.extract(a, V.FACTORS_PLAIN_PATTERN, 1),
+        },
+        {target: F.struct(at_fault.alias("av_at_fault"), factors.alias("contributing_factors"))},
+    ]
 
 
-def behaviour(df: DataFrame, source: str, target: str) -> DataFrame:
+def behaviour(source: str, target: str) -> Stages:
     """Struct of traffic, movements, and the same-direction and same-lane flags."""
-    a = T.text_or_empty(F.col(source))
-    return df.withColumn(
-        target,
-        F.struct(
-            T.labelled_field(a, V.TRAFFIC_LABEL).alias("traffic_conditions"),
-            T.strip(T.capture(a, V.AV_MOVEMENT_PATTERN, 2, "Uid")).alias("av_movement"),
-            T.strip(T.capture(a, V.OTHER_MOVEMENT_PATTERN, 2, "Uid")).alias(
-                "other_road_user_movement"
-            ),
-            T.choice_flag(a, V.DIRECTION_PATTERN, "same").alias("same_direction"),
-            T.choice_flag(a, V.LANE_PATTERN, "same").alias("same_lane"),
-        ),
+    traffic, av, other, direction, lane = (
+        f"_{target}_{part}" for part in ("traffic", "av", "other", "direction", "lane")
     )
+    a = _answer(source)
+    return [
+        {
+            traffic: T.raw_labelled_field(a, V.TRAFFIC_LABEL),
+            av: T.extract(a, V.AV_MOVEMENT_PATTERN, 2, "Uid"),
+            other: T.extract(a, V.OTHER_MOVEMENT_PATTERN, 2, "Uid"),
+            direction: T.extract(a, V.DIRECTION_PATTERN, 1, "Uid"),
+            lane: T.extract(a, V.LANE_PATTERN, 1, "Uid"),
+        },
+        {
+            target: F.struct(
+                T.found(F.col(traffic)).alias("traffic_conditions"),
+                T.found(F.col(av)).alias("av_movement"),
+                T.found(F.col(other)).alias("other_road_user_movement"),
+                T.choice_flag(F.col(direction), "same").alias("same_direction"),
+                T.choice_flag(F.col(lane), "same").alias("same_lane"),
+            )
+        },
+    ]
 
 
 OPERATORS = {
@@ -244,6 +270,17 @@ OPERATORS = {
 }
 
 
+def categorise_all(df: DataFrame, requests: Iterable[tuple[str, str, str]]) -> DataFrame:
+    """Add the categories of several ``(question, source, target)``, stage by stage together."""
+    plans = [OPERATORS.get(question, no_rule)(source, target) for question, source, target in requests]
+    helpers = []
+    for level in zip_longest(*plans, fillvalue={}):
+        columns = {name: column for stage in level for name, column in stage.items()}
+        helpers += [name for name in columns if name.startswith("_")]
+        df = df.withColumns(columns)
+    return df.drop(*helpers)
+
+
 def categorise(df: DataFrame, question: str, source: str, target: str) -> DataFrame:
     """Add the category of one question; a question nobody knows gets the constant."""
-    return OPERATORS.get(question, no_rule)(df, source, target)
+    return categorise_all(df, [(question, source, target)])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import extract_answer
-from ..operators.questions import categorise
+from ..operators.questions import categorise_all
 
 Hook = Callable[[DataFrame], DataFrame]
 
@@ -72,9 +72,7 @@ def structure(
     for hook in (clean, keep):
         df = df.transform(hook) if hook else df
     front = [c for c in df.columns if c not in STRUCTURED_COLUMNS]
-    df = with_answers(df, response)
-    for question, source, target in CATEGORY_COLUMNS:
-        df = categorise(df, question, source, target)
+    df = categorise_all(with_answers(df, response), CATEGORY_COLUMNS)
     return df.select(*front, *STRUCTURED_COLUMNS)
 
 
