@@ -29,13 +29,20 @@ def prettify(df: DataFrame, columns) -> DataFrame:
 
 
 def _long(df: DataFrame, x: list[str], keep=()) -> DataFrame:
-    """Rows ``(*keep, variable, value)`` with the values as text, nulls left out."""
+    """Rows ``(*keep, variable, value)`` with the values as text."""
     if len(x) == 1:
-        long = df.select(*keep, F.lit(x[0]).alias("variable"), F.col(x[0]).cast("string").alias("value"))
-    else:
-        texts = df.select(*keep, *[F.col(c).cast("string").alias(c) for c in x])
-        long = texts.unpivot(list(keep), x, "variable", "value")
-    return long.where(F.col("value").isNotNull())
+        return df.select(*keep, F.lit(x[0]).alias("variable"), F.col(x[0]).cast("string").alias("value"))
+    texts = df.select(*keep, *[F.col(c).cast("string").alias(c) for c in x])
+    return texts.unpivot(list(keep), x, "variable", "value")
+
+
+def _counts(long: DataFrame, *by: str) -> DataFrame:
+    """Rows per value without the nulls.
+
+    Nulls are counted as zero and dropped afterwards.  A filter on the value itself
+    would be pushed below the rules that derive it and evaluate them twice.
+    """
+    return long.groupBy("variable", "value", *by).agg(F.count("value").alias("n")).where("n > 0")
 
 
 def hist(
@@ -72,7 +79,7 @@ def hist(
     if color:
         df = df.withColumn("color", F.col(color))
         extra = ["color"]
-    counts = _long(df, x, extra).groupBy("variable", "value", *extra).agg(F.count(F.lit(1)).alias("n"))
+    counts = _counts(_long(df, x, extra), *extra)
     if color:
         # One row per value and colour is left here, so the totals are a small join.
         totals = counts.groupBy("value").agg(F.sum("n").alias("_total"))

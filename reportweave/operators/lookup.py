@@ -84,7 +84,7 @@ def lookup(
     if entries is not None:
         return df.withColumn(target, _inline(F.col(text), entries))
     # One row per different text: a frequent text is searched once.
-    texts = df.select(F.col(text).alias("s")).where(F.col("s").isNotNull()).distinct()
+    texts = df.select(F.col(text).alias("s")).distinct()
     return _attach(df, text, _first_entries(texts, dictionary), target)
 
 
@@ -112,12 +112,12 @@ def _first_entries(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     in_text = _unfold(texts, "s", values, "val", ["s"], "val").join(values, "val").select("s", "entry")
 
     # The empty text is inside every value, an empty value inside every text.
-    first = usable.agg(entry).scalar()
-    blank = texts.where(F.col("s") == "").select("s", first.alias("entry"))
-    first_blank = usable.where(F.col("val") == "").agg(entry).scalar()
-    anywhere = texts.select("s", first_blank.alias("entry")).where(F.col("entry").isNotNull())
-
-    found = in_value.unionByName(in_text).unionByName(blank).unionByName(anywhere)
+    first = texts.withColumns({
+        "any": usable.agg(entry).scalar(),
+        "blank": usable.where(F.col("val") == "").agg(entry).scalar(),
+    })
+    always = F.least(F.when(F.col("s") == "", F.col("any")), F.when(F.col("s").isNotNull(), F.col("blank")))
+    found = in_value.unionByName(in_text).unionByName(first.select("s", always.alias("entry")))
     return found.groupBy("s").agg(F.min("entry").alias("entry")).select("s", "entry.key")
 
 
@@ -169,7 +169,7 @@ def keyword_lookup(
     words = rules.where(F.col("keyword").isNotNull()).groupBy("keyword").agg(rule)
     # Texts travel as a digest; only their substrings of keyword length are exchanged.
     keyed = df.withColumn("_digest", F.sha2(F.lower(F.col(text)), 256))
-    low = keyed.select("_digest", F.lower(F.col(text)).alias("_low")).where(F.col(text).isNotNull())
+    low = keyed.select("_digest", F.lower(F.col(text)).alias("_low"))
     hits = (
         _unfold(low, "_low", words, "keyword", ["_digest"], "keyword")
         .join(words, "keyword")

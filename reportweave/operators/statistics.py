@@ -128,10 +128,9 @@ def density(
     }).drop("s")
     # In units of the bandwidth, so that a grid point is a multiple of one column.
     rows = rows.withColumns({"z": (F.col("v") - F.col("lo")) / F.col("h"), "dz": F.col("step") / F.col("h")})
-    away = [F.col("z") - F.col("dz") * i for i in range(points)]
+    kernels = [F.expr(f"sum(exp(-0.5D * (z - {i} * dz) * (z - {i} * dz))) as k{i}") for i in range(points)]
     sums = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("lo", "step", "h")],
-        *[F.sum(F.exp(a * a * -0.5)).alias(f"k{i}") for i, a in enumerate(away)],
+        F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("lo", "step", "h")], *kernels
     )
     scale = F.col("n") * F.col("h") * math.sqrt(2 * math.pi)
     return _curve(
@@ -169,27 +168,25 @@ def lowess(
     rows, by = _numbers(df, color, x=x, y=y)
     ends = _scalar(rows, lo=F.min("x"), hi=F.max("x"))
     rows = rows.withColumns({"lo": ends["lo"], "step": (ends["hi"] - ends["lo"]) / (points - 1)})
-    d = [F.col("x") - (F.col("lo") + F.col("step") * i) for i in range(points)]
+    grid = range(points)
+    rows = rows.withColumns({f"d{i}": F.expr(f"x - (lo + {i} * step)") for i in grid})
     if bandwidth:
-        reach = [F.lit(float(bandwidth))] * points
+        rows = rows.withColumn("reach", F.array_repeat(F.lit(float(bandwidth)), points))
     else:
-        nearest = [F.percentile_approx(F.abs(di), frac, accuracy) for di in d]
+        nearest = [F.expr(f"percentile_approx(abs(d{i}), {frac}D, {accuracy})") for i in grid]
         rows = rows.withColumn("reach", rows.agg(F.array(*nearest)).scalar())
-        reach = [F.col("reach")[i] for i in range(points)]
-    rows = rows.withColumns({f"d{i}": di for i, di in enumerate(d)})
-    far = [F.abs(F.col(f"d{i}")) / reach[i] for i in range(points)]
-    weights = {
-        f"w{i}": F.when(far[i] < 1, F.pow(1 - far[i] * far[i] * far[i], F.lit(3.0))).otherwise(0.0)
-        for i in range(points)
-    }
-    rows = rows.withColumns(weights)
-    sums = []
-    for i in range(points):
-        w, di = F.col(f"w{i}"), F.col(f"d{i}")
-        sums += [
-            F.sum(w).alias(f"s{i}"), F.sum(w * di).alias(f"sd{i}"), F.sum(w * di * di).alias(f"sdd{i}"),
-            F.sum(w * F.col("y")).alias(f"sy{i}"), F.sum(w * di * F.col("y")).alias(f"sdy{i}"),
-        ]
+    rows = rows.withColumns({f"u{i}": F.expr(f"abs(d{i}) / reach[{i}]") for i in grid})
+    rows = rows.withColumns({
+        f"w{i}": F.expr(f"case when u{i} < 1 then pow(1 - u{i} * u{i} * u{i}, 3) else 0D end") for i in grid
+    })
+    sums = [
+        F.expr(f"sum({term.format(w=f'w{i}', d=f'd{i}')}) as {name}{i}")
+        for i in grid
+        for name, term in (
+            ("s", "{w}"), ("sd", "{w} * {d}"), ("sdd", "{w} * {d} * {d}"),
+            ("sy", "{w} * y"), ("sdy", "{w} * {d} * y"),
+        )
+    ]
     table = rows.groupBy(*by).agg(F.first("lo").alias("lo"), F.first("step").alias("step"), *sums)
 
     def fit(i: int) -> Column:

@@ -83,11 +83,7 @@ def stream_structured(responses: DataFrame, sink: str, checkpoint: str) -> Strea
 
 def stream_counts(rows: DataFrame, column: str, sink: str, checkpoint: str) -> StreamingQuery:
     """Running counts of a category; each batch writes the complete table of counts."""
-    counts = (
-        rows.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = rows.groupBy(F.col(column).alias("value")).agg(F.count(column).alias("n")).where("n > 0")
     return (
         counts.writeStream.outputMode("complete")
         .foreachBatch(_batch_writer(sink, None))
