@@ -3,15 +3,19 @@
 Every function takes and returns a Column and stays inside code generation,
 apart from :func:`slugify`, whose Unicode normalisation has no built-in.
 
+Nothing here names an intermediate column, so the functions can be nested and
+filtered on freely; see :func:`let`.
+
 Regular expressions carry inline flags so that Java reads them as intended:
 ``(?U)`` Unicode classes, ``(?d)`` only a newline stops a dot, ``(?i)`` any case.
-A missing match and an empty capture both come back as ``''`` from Spark; where
-a capture cannot be empty, ``''`` therefore means "no match".
+A missing match and an empty capture both come back as ``''`` from
+``regexp_extract``; :func:`capture` tells them apart.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -42,12 +46,19 @@ def extract(col: Column, pattern: str, group: int, flags: str = "Ud") -> Column:
     return F.regexp_extract(col, regex(pattern, flags), group)
 
 
-def found(raw: Column) -> Column:
-    """Stripped capture, null where the pattern did not match.
+def capture(col: Column, pattern: str, group: int, flags: str = "Ud") -> Column:
+    """Group of the first match, null without a match."""
+    return F.get(F.regexp_extract_all(col, F.lit(regex(pattern, flags)), F.lit(group)), F.lit(0))
+
 
-    ``raw`` should be a column, not an expression: it is read twice.
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` reads it.
+
+    Naming a value by a further column would do the same, until a filter on the
+    result is pushed down: the optimizer then puts the full expression in the
+    place of every mention, level by level.  Here the value occurs only once.
     """
-    return F.when(raw != "", strip(raw))
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def matches(col: Column, pattern: str, flags: str = "Ud") -> Column:
@@ -64,18 +75,13 @@ def extract_answer(col: Column, question: int) -> Column:
     return strip(F.regexp_extract(text_or_empty(col), pattern, 1))
 
 
-def raw_labelled_field(col: Column, label: str, stop: str = r"*\n.") -> Column:
-    """Text behind a bold ``**Label:**`` up to the first stop character, not stripped."""
-    name = re.escape(label).replace(r"\ ", " ")
-    return extract(col, rf"\*\*{name}:\*\*\s*([^{stop}]+)", 1)
-
-
 def labelled_field(col: Column, label: str, stop: str = r"*\n.") -> Column:
     """Value behind a bold ``**Label:**`` up to the first stop character.
 
     Null when the label is absent; may be ``''`` when only blanks follow it.
     """
-    return strip(F.nullif(raw_labelled_field(col, label, stop), F.lit("")))
+    name = re.escape(label).replace(r"\ ", " ")
+    return strip(capture(col, rf"\*\*{name}:\*\*\s*([^{stop}]+)", 1))
 
 
 def rewrite(col: Column, pairs) -> Column:
@@ -116,9 +122,9 @@ def presence_flag(present: Column, absent: Column) -> Column:
     return F.when(present, F.lit(True)).when(absent, F.lit(False))
 
 
-def choice_flag(raw: Column, positive: str) -> Column:
+def choice_flag(captured: Column, positive: str) -> Column:
     """Whether a captured choice is ``positive``; null where nothing was captured."""
-    return F.when(raw != "", F.lower(raw) == positive)
+    return F.lower(captured) == positive
 
 
 def pretty_label(col: Column) -> Column:

@@ -93,16 +93,21 @@ def hist(
 
 def hist_nested(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
     """Histogram over the fields of a struct column; lists count each of their items."""
-    fields = df.schema[column].dataType.fields
-    lists = [f.name for f in fields if f.dataType.typeName() == "array"]
-    plain = [f.name for f in fields if f.name not in lists]
-    flat = df.select(*[F.col(f"{column}.{name}").alias(name) for name in plain + lists])
-    parts = [hist(flat, plain, sort_desc=False)] if plain else []
-    parts += [hist(flat.select(F.explode(n).alias(n)), n, sort_desc=False) for n in lists]
-    counts = reduce(DataFrame.unionByName, parts).orderBy(F.desc("n"), F.asc("variable"), F.asc("value"))
+    pairs = []
+    for field in df.schema[column].dataType.fields:
+        values = F.col(f"_s.{field.name}")
+        items = values if field.dataType.typeName() == "array" else F.array(values)
+        pairs.append(F.transform(items.cast("array<string>"), _pair(field.name)))
+    # All fields are counted in one pass over the table.
+    long = df.select(F.col(column).alias("_s")).select(F.inline(F.concat(*pairs)))
+    counts = _counts(long).orderBy(F.desc("n"), F.asc("variable"), F.asc("value"))
     return counts.limit(top) if top else counts
 
 
+def _pair(name: str):
+    return lambda value: F.struct(F.lit(name).alias("variable"), value.alias("value"))
+
+
 def bar(df: DataFrame, y, x: str, stacked: bool = False, pretty: bool = False) -> DataFrame:
     """Bars ``(x, series_no, series, value[, start, end])``, one per row and ``y`` column.
 

@@ -1,17 +1,12 @@
-"""Question operators: one answer column in, category columns out.
-
-An operator returns *stages*: dictionaries of columns, to be added one after the
-other.  A stage names its results, so that an expression that several rules read
-is evaluated once per row; helper columns start with ``_`` and are dropped at the
-end.  A query that needs one category only pays for that category, as the
-optimizer drops every stage nobody reads.  There is no shuffle and no Python
-worker here.
+"""Question operators: the answer to a question in, its category out.
+
+Every operator is one column expression.  There is no shuffle and no Python worker
+here, and a query that needs one category only pays for that category.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,20 +15,14 @@ from ..functions import fixed_values as V
 from ..functions import rules as R
 from ..functions import text as T
 
-Stages = list[dict[str, Column]]
-
 
 def _null() -> Column:
     return F.lit(None).cast("string")
 
 
-def _answer(source: str) -> Column:
-    return T.text_or_empty(F.col(source))
-
-
-def verdict(source: str, target: str) -> Stages:
+def verdict(answer: Column) -> Column:
     """Yes / No / Other."""
-    return [{target: R.first_match(_answer(source), V.VERDICT_RULES, V.VERDICT_DEFAULT)}]
+    return T.let(answer, lambda a: R.first_match(a, V.VERDICT_RULES, V.VERDICT_DEFAULT))
 
 
 def _vehicle(brand, model, year) -> Column:
@@ -44,216 +33,175 @@ def _vehicle(brand, model, year) -> Column:
     ])
 
 
-def automated_vehicle(source: str, target: str) -> Stages:
-    """``<target>_brand``, ``<target>_model`` and ``<target>_year``; never null or empty.
+def _find_vehicle(text: Column) -> Column:
+    """First rule that yields a brand; it sets brand, model and year together.
 
-    A known phrase decides alone.  Otherwise the first pattern that yields a brand
-    sets all three together; the last, free-text pattern also replaces a year
-    that an earlier pattern found next to a blank brand.
+    A known phrase decides alone.  The free-text pattern also replaces a year that
+    an earlier pattern found next to a blank brand.
     """
-    text, found, low = f"_{target}_text", f"_{target}_found", f"_{target}_low"
-    brand, model, model_low = f"_{target}_brand", f"_{target}_model", f"_{target}_model_low"
-
-    clean = T.unify(_answer(source), V.AV_LEAD_INS, V.AV_HEADING)
-    clean = T.rewrite(clean, [(V.AV_BOLD_HEADING, V.AV_HEADING)])
-    clean = T.rewrite(T.rewrite_patterns(clean, V.AV_PATTERN_REWRITES), V.AV_TEXT_REWRITES)
-
-    t = F.col(text)
 
     def full(pattern: str) -> Column:
-        return _vehicle(
-            T.strip(T.extract(t, pattern, 2)), T.strip(T.extract(t, pattern, 3)), T.extract(t, pattern, 1)
-        )
+        return _vehicle(*[T.strip(T.extract(text, pattern, group)) for group in (2, 3, 1)])
 
     def brand_only(pattern: str) -> Column:
-        return _vehicle(T.strip(T.extract(t, pattern, 2)), None, T.extract(t, pattern, 1))
+        return _vehicle(T.strip(T.extract(text, pattern, 2)), None, T.extract(text, pattern, 1))
 
-    rules = None
+    rules = F
     for phrases, *known in V.AV_KNOWN_PHRASES:
-        test = R.contains_any(t, phrases)
-        rules = F.when(test, _vehicle(*known)) if rules is None else rules.when(test, _vehicle(*known))
-    rules = (
-        rules.when(T.matches(t, V.AV_YEAR_BRAND_MODEL), full(V.AV_YEAR_BRAND_MODEL))
-        .when(T.matches(t, V.AV_BARE_YEAR_BRAND_MODEL), full(V.AV_BARE_YEAR_BRAND_MODEL))
-        .when(T.strip(T.extract(t, V.AV_YEAR_BRAND, 2)) != "", brand_only(V.AV_YEAR_BRAND))
-        .when(T.matches(t, V.AV_FREE_TEXT), brand_only(V.AV_FREE_TEXT))
+        rules = rules.when(R.contains_any(text, phrases), _vehicle(*known))
+    return (
+        rules.when(T.matches(text, V.AV_YEAR_BRAND_MODEL), full(V.AV_YEAR_BRAND_MODEL))
+        .when(T.matches(text, V.AV_BARE_YEAR_BRAND_MODEL), full(V.AV_BARE_YEAR_BRAND_MODEL))
+        .when(T.strip(T.extract(text, V.AV_YEAR_BRAND, 2)) != "", brand_only(V.AV_YEAR_BRAND))
+        .when(T.matches(text, V.AV_FREE_TEXT), brand_only(V.AV_FREE_TEXT))
         .otherwise(_vehicle(None, None, None))
     )
 
-    raw_brand = F.col(f"{found}.brand")
-    kept = F.when(R.contains_any(raw_brand, V.NOT_A_BRAND), _null()).otherwise(raw_brand)
-    part, part_model = V.TESLA_MODEL_IN_BRAND
-    in_brand = (F.col(brand) == "Tesla") & F.contains(F.col(low), F.lit(part))
-    named = F.when(F.contains(F.col(model_low), F.lit(V.MODEL_UNKNOWN_PART)), F.lit(V.UNKNOWN))
+
+def _model_name(model: Column) -> Column:
+    low = F.lower(model)
+    named = F.when(F.contains(low, F.lit(V.MODEL_UNKNOWN_PART)), F.lit(V.UNKNOWN))
     for value, name in V.MODEL_NAMES:
-        named = named.when(F.col(model_low) == value, F.lit(name))
-
-    return [
-        {text: clean},
-        {found: rules},
-        {low: F.lower(raw_brand)},
-        {brand: R.first_match(F.col(low), V.BRAND_NAMES, kept)},
-        {model: F.when(in_brand, F.lit(part_model)).otherwise(F.col(f"{found}.model"))},
-        {model_low: F.lower(F.col(model))},
-        {
-            f"{target}_brand": R.default_if_blank(F.col(brand), V.UNKNOWN),
-            f"{target}_model": R.default_if_blank(named.otherwise(F.col(model)), V.UNKNOWN),
-            f"{target}_year": R.default_if_blank(F.col(f"{found}.year"), V.UNKNOWN),
-        },
-    ]
-
-
-def always_null(source: str, target: str) -> Stages:
+        named = named.when(low == value, F.lit(name))
+    return named.otherwise(model)
+
+
+def _normal_vehicle(found: Column) -> Column:
+    """Usual names of brand and model; ``Unknown`` for whatever is missing."""
+    raw = found["brand"]
+    part, part_model = V.TESLA_MODEL_IN_BRAND
+    kept = F.when(R.contains_any(raw, V.NOT_A_BRAND), _null()).otherwise(raw)
+
+    def with_brand(low: Column, brand: Column) -> Column:
+        in_brand = (brand == "Tesla") & F.contains(low, F.lit(part))
+        model = F.when(in_brand, F.lit(part_model)).otherwise(found["model"])
+        cells = (brand, T.let(model, _model_name), found["year"])
+        return _vehicle(*[R.default_if_blank(c, V.UNKNOWN) for c in cells])
+
+    return T.let(
+        F.lower(raw),
+        lambda low: T.let(R.first_match(low, V.BRAND_NAMES, kept), lambda brand: with_brand(low, brand)),
+    )
+
+
+def automated_vehicle(answer: Column) -> Column:
+    """Struct of brand, model and year, as texts; never null or empty."""
+    clean = T.unify(answer, V.AV_LEAD_INS, V.AV_HEADING)
+    clean = T.rewrite(clean, [(V.AV_BOLD_HEADING, V.AV_HEADING)])
+    clean = T.rewrite(T.rewrite_patterns(clean, V.AV_PATTERN_REWRITES), V.AV_TEXT_REWRITES)
+    return T.let(clean, lambda text: T.let(_find_vehicle(text), _normal_vehicle))
+
+
+def always_null(answer: Column) -> Column:
     """The driving mode is not derived; the column is there and always null."""
-    return [{target: _null()}]
+    return _null()
 
 
-def no_rule(source: str, target: str) -> Stages:
+def no_rule(answer: Column) -> Column:
     """Questions without a rule get one constant."""
-    return [{target: F.lit(V.NO_RULE)}]
+    return F.lit(V.NO_RULE)
 
 
-def other_road_user(source: str, target: str) -> Stages:
+def other_road_user(answer: Column) -> Column:
     """Kind of the other road user; the captured text when no kind fits, else null."""
-    text, user, low = f"_{target}_text", f"_{target}_user", f"_{target}_low"
-    clean = T.unify(_answer(source), V.ROAD_USER_LEAD_INS, V.ROAD_USER_HEADING)
+    clean = T.unify(answer, V.ROAD_USER_LEAD_INS, V.ROAD_USER_HEADING)
     clean = T.rewrite(clean, [(V.ROAD_USER_BOLD_HEADING, V.ROAD_USER_HEADING)])
-    # The heading and one blank are enough for a match, the capture may be empty.
-    has_heading = F.contains(F.col(text), F.lit(V.ROAD_USER_HEADING + " "))
-    captured = F.when(has_heading, T.extract(F.col(text), V.ROAD_USER_PATTERN, 1))
 
-    by_kind = R.first_match(F.col(low), V.ROAD_USER_KINDS, T.strip(F.col(user)))
-    by_heading = R.first_match(
-        F.col(text), [(V.ROAD_USER_VEHICLE_HEADINGS, V.ROAD_USER_IN_VEHICLE)]
+    def kind(user: Column) -> Column:
+        return T.let(F.lower(user), lambda low: R.first_match(low, V.ROAD_USER_KINDS, T.strip(user)))
+
+    def decide(text: Column) -> Column:
+        by_heading = R.first_match(text, [(V.ROAD_USER_VEHICLE_HEADINGS, V.ROAD_USER_IN_VEHICLE)])
+        # An empty capture counts, a missing heading does not.
+        by_kind = T.let(T.capture(text, V.ROAD_USER_PATTERN, 1), kind)
+        return R.first_match(text, V.ROAD_USER_PHRASES, F.coalesce(by_kind, by_heading))
+
+    return T.let(clean, decide)
+
+
+def _find_other_vehicle(text: Column) -> Column:
+    """Name of the other vehicle, ``''`` where nothing was found or only blanks."""
+    full = V.OTHER_VEHICLE_YEAR_BRAND_MODEL
+    brand, model = (T.strip(T.extract(text, full, group)) for group in (2, 3))
+    return (
+        F.when(R.contains_any(text, V.OTHER_VEHICLE_NONE_PHRASES), _null())
+        .when(T.matches(text, full), T.strip(F.concat_ws(" ", brand, model)))
+        .when(F.contains(text, F.lit(V.OTHER_VEHICLE_TRUCK_PHRASE)), F.lit(V.OTHER_VEHICLE_TRUCK))
+        .otherwise(T.strip(T.extract(text, V.OTHER_VEHICLE_FREE_TEXT, 2)))
     )
-    fallback = F.when(F.col(user).isNotNull(), by_kind).otherwise(by_heading)
-    return [
-        {text: clean},
-        {user: captured},
-        {low: F.lower(F.col(user))},
-        {target: R.first_match(F.col(text), V.ROAD_USER_PHRASES, fallback)},
-    ]
 
 
-def other_vehicle(source: str, target: str) -> Stages:
+def other_vehicle(answer: Column) -> Column:
     """Name of the other vehicle; null when there is none, ``''`` when only a cut-off tail was given."""
-    text, name = f"_{target}_text", f"_{target}_name"
-    clean = T.unify(_answer(source), V.OTHER_VEHICLE_LEAD_INS, V.OTHER_VEHICLE_HEADING)
+    clean = T.unify(answer, V.OTHER_VEHICLE_LEAD_INS, V.OTHER_VEHICLE_HEADING)
     clean = T.rewrite(clean, V.OTHER_VEHICLE_TEXT_REWRITES)
-
-    t = F.col(text)
-    brand, model = (T.strip(T.extract(t, V.OTHER_VEHICLE_YEAR_BRAND_MODEL, n)) for n in (2, 3))
-    # No match of the free-text pattern and a blank one both end as null in the last stage.
-    named = (
-        F.when(R.contains_any(t, V.OTHER_VEHICLE_NONE_PHRASES), _null())
-        .when(T.matches(t, V.OTHER_VEHICLE_YEAR_BRAND_MODEL), T.strip(F.concat_ws(" ", brand, model)))
-        .when(F.contains(t, F.lit(V.OTHER_VEHICLE_TRUCK_PHRASE)), F.lit(V.OTHER_VEHICLE_TRUCK))
-        .otherwise(T.strip(T.extract(t, V.OTHER_VEHICLE_FREE_TEXT, 2)))
-    )
-    value = R.exact_map(
-        F.col(name),
-        [(V.OTHER_VEHICLE_MEANS_UNKNOWN, V.UNKNOWN), (V.OTHER_VEHICLE_MEANS_NULL, None)],
-    )
+    meanings = [(V.OTHER_VEHICLE_MEANS_UNKNOWN, V.UNKNOWN), (V.OTHER_VEHICLE_MEANS_NULL, None)]
+    value = T.let(T.let(clean, _find_other_vehicle), lambda name: R.exact_map(name, meanings))
     for marker, ending in V.OTHER_VEHICLE_CUTS:
         value = T.cut_tail(value, marker, ending)
-    return [{text: clean}, {name: named}, {target: value}]
+    return value
 
 
-def environment(source: str, target: str) -> Stages:
+def environment(answer: Column) -> Column:
     """Struct of the labelled conditions."""
-    raw = {name: f"_{target}_{name}" for name, _ in V.ENVIRONMENT_LABELS}
-    fields = [T.found(F.col(column)).alias(name) for name, column in raw.items()]
-    return [
-        {raw[name]: T.raw_labelled_field(_answer(source), label) for name, label in V.ENVIRONMENT_LABELS},
-        {target: F.struct(*fields)},
-    ]
+    return F.struct(*[T.labelled_field(answer, label).alias(name) for name, label in V.ENVIRONMENT_LABELS])
 
 
-def damage(source: str, target: str) -> Stages:
-    """Struct of collision type, damage severity and descriptions, injury flag."""
-    kind, damages, hurt, av, other, low = (
-        f"_{target}_{part}" for part in ("kind", "damages", "hurt", "av", "other", "low")
-    )
-    severity = R.first_match(
-        F.col(low), [(words, name) for name, words in V.DAMAGE_CATEGORIES.items()], V.DAMAGE_DEFAULT
+def _severity(description: Column) -> Column:
+    rules = [(words, name) for name, words in V.DAMAGE_CATEGORIES.items()]
+    return T.let(F.lower(description), lambda low: R.first_match(low, rules, V.DAMAGE_DEFAULT))
+
+
+def _injuries(text: Column) -> Column:
+    return T.presence_flag(
+        T.matches(text, V.INJURY_PATTERN, "Uid") & ~T.matches(text, V.NO_INJURY_PATTERN, "Uid"),
+        F.contains(F.lower(text), F.lit(V.NO_INJURIES_TEXT)),
     )
-    injuries = T.presence_flag(
-        T.matches(F.col(hurt), V.INJURY_PATTERN, "Uid")
-        & ~T.matches(F.col(hurt), V.NO_INJURY_PATTERN, "Uid"),
-        F.contains(F.lower(F.col(hurt)), F.lit(V.NO_INJURIES_TEXT)),
+
+
+def damage(answer: Column) -> Column:
+    """Struct of collision type, damage severity and descriptions, injury flag."""
+    damages = T.labelled_field(answer, V.DAMAGE_LABEL, stop="*")
+    av = T.strip(T.capture(damages, V.AV_DAMAGE_PATTERN, 2, "Uid"))
+    return F.struct(
+        T.labelled_field(answer, V.COLLISION_LABEL).alias("collision_type"),
+        _severity(av).alias("av_damage_category"),
+        av.alias("av_damage_description"),
+        T.strip(T.capture(damages, V.OTHER_DAMAGE_PATTERN, 2, "Uid")).alias("other_vehicle_damage"),
+        T.let(T.labelled_field(answer, V.INJURIES_LABEL, stop="*"), _injuries).alias("injuries"),
     )
-    return [
-        {
-            kind: T.raw_labelled_field(_answer(source), V.COLLISION_LABEL),
-            damages: T.strip(T.raw_labelled_field(_answer(source), V.DAMAGE_LABEL, stop="*")),
-            hurt: T.strip(T.raw_labelled_field(_answer(source), V.INJURIES_LABEL, stop="*")),
-        },
-        {
-            av: T.extract(F.col(damages), V.AV_DAMAGE_PATTERN, 2, "Uid"),
-            other: T.extract(F.col(damages), V.OTHER_DAMAGE_PATTERN, 2, "Uid"),
-        },
-        {low: F.lower(F.col(av))},
-        {
-            target: F.struct(
-                T.found(F.col(kind)).alias("collision_type"),
-                severity.alias("av_damage_category"),
-                T.found(F.col(av)).alias("av_damage_description"),
-                T.found(F.col(other)).alias("other_vehicle_damage"),
-                injuries.alias("injuries"),
-            )
-        },
-    ]
-
-
-def responsibility(source: str, target: str) -> Stages:
-    """Struct of the at-fault flag and the contributing factors (``[]`` when none)."""
-    quoted, plain = f"_{target}_quoted", f"_{target}_plain"
-    a = _answer(source)
+
+
+def _at_fault(answer: Column) -> Column:
     # The plain text test spares most rows the two backtracking searches.
-    at_fault = F.when(
-        F.contains(F.lower(a), F.lit(V.FAULT_TEXT)),
+    return F.when(
+        F.contains(F.lower(answer), F.lit(V.FAULT_TEXT)),
         T.presence_flag(
-            T.matches(a, V.AV_FAULT_PATTERN, "Uid"), T.matches(a, V.OTHER_FAULT_PATTERN, "Uid")
+            T.matches(answer, V.AV_FAULT_PATTERN, "Uid"),
+            T.matches(answer, V.OTHER_FAULT_PATTERN, "Uid"),
         ),
     )
-    factors = (
-        F.when(F.col(quoted) != "", T.split_keep(F.col(quoted)))
-        .when(F.col(plain) != "", T.split_list(T.strip(F.col(plain))))
-        .otherwise(F.array().cast("array<string>"))
+
+
+def responsibility(answer: Column) -> Column:
+    """Struct of the at-fault flag and the contributing factors (``[]`` when none)."""
+    quoted = T.split_keep(T.capture(answer, V.FACTORS_QUOTED_PATTERN, 1))
+    plain = T.split_list(T.strip(T.capture(answer, V.FACTORS_PLAIN_PATTERN, 1)))
+    factors = F.coalesce(quoted, plain, F.array().cast("array<string>"))
+    return F.struct(
+        T.let(answer, _at_fault).alias("av_at_fault"), factors.alias("contributing_factors")
     )
-    return [
-        {
-            quoted: T.extract(a, V.FACTORS_QUOTED_PATTERN, 1),
-            plain: T.extract(a, V.FACTORS_PLAIN_PATTERN, 1),
-        },
-        {target: F.struct(at_fault.alias("av_at_fault"), factors.alias("contributing_factors"))},
-    ]
 
 
-def behaviour(source: str, target: str) -> Stages:
+def behaviour(answer: Column) -> Column:
     """Struct of traffic, movements, and the same-direction and same-lane flags."""
-    traffic, av, other, direction, lane = (
-        f"_{target}_{part}" for part in ("traffic", "av", "other", "direction", "lane")
+    return F.struct(
+        T.labelled_field(answer, V.TRAFFIC_LABEL).alias("traffic_conditions"),
+        T.strip(T.capture(answer, V.AV_MOVEMENT_PATTERN, 2, "Uid")).alias("av_movement"),
+        T.strip(T.capture(answer, V.OTHER_MOVEMENT_PATTERN, 2, "Uid")).alias("other_road_user_movement"),
+        T.choice_flag(T.capture(answer, V.DIRECTION_PATTERN, 1, "Uid"), "same").alias("same_direction"),
+        T.choice_flag(T.capture(answer, V.LANE_PATTERN, 1, "Uid"), "same").alias("same_lane"),
     )
-    a = _answer(source)
-    return [
-        {
-            traffic: T.raw_labelled_field(a, V.TRAFFIC_LABEL),
-            av: T.extract(a, V.AV_MOVEMENT_PATTERN, 2, "Uid"),
-            other: T.extract(a, V.OTHER_MOVEMENT_PATTERN, 2, "Uid"),
-            direction: T.extract(a, V.DIRECTION_PATTERN, 1, "Uid"),
-            lane: T.extract(a, V.LANE_PATTERN, 1, "Uid"),
-        },
-        {
-            target: F.struct(
-                T.found(F.col(traffic)).alias("traffic_conditions"),
-                T.found(F.col(av)).alias("av_movement"),
-                T.found(F.col(other)).alias("other_road_user_movement"),
-                T.choice_flag(F.col(direction), "same").alias("same_direction"),
-                T.choice_flag(F.col(lane), "same").alias("same_lane"),
-            )
-        },
-    ]
 
 
 OPERATORS = {
@@ -268,19 +216,26 @@ OPERATORS = {
     "q6": responsibility,
     "q7": behaviour,
 }
+# Questions whose fields become columns of their own, ``<target>_<field>``.
+SPREAD_FIELDS = {"q2-av": ("brand", "model", "year")}
+
+
+def category(answer: Column, question: str) -> Column:
+    """Category of an answer; a question nobody knows gets the constant."""
+    return OPERATORS.get(question, no_rule)(T.text_or_empty(answer))
 
 
 def categorise_all(df: DataFrame, requests: Iterable[tuple[str, str, str]]) -> DataFrame:
-    """Add the categories of several ``(question, source, target)``, stage by stage together."""
-    plans = [OPERATORS.get(question, no_rule)(source, target) for question, source, target in requests]
-    helpers = []
-    for level in zip_longest(*plans, fillvalue={}):
-        columns = {name: column for stage in level for name, column in stage.items()}
-        helpers += [name for name in columns if name.startswith("_")]
-        df = df.withColumns(columns)
-    return df.drop(*helpers)
+    """Add the categories of several ``(question, source, target)``."""
+    requests = list(requests)
+    df = df.withColumns({target: category(F.col(source), q) for q, source, target in requests})
+    for question, _, target in requests:
+        if question in SPREAD_FIELDS:
+            fields = {f"{target}_{f}": F.col(f"{target}.{f}") for f in SPREAD_FIELDS[question]}
+            df = df.withColumns(fields).drop(target)
+    return df
 
 
 def categorise(df: DataFrame, question: str, source: str, target: str) -> DataFrame:
-    """Add the category of one question; a question nobody knows gets the constant."""
+    """Add the category of one question."""
     return categorise_all(df, [(question, source, target)])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 ACCURACY = 10_000
+INLINE_COLORS = 100
 
 
 def is_number(df: DataFrame, x: str) -> bool:
@@ -68,9 +69,7 @@ def box(df: DataFrame, x: str, color: str | None = None, accuracy: int = ACCURAC
     rows, by = _numbers(df, color, v=x)
     quartiles = F.percentile_approx("v", [0.25, 0.5, 0.75], accuracy)
     if by:
-        # One row per colour; the join sizes it at run time.
-        boxes = rows.groupBy(F.col("color").alias("_color")).agg(quartiles.alias("q"))
-        rows = rows.join(boxes, F.col("color").eqNullSafe(F.col("_color"))).drop("_color")
+        rows = _with_quartiles(rows, rows.groupBy(F.col("color").alias("_color")).agg(quartiles.alias("q")))
     else:
         rows = rows.withColumn("q", rows.agg(quartiles).scalar())
     q1, q2, q3 = (F.col("q")[i] for i in range(3))
@@ -90,6 +89,21 @@ def box(df: DataFrame, x: str, color: str | None = None, accuracy: int = ACCURAC
     )
 
 
+def _with_quartiles(rows: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Add each row's quartiles by colour.
+
+    The quartiles of a few colours become literals, so the rows stay where they
+    are.  With more colours the two tables are joined.
+    """
+    few = boxes.limit(INLINE_COLORS + 1).collect()
+    if len(few) > INLINE_COLORS:
+        return rows.join(boxes, F.col("color").eqNullSafe(F.col("_color"))).drop("_color")
+    chosen = F.lit(None).cast("array<double>")
+    for color, q in few:
+        chosen = F.when(F.col("color").eqNullSafe(F.lit(color)), F.lit(q)).otherwise(chosen)
+    return rows.withColumn("q", chosen)
+
+
 def _curve(table: DataFrame, by: list[str], points: int, start: Column, step: Column, name: str, value) -> DataFrame:
     """Turn one wide row per group into rows ``(point, x, <name>)``."""
     cells = [

@@ -48,5 +48,9 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pending(reports: DataFrame, responses: DataFrame, key: str = "report") -> DataFrame:
-    """Reports without an answer yet."""
+    """Reports without an answer yet.
+
+    Pass the listing without ``content`` and read the files that are left
+    afterwards; otherwise the join would move the files themselves.
+    """
     return reports.join(responses.select(key), key, "left_anti")
