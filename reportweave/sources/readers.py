@@ -38,6 +38,8 @@ def read_responses(spark: SparkSession, path: str, format: str = "csv") -> DataF
             .option("multiLine", True)
             .option("escape", '"')
             .option("enforceSchema", False)
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
         )
         return reader.csv(path)
     return spark.read.format(format).load(path).select("report", "response")

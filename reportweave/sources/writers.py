@@ -21,6 +21,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         .option("header", True)
         .option("quoteAll", True)
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 
