@@ -57,7 +57,9 @@ def _unfold(df: DataFrame, column: str, other: DataFrame, other_column: str, kee
     parts = df.withColumn("_lengths", lengths).select(
         *keep, substrings(F.col(column), F.col("_lengths")).alias("_parts")
     )
-    return parts.select(*keep, F.explode("_parts").alias(name))
+    # The outer form keeps the optimizer from computing the list once more as a filter
+    # on its size; its null rows meet nothing in the join.
+    return parts.select(*keep, F.explode_outer("_parts").alias(name))
 
 
 def lookup(
@@ -70,8 +72,8 @@ def lookup(
     """Key of the first entry whose value contains the text or is contained in it.
 
     ``dictionary`` maps keys to a text, or to a list of texts with ``nested``; or
-    it is a table ``(ord, key, val)``, a nested one having one row per value.  The
-    order of entries decides.  An empty text matches the first entry; without any
+    it is a table ``(ord, key, val)``, a nested one having one row per value; an
+    ``ord`` belongs to one key.  The order of entries decides.  An empty text matches the first entry; without any
     match, and for a null text, the result is null.
     """
     if isinstance(dictionary, DataFrame):
@@ -100,25 +102,27 @@ def _inline(s: Column, entries) -> Column:
 
 def _first_entries(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``(s, key)`` for every text with a match; ``texts`` holds distinct ``s``."""
-    entry = F.min(F.struct("ord", "key")).alias("entry")
+    # Only the numbers of the entries are aggregated, the keys come in at the end.
+    first = F.min("ord").alias("ord")
     usable = dictionary.where(F.col("val").isNotNull())
-    values = usable.groupBy("val").agg(entry)
+    values = usable.groupBy("val").agg(first)
 
     # Text inside a value: the first entry of each substring is found beforehand.
-    parts = _unfold(values, "val", texts, "s", ["entry"], "s")
-    in_value = texts.join(parts.groupBy("s").agg(F.min("entry").alias("entry")), "s")
+    parts = _unfold(values, "val", texts, "s", ["ord"], "s")
+    in_value = texts.join(parts.groupBy("s").agg(first), "s")
 
     # Value inside a text.
-    in_text = _unfold(texts, "s", values, "val", ["s"], "val").join(values, "val").select("s", "entry")
+    in_text = _unfold(texts, "s", values, "val", ["s"], "val").join(values, "val").select("s", "ord")
 
     # The empty text is inside every value, an empty value inside every text.
-    first = texts.withColumns({
-        "any": usable.agg(entry).scalar(),
-        "blank": usable.where(F.col("val") == "").agg(entry).scalar(),
+    anyway = texts.withColumns({
+        "any": usable.agg(first).scalar(),
+        "blank": usable.where(F.col("val") == "").agg(first).scalar(),
     })
     always = F.least(F.when(F.col("s") == "", F.col("any")), F.when(F.col("s").isNotNull(), F.col("blank")))
-    found = in_value.unionByName(in_text).unionByName(first.select("s", always.alias("entry")))
-    return found.groupBy("s").agg(F.min("entry").alias("entry")).select("s", "entry.key")
+    found = in_value.unionByName(in_text).unionByName(anyway.select("s", always.alias("ord")))
+    keys = usable.select("ord", "key").distinct()
+    return found.groupBy("s").agg(first).join(keys, "ord").select("s", "key")
 
 
 def _attach(df: DataFrame, text: str, results: DataFrame, target: str) -> DataFrame:
