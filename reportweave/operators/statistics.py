@@ -104,13 +104,15 @@ def _with_quartiles(rows: DataFrame, boxes: DataFrame) -> DataFrame:
     return rows.withColumn("q", chosen)
 
 
-def _curve(table: DataFrame, by: list[str], points: int, start: Column, step: Column, name: str, value) -> DataFrame:
-    """Turn one wide row per group into rows ``(point, x, <name>)``."""
-    cells = [
-        F.struct(F.lit(i).alias("point"), (start + step * i).alias("x"), value(i).alias(name))
-        for i in range(points)
-    ]
-    return table.select(*by, F.inline(F.array(*cells)))
+def _curve(table: DataFrame, by: list[str], points: int, name: str, value: str) -> DataFrame:
+    """Turn one wide row per group into rows ``(point, x, <name>)``.
+
+    ``value`` is SQL for the curve at point ``{i}``; ``lo`` and ``step`` are columns.
+    """
+    cells = ", ".join(
+        f"struct({i} as point, lo + step * {i} as x, {value.format(i=i)} as {name})" for i in range(points)
+    )
+    return table.select(*by, F.expr(f"inline(array({cells}))"))
 
 
 def density(
@@ -146,10 +148,7 @@ def density(
     sums = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("lo", "step", "h")], *kernels
     )
-    scale = F.col("n") * F.col("h") * math.sqrt(2 * math.pi)
-    return _curve(
-        sums, by, points, F.col("lo"), F.col("step"), "density", lambda i: F.col(f"k{i}") / scale
-    )
+    return _curve(sums, by, points, "density", f"k{{i}} / (n * h * {math.sqrt(2 * math.pi)!r}D)")
 
 
 def ols(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
@@ -203,10 +202,10 @@ def lowess(
     ]
     table = rows.groupBy(*by).agg(F.first("lo").alias("lo"), F.first("step").alias("step"), *sums)
 
-    def fit(i: int) -> Column:
-        s, sd, sdd, sy, sdy = (F.col(f"{name}{i}") for name in ("s", "sd", "sdd", "sy", "sdy"))
-        det = s * sdd - sd * sd
-        line = F.try_divide(sdd * sy - sd * sdy, det)
-        return F.when(det > s * s * 1e-12, line).otherwise(F.try_divide(sy, s))
-
-    return _curve(table, by, points, F.col("lo"), F.col("step"), "fit", fit)
+    det = "(s{i} * sdd{i} - sd{i} * sd{i})"
+    return _curve(
+        table, by, points, "fit",
+        f"case when {det} > s{{i}} * s{{i}} * 1e-12D"
+        f" then try_divide(sdd{{i}} * sy{{i}} - sd{{i}} * sdy{{i}}, {det})"
+        " else try_divide(sy{i}, s{i}) end",
+    )
