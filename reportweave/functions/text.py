@@ -71,8 +71,10 @@ def extract_answer(col: Column, question: int) -> Column:
     The answer starts after the first ``.`` or ``:`` behind ``Q<n>`` (no ``*`` in
     between) and ends before a line that opens ``Q<n+1>``, bold or not.
     """
-    pattern = rf"(?s)Q{question}[^*]*?[.:](.*?)(?=\n(?:\*\*)?Q{question + 1}|\z)"
-    return strip(F.regexp_extract(text_or_empty(col), pattern, 1))
+    # Whole lines at a time, and possessive: no backtracking and no recursion, so
+    # that long answers neither slow down nor exhaust the stack.
+    body = rf"((?:[^\n]++|\n(?!(?:\*\*)?Q{question + 1}))*+)"
+    return strip(F.regexp_extract(text_or_empty(col), rf"Q{question}[^*]*?[.:]{body}", 1))
 
 
 def labelled_field(col: Column, label: str, stop: str = r"*\n.") -> Column:
@@ -143,12 +145,17 @@ def _composed_form(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKC")
 
 
+# ASCII characters that a slug drops: no letter, digit, blank, underscore or hyphen.
+_DROPPED = "".join(c for c in map(chr, range(128)) if not (c.isalnum() or c.isspace() or c in "_-"))
+
+
 def slugify(col: Column, allow_unicode: bool = False) -> Column:
     """Lower-case name of letters, digits, ``_`` and single ``-``."""
-    base = F.lower(_composed_form(col) if allow_unicode else _ascii_form(col))
-    flag = "(?U)" if allow_unicode else ""
-    kept = F.regexp_replace(base, rf"{flag}[^\w\s\x1c-\x1f-]", "")
-    return F.btrim(F.regexp_replace(kept, rf"{flag}[-\s\x1c-\x1f]+", "-"), F.lit("-_"))
+    if allow_unicode:
+        kept = F.regexp_replace(F.lower(_composed_form(col)), regex(r"[^\w\s-]"), "")
+    else:
+        kept = F.translate(F.lower(_ascii_form(col)), _DROPPED, "")
+    return F.btrim(F.regexp_replace(kept, regex(r"[-\s]+"), "-"), F.lit("-_"))
 
 
 def file_name(path: Column) -> Column:

@@ -108,8 +108,9 @@ def infer(
     row as ``failed``.  ``concurrency`` bounds the number of simultaneous calls by
     the number of tasks.
 
-    Write the result before using it: every action on an unwritten one would call
-    the model again.
+    Requests reach a task in batches of bounded size
+    (``spark.sql.execution.arrow.maxBytesPerBatch``).  Write the result before using
+    it: every action on an unwritten one would call the model again.
     """
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,7 +124,7 @@ def infer(
 
     ready = requests.select("report", request_json(F.col("messages")).alias("messages"))
     if concurrency:
-        ready = ready.repartition(concurrency)
+        ready = ready.repartition(concurrency, "report")
     return ready.mapInPandas(call, ANSWERS_SCHEMA)
 
 

@@ -63,6 +63,14 @@ def test_extract_answer_on_random_texts(spark):
         ]
 
 
+def test_long_answers(spark):
+    long = "a b\n" * 300_000
+    got = evaluate(spark, [f"Q1. {long}\nQ2: {long}x"], lambda c: T.extract_answer(c, 1))
+    assert got == [long.strip()]
+    field = evaluate(spark, [f"**X:** {'y ' * 300_000}* z"], lambda c: T.labelled_field(c, "X", "*"))
+    assert field == [("y " * 300_000).strip()]
+
+
 def test_strip_matches_python(spark):
     texts = ["", " a ", "\n\ta b\r\n", "　x ", "\x1cy\x1f", "​z", "\x85w\xa0", "   "]
     assert evaluate(spark, texts, T.strip) == [t.strip() for t in texts]
