@@ -117,6 +117,8 @@ def test_file_names(spark):
 def test_rewrite_keeps_order(spark):
     pairs = [("Model:", "Model"), ("Brand:", "Brand"), ("Model:", "Model")]
     assert evaluate(spark, ["Model:: Brand:"], lambda c: T.rewrite(c, pairs)) == ["Model Brand"]
+    pairs = [("a.b", "$1"), ("(x)", "\\"), (" - ", "")]
+    assert evaluate(spark, ["a.b acb (x) - y"], lambda c: T.rewrite(c, pairs)) == ["$1 acb \\y"]
 
 
 def test_rules(spark):
