@@ -17,8 +17,8 @@ def contains_any(col: Column, parts) -> Column:
 def first_match(col: Column, rules, default=None) -> Column:
     """Label of the first rule one of whose parts occurs in the text.
 
-    ``rules`` is an ordered list of ``(parts, label)``; ``default`` may be a value
-    or a Column.  For any-case matching pass a lower-cased text.
+    ``rules`` is an ordered list of ``(parts, label)``; labels and ``default`` may be
+    values or Columns.  For any-case matching pass a lower-cased text.
     """
     chain = None
     for parts, label in rules:

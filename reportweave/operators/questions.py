@@ -46,16 +46,15 @@ def _find_vehicle(text: Column) -> Column:
     def brand_only(pattern: str) -> Column:
         return _vehicle(T.strip(T.extract(text, pattern, 2)), None, T.extract(text, pattern, 1))
 
-    rules = F
-    for phrases, *known in V.AV_KNOWN_PHRASES:
-        rules = rules.when(R.contains_any(text, phrases), _vehicle(*known))
-    return (
-        rules.when(T.matches(text, V.AV_YEAR_BRAND_MODEL), full(V.AV_YEAR_BRAND_MODEL))
+    known = [(phrases, _vehicle(*cells)) for phrases, *cells in V.AV_KNOWN_PHRASES]
+    patterns = (
+        F.when(T.matches(text, V.AV_YEAR_BRAND_MODEL), full(V.AV_YEAR_BRAND_MODEL))
         .when(T.matches(text, V.AV_BARE_YEAR_BRAND_MODEL), full(V.AV_BARE_YEAR_BRAND_MODEL))
         .when(T.strip(T.extract(text, V.AV_YEAR_BRAND, 2)) != "", brand_only(V.AV_YEAR_BRAND))
         .when(T.matches(text, V.AV_FREE_TEXT), brand_only(V.AV_FREE_TEXT))
         .otherwise(_vehicle(None, None, None))
     )
+    return R.first_match(text, known, patterns)
 
 
 def _model_name(model: Column) -> Column:
