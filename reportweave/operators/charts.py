@@ -29,11 +29,11 @@ def prettify(df: DataFrame, columns) -> DataFrame:
 
 
 def _long(df: DataFrame, x: list[str], keep=()) -> DataFrame:
-    """Rows ``(*keep, variable, value)`` with the values as text."""
+    """Rows ``(*keep, variable, value)`` with the values as text; ``keep`` goes with one column."""
     if len(x) == 1:
         return df.select(*keep, F.lit(x[0]).alias("variable"), F.col(x[0]).cast("string").alias("value"))
-    texts = df.select(*keep, *[F.col(c).cast("string").alias(c) for c in x])
-    return texts.unpivot(list(keep), x, "variable", "value")
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in x])
+    return texts.unpivot([], x, "variable", "value")
 
 
 def _counts(long: DataFrame, *by: str) -> DataFrame:
@@ -75,11 +75,8 @@ def hist(
         binned = reduce(DataFrame.unionByName, parts)
         return binned.orderBy("variable", "bin") if sort_desc else binned
 
-    extra = []
-    if color:
-        df = df.withColumn("color", F.col(color))
-        extra = ["color"]
-    counts = _counts(_long(df, x, extra), *extra)
+    extra = [F.col(color).alias("color")] if color else []
+    counts = _counts(_long(df, x, extra), *(["color"] if color else []))
     if color:
         # One row per value and colour is left here, so the totals are a small join.
         totals = counts.groupBy("value").agg(F.sum("n").alias("_total"))

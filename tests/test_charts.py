@@ -31,6 +31,8 @@ def test_hist_color(letters):
     got = rows(C.hist(letters, "v", color="w"))
     assert got[:2] == [("v", "a", "x", 1), ("v", "a", "y", 1)]
     assert ("v", "b_C", None, 1) in got and len(got) == 4
+    renamed = letters.select(F.col("v").alias("color"), "w")
+    assert rows(C.hist(renamed, "color", color="w"))[:2] == [("color", "a", "x", 1), ("color", "a", "y", 1)]
     with pytest.raises(ValueError):
         C.hist(letters, ["v", "w"], color="n")
 
