@@ -27,17 +27,24 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path below the shared folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from the session's settings.
 
-    Only a session without that setting, as in tests, gets a temporary folder of
-    its own, which is then kept in the setting.
+    Only a local session without that setting gets a temporary folder of its own, which
+    is then kept in the setting; on a cluster it would be a folder of one machine.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_DIR} has to name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="reportweave-")
         spark.conf.set(CHECKPOINT_DIR, base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -5,6 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from catalog.oracle import ORACLE_SQL
+from catalog.queries import QUERIES
 from check import connect, normal
 
 
@@ -14,7 +16,8 @@ def duck(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
@@ -22,7 +25,7 @@ def test_entry(spark):
     assert result.columns == ["variable", "value", "n"] and result.count() == 3
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, sf_dir, name):
     mine = entry.queries()[name](spark, sf_dir).toPandas()
     theirs = duck.execute(entry.oracle_sql()[name]).df()
