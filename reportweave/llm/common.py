@@ -29,7 +29,7 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def with_few(df: DataFrame, few: DataFrame, on: str, how: str) -> DataFrame:
+def with_few(df: DataFrame, few: DataFrame, on: Column, how: str) -> DataFrame:
     """Join of a large table with stored ids: broadcast while these are few, shuffled otherwise."""
     small = few.count() <= BROADCAST_IDS
     return df.join(F.broadcast(few) if small else few, on, how)

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reportweave.llm.common import documents
+from reportweave.llm.decontaminate import contaminated
+from reportweave.llm.fingerprints import document_fingerprints
 from reportweave.llm.language_id import identify_language
 from reportweave.llm.license_scan import scan_licenses
 from reportweave.llm.mixing import mix_sizes
+from reportweave.llm.near_dedup import near_duplicates
+from reportweave.llm.quality import judge_quality
 from reportweave.llm.token_counts import count_tokens
+from reportweave.llm.toxicity import score_toxicity
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +34,39 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir)).drop("spans")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are the hosts and their languages the paths."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    path = F.concat_ws("/", "source", "lang")
+    return judge_quality(documents(spark, sf_dir), labels, F.col("source"), path)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
     "op5_license_scan": op5_license_scan,
+    "op6_decontamination": op6_decontamination,
+    "op7_near_dedup": op7_near_dedup,
+    "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE_SQL = {

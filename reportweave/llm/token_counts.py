@@ -29,6 +29,7 @@ SETTLED = r"[^\x00-\u052f\u2000-\u206f\u20a0-\u20bf]"
 # Files beyond this size are no tokenizer to broadcast.
 LARGEST_FILE = 64_000_000
 LONGEST_KEPT = 64
+SAMPLE_CHARS = 20_000
 
 
 class Lengths(dict):
@@ -68,28 +69,21 @@ def frequent_pre_tokens(docs: DataFrame, text: str, source: str, size: int, samp
     """Lengths of the most frequent pre-tokens of a bounded sample.
 
     The table only decides what is looked up and what is encoded, never a count, so a
-    sample will do: ``sample_rows`` texts, ``size`` entries of up to 64 characters.
+    sample will do: up to ``sample_rows`` texts of up to ``SAMPLE_CHARS`` characters, as
+    they are read first, and ``size`` entries of up to 64 characters.
     """
+    import regex
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import regex
-
-        pattern, seen = regex.compile(PRE_TOKEN), Counter()
-        for batch in batches:
-            for value in batch["t"]:
-                seen.update(p for p in pattern.findall(value) if len(p) <= LONGEST_KEPT)
-                if len(seen) > 20 * size:
-                    seen = Counter(dict(seen.most_common(size)))
-        yield pd.DataFrame([p for p, _ in seen.most_common(size)], columns=["p"])
-
-    sample = docs.select(whole_text(F.col(text)).alias("t")).limit(sample_rows)
-    found = [r.p for r in sample.mapInPandas(count, "p string").collect()]
+    short = docs.select(F.col(text).alias("t")).where(F.length("t") <= SAMPLE_CHARS)
+    pattern, seen = regex.compile(PRE_TOKEN), Counter()
+    for row in short.take(sample_rows):
+        seen.update(p for p in pattern.findall(row.t) if len(p) <= LONGEST_KEPT)
     encode, _ = _loaded(source)
-    return {p: encode(p) for p in found}
+    return {p: encode(p) for p, _ in seen.most_common(size)}
 
 
 def token_count(docs: DataFrame, text: str, tokenizer_file: str, table_size: int = 40_000,
-                sample_rows: int = 4_000, cache_size: int = 200_000) -> Column:
+                sample_rows: int = 2_000, cache_size: int = 200_000) -> Column:
     """Column with the number of tokens of each text, as the library counts them.
 
     No begin, end or added special tokens, no truncation; strings of special tokens
