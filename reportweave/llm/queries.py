@@ -11,6 +11,7 @@ from reportweave.llm.decontaminate import contaminated
 from reportweave.llm.fingerprints import document_fingerprints
 from reportweave.llm.language_id import identify_language
 from reportweave.llm.license_scan import scan_licenses
+from reportweave.llm.line_dedup import line_report
 from reportweave.llm.mixing import mix_sizes
 from reportweave.llm.near_dedup import near_duplicates
 from reportweave.llm.quality import judge_quality
@@ -18,6 +19,10 @@ from reportweave.llm.token_counts import count_tokens
 from reportweave.llm.toxicity import score_toxicity
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -58,6 +63,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
