@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportweave.llm.common import stored, whole_text
+from reportweave.llm.common import stored, whole_text, with_few
 from reportweave.llm.components import connected_components
 
 RADIUS = 3
@@ -88,18 +88,22 @@ def _neighbours(cell: Column) -> Column:
     return F.array_compact(F.array(*steps))
 
 
-def fingerprint_links(fingerprints: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b: all pairs of different fingerprints (column ``fp``) that differ in RADIUS bits or fewer.
+def _around(cell: Column) -> Column:
+    """The cells that a cell looks into: its own, and those at distance 1 if the sum of its counts is even.
 
-    Cells at distance 1 have sums of counts that differ by 1, so only cells of an even sum
-    look around themselves: every pair of cells meets once from one side.
+    Cells at distance 1 have sums that differ by 1, so every two of them meet once, from one side.
     """
+    ones, twos = cell.bitwiseAND(F.lit(_EVERY_SECOND)), cell.bitwiseAND(F.lit(2 * _EVERY_SECOND))
+    even = (F.bit_count(ones) + 2 * F.bit_count(twos)) % 2 == 0
+    return F.when(even, F.concat(F.array(cell), _neighbours(cell))).otherwise(F.array(cell))
+
+
+def fingerprint_links(fingerprints: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: all pairs of different fingerprints (column ``fp``) that differ in RADIUS bits or fewer."""
     halves = fingerprints.select("fp", F.explode(_cells(F.col("fp"))).alias("h")).select("fp", "h.half", "h.cell")
-    sums = F.bit_count(F.col("cell").bitwiseAND(F.lit(_EVERY_SECOND))) + 2 * F.bit_count(
-        F.col("cell").bitwiseAND(F.lit(2 * _EVERY_SECOND))
+    looks = halves.select(
+        F.col("fp").alias("a"), F.col("half").alias("a_half"), F.explode(_around(F.col("cell"))).alias("a_cell")
     )
-    around = F.when(sums % 2 == 0, F.concat(F.array("cell"), _neighbours(F.col("cell")))).otherwise(F.array("cell"))
-    looks = halves.select(F.col("fp").alias("a"), F.col("half").alias("a_half"), F.explode(around).alias("a_cell"))
     met = looks.join(halves, (F.col("a_cell") == F.col("cell")) & (F.col("a_half") == F.col("half")))
     near = met.where((F.col("a") != F.col("fp")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= RADIUS))
     return near.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
@@ -127,3 +131,139 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return marked.join(named, F.col("fp") == F.col("of_fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+# Near-duplicate texts: fingerprints of WIDE numbers of 64 bits over the distinct words of a
+# text, so that texts of a shingle similarity of 0.8 differ in about 6 % of the bits.
+WIDE = 3
+SHINGLE, SIMILARITY = 5, 0.8
+# Bits that may differ in 64 bits beside a shared cell, and in all.
+BESIDE, IN_ALL = 16, 30
+WORDS_KEPT = 150_000
+LONGEST_KEPT = 40
+
+
+def wide_simhash(text: Column) -> Column:
+    """An array of WIDE numbers: every distinct word votes with its length; no word, all zero."""
+
+    @F.pandas_udf("array<long>")
+    def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import xxhash
+
+        cache: dict[bytes, bytes] = {}
+
+        def hashed(word: bytes) -> bytes:
+            found = cache.get(word)
+            if found is None:
+                found = b"".join(xxhash.xxh64_digest(word, seed) for seed in range(WIDE))
+                if len(word) <= LONGEST_KEPT:
+                    if len(cache) >= WORDS_KEPT:
+                        cache.clear()
+                    cache[word] = found
+            return found
+
+        def of(text: str) -> np.ndarray:
+            words = sorted(set(_lower(text).split()))
+            votes, weight = np.zeros(64 * WIDE), 0
+            for start in range(0, len(words), 1 << 14):
+                part = words[start : start + (1 << 14)]
+                bits = np.frombuffer(b"".join(map(hashed, part)), dtype=np.uint8).reshape(len(part), 8 * WIDE)
+                weights = np.fromiter(map(len, part), np.float64, len(part))
+                votes += weights @ np.unpackbits(bits, axis=1)
+                weight += weights.sum()
+            return np.packbits(2 * votes > weight).view(np.int64)
+
+        for batch in batches:
+            yield pd.Series([of(v) for v in batch])
+
+    return fingerprint(whole_text(text))
+
+
+def _bits_apart(a: Column, b: Column) -> Column:
+    apart = [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(WIDE)]
+    return sum(apart[1:], apart[0])
+
+
+def _near_texts(nodes: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: nodes that share a cell or have cells at Manhattan distance 1, and differ in few bits.
+
+    ``nodes`` has ``node`` and ``wide``.  What meets in a cell is compared by the next 64 bits
+    at once, and by all bits after that.
+    """
+    bands = F.array(*[
+        F.struct(F.lit(2 * k).cast("long").alias("band"), half.alias("h"), F.get("wide", F.lit((k + 1) % WIDE)).alias("beside"))
+        for k in range(WIDE) for half in [_cells(F.get("wide", F.lit(k)))]
+    ])
+    each = nodes.select("node", F.explode(bands).alias("s")).select("node", "s.band", "s.beside", F.explode("s.h").alias("h"))
+    homes = each.select("node", "beside", (F.col("band") + F.col("h.half")).alias("band"), F.col("h.cell").alias("cell"))
+    looks = homes.select(
+        F.col("node").alias("other"), F.col("beside").alias("other_beside"), F.col("band").alias("other_band"),
+        F.explode(_around(F.col("cell"))).alias("other_cell"),
+    )
+    # One number per band and cell: cells have 32 bits.
+    key = (F.shiftleft("band", 32) + F.col("cell")).alias("key")
+    other = (F.shiftleft("other_band", 32) + F.col("other_cell")).alias("other_key")
+    met = looks.select("other", "other_beside", other).join(homes.select("node", "beside", key), F.col("other_key") == F.col("key"))
+    close = met.where(
+        (F.col("other") != F.col("node")) & (F.bit_count(F.col("beside").bitwiseXOR(F.col("other_beside"))) <= BESIDE)
+    ).select(F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b")).distinct()
+    left = nodes.select(F.col("node").alias("a_node"), F.col("wide").alias("a_wide"))
+    right = nodes.select(F.col("node").alias("b_node"), F.col("wide").alias("b_wide"))
+    both = close.join(left, F.col("a") == F.col("a_node")).join(right, F.col("b") == F.col("b_node"))
+    return both.where(_bits_apart(F.col("a_wide"), F.col("b_wide")) <= IN_ALL).select("a", "b")
+
+
+def text_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``(doc_id, group_id)``: documents of equal texts, or linked by a shingle similarity from ``similarity`` on.
+
+    Candidates come from the popcount grid and are verified exactly: Jaccard similarity of
+    the sets of word shingles.  group_id is the smallest doc_id of the group.  Equal texts
+    are one node, so copies make no pairs; null texts are empty ones and equal to each
+    other.  Rows without an id are left out; rows that repeat an id are one document.
+    """
+    known = docs.where("doc_id is not null").select("doc_id", whole_text(F.col("text")).alias("text"))
+    marked = stored(known.select("doc_id", F.unhex(F.md5("text")).alias("same"), wide_simhash(F.col("text")).alias("wide")))
+    classes = stored(marked.groupBy("same").agg(F.min(F.struct("doc_id", "wide")).alias("f")).select(
+        "same", F.col("f.doc_id").alias("node"), F.col("f.wide").alias("wide")
+    ))
+    pairs = stored(_near_texts(classes))
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct())
+
+    @F.pandas_udf("array<long>")
+    def shingle_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import xxhash
+
+        for batch in batches:
+            yield pd.Series([
+                np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(v, words)], dtype=np.uint64)).view(np.int64)
+                for v in batch
+            ])
+
+    @F.pandas_udf("double")
+    def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
+        shared = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(left, right, strict=True)])
+        return pd.Series(shared / np.maximum(1, left.map(len) + right.map(len) - shared))
+
+    texts = with_few(known, wanted, F.col("doc_id") == F.col("wanted"), "inner")
+    sets = stored(texts.dropDuplicates(["doc_id"]).select("doc_id", shingle_set("text").alias("set")))
+    left, right = sets.toDF("left_id", "left_set"), sets.toDF("right_id", "right_set")
+    similar = (
+        pairs.join(left, F.col("a") == F.col("left_id")).join(right, F.col("b") == F.col("right_id"))
+        .where(jaccard("left_set", "right_set") >= similarity).select("a", "b")
+    )
+    roots = connected_components(similar)
+    # The smallest node of a component is its root, so the root names the group.
+    named = classes.join(roots, classes["node"] == roots["node"], "left").select(
+        F.col("same").alias("of_same"), F.coalesce("root", classes["node"]).alias("group_id")
+    )
+    return marked.join(named, F.col("same") == F.col("of_same")).select("doc_id", "group_id")
+
+
+def without_near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group, that of the smallest doc_id, with all its columns.
+
+    Rows without an id are kept, as a result cannot name them.
+    """
+    groups = text_groups(docs, words, similarity)
+    gone = stored(groups.where("doc_id <> group_id").select(F.col("doc_id").alias("_gone_id")).distinct())
+    return with_few(docs, gone, docs["doc_id"] == gone["_gone_id"], "left_anti")

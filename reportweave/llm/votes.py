@@ -78,10 +78,11 @@ def within_radius(fingerprints: DataFrame, radius: int, accept: int | None = Non
         raise ValueError("blocks would be too short or too wide for this radius")
     distinct = fingerprints.select("fp").distinct()
     table = distinct.select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("key"))
-    left, right = table.withColumnsRenamed({"fp": "a", "key": "a_key"}), table.withColumnRenamed("fp", "b")
-    met = left.join(right, (F.col("a_key") == F.col("key")) & (F.col("a") < F.col("b")))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= (radius if accept is None else accept)
-    return met.where(near).select("a", "b").distinct()
+    # Both sides are the same table, so it is shuffled once.
+    a, b = F.col("left.fp"), F.col("right.fp")
+    met = table.alias("left").join(table.alias("right"), (F.col("left.key") == F.col("right.key")) & (a < b))
+    near = F.bit_count(a.bitwiseXOR(b)) <= (radius if accept is None else accept)
+    return met.where(near).select(a.alias("a"), b.alias("b")).distinct()
 
 
 def hex_of(fp: Column) -> Column:
