@@ -26,7 +26,7 @@ MIN_OVERLAP = 13
 MIN_SHARE = 0.8
 # Bits of the filter that documents test their seeds against: 2 MB, whatever the benchmark's size.
 FILTER_BITS = 24
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
 LONGEST_KEPT = 40
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
