@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 64
-# Two counters of 32 bits in one number: no text has 2^31 weighted terms, so they never meet.
+# Two counters in one number, 32 bits apart.
 _PAIR = (1 << 32) | 1
+# Weights of a key have to stay below this in sum, so that its counters never meet.
+MOST_WEIGHT = 1 << 29
+# Bytes of a text from which every term weighs 1, as there might be too many; below, weights go up to 64.
+HUGE_TEXT = 1 << 24
 
 
 def words(text: Column) -> Column:
@@ -27,8 +31,9 @@ def simhash_votes(rows: DataFrame, keys: list[str], term: Column, weight: Column
     """``keys`` and ``fp`` from one row per term: the weighted votes of each bit, summed and signed.
 
     A bit is 1 if the weight of the terms that set it is more than half of all; without
-    weight, the fingerprint is 0.  Terms of a key are next to each other in a task, so
-    they are added up before anything is shuffled.
+    weight, the fingerprint is 0.  The weights of a key add up to less than MOST_WEIGHT.
+    Terms of a key are next to each other in a task, so they are added up before anything
+    is shuffled.
     """
     hashed = rows.select(*keys, term.alias("_h"), weight.cast("long").alias("_w"))
 
@@ -39,14 +44,20 @@ def simhash_votes(rows: DataFrame, keys: list[str], term: Column, weight: Column
     summed = hashed.groupBy(*keys).agg(
         F.sum("_w").alias("_all"), *[F.sum(pair(k)).alias(f"_s{k}") for k in range(BITS // 2)]
     )
+    # Twice a counter, less all, is above 0 where a bit wins: it then reaches bit 30 of its half.
+    short = (F.lit((MOST_WEIGHT * 2 - 1) * _PAIR) - F.col("_all") * _PAIR).alias("_short")
+    counted = summed.select("*", short)
 
-    def set_bit(k: int) -> Column:
-        total = F.col(f"_s{k % 32}")
-        own = F.shiftrightunsigned(total, 32) if k >= 32 else total.bitwiseAND(F.lit(0xFFFFFFFF))
-        mask = (1 << k) - (1 << 64 if k == 63 else 0)
-        return F.when(2 * own > F.col("_all"), F.lit(mask)).otherwise(F.lit(0).cast("long"))
+    def won(k: int) -> Column:
+        both = F.shiftrightunsigned(2 * F.col(f"_s{k}") + F.col("_short"), 30).bitwiseAND(F.lit(_PAIR))
+        return F.shiftleft(both, k)
 
-    return summed.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), map(set_bit, range(BITS))).alias("fp"))
+    return counted.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), map(won, range(BITS // 2))).alias("fp"))
+
+
+def weight_of(n: Column, text: Column, most: int) -> Column:
+    """``n`` up to ``most``, and up to 1 in huge texts."""
+    return F.least(n, F.when(F.octet_length(text) < HUGE_TEXT, most).otherwise(1))
 
 
 def block_keys(fp: Column, radius: int) -> Column:
