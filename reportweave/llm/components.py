@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportweave.llm.common import stored
@@ -19,7 +21,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     ordered = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = stored(ordered.distinct())
-    while True:
+    state = _state(edges)
+    while state[0]:
         # Larger neighbours: every neighbour above u is linked to the smallest around u (u included).
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -34,11 +37,50 @@ def connected_components(links: DataFrame) -> DataFrame:
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
             .alias("e")
         )
-        after = stored(small.select("e.*").where("u <> v").distinct())
-        changed = after.exceptAll(edges).limit(1).count() + edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not changed:
+        edges = stored(small.select("e.*").where("u <> v").distinct())
+        before, state = state, _state(edges)
+        if state == before:
             break
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     own = edges.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return stored(roots.union(own.join(roots, "node", "left_anti")))
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Number and checksum of the links, to see whether a round has changed them."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())
+
+
+def linked_through_keys(members: DataFrame, accept: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(node, root)`` of all nodes that are linked: components under links between nodes of a shared key.
+
+    ``members`` has ``key``, ``node`` and ``mark``.  Two nodes of a key are a candidate if
+    their marks differ in ``accept`` bits or fewer; ``verify`` takes candidates ``(a, b)``, a < b,
+    and returns those that are links.  Every candidate counts, but none is looked at whose ends
+    are known to be connected: first, all nodes of a key are compared with its smallest
+    one, so that large groups of similar nodes become components without their pairs; then, in
+    keys that still hold several components, all pairs across these.
+    """
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.repartition(tasks, "key")
+    least = dealt.groupBy(F.col("key").alias("of_key")).agg(
+        F.min("node").alias("rep"), F.max("node").alias("top"), F.min_by("mark", "node").alias("rep_mark")
+    ).where("rep <> top").drop("top")
+    shared = stored(dealt.join(least, F.col("key") == F.col("of_key")).drop("of_key"))
+
+    def alike(a: Column, b: Column) -> Column:
+        return F.bit_count(a.bitwiseXOR(b)) <= accept
+
+    stars = shared.where((F.col("node") != F.col("rep")) & alike(F.col("mark"), F.col("rep_mark")))
+    found = stored(verify(stars.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()))
+    roots = connected_components(found)
+    named = stored(shared.join(roots.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select(
+        "key", "node", "mark", F.coalesce("root", "node").alias("part")
+    ))
+    several = named.groupBy(F.col("key").alias("of_key")).agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    rest = stored(named.join(several.where("low <> high"), F.col("key") == F.col("of_key"), "left_semi"))
+    a, b = rest.alias("left"), rest.alias("right")
+    across = a.join(b, (F.col("left.key") == F.col("right.key")) & (F.col("left.node") < F.col("right.node"))
+                    & (F.col("left.part") != F.col("right.part")) & alike(F.col("left.mark"), F.col("right.mark")))
+    more = verify(across.select(F.col("left.node").alias("a"), F.col("right.node").alias("b")).distinct())
+    return connected_components(found.union(more))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportweave.llm.common import stored, whole_text, with_few
-from reportweave.llm.components import connected_components
+from reportweave.llm.components import linked_through_keys
 
 RADIUS = 3
 SEED = 42
@@ -98,15 +98,15 @@ def _around(cell: Column) -> Column:
     return F.when(even, F.concat(F.array(cell), _neighbours(cell))).otherwise(F.array(cell))
 
 
-def fingerprint_links(fingerprints: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b: all pairs of different fingerprints (column ``fp``) that differ in RADIUS bits or fewer."""
-    halves = fingerprints.select("fp", F.explode(_cells(F.col("fp"))).alias("h")).select("fp", "h.half", "h.cell")
+def fingerprint_components(fingerprints: DataFrame) -> DataFrame:
+    """``(node, root)`` of the fingerprints (column ``fp``) that have others within RADIUS bits."""
+    halves = fingerprints.select("fp", F.explode(_cells(F.col("fp"))).alias("h"))
     looks = halves.select(
-        F.col("fp").alias("a"), F.col("half").alias("a_half"), F.explode(_around(F.col("cell"))).alias("a_cell")
+        F.explode(_around(F.col("h.cell"))).alias("cell"), F.col("h.half").alias("half"), F.col("fp").alias("node")
     )
-    met = looks.join(halves, (F.col("a_cell") == F.col("cell")) & (F.col("a_half") == F.col("half")))
-    near = met.where((F.col("a") != F.col("fp")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= RADIUS))
-    return near.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
+    key = F.shiftleft(F.col("half").cast("long"), 32) + F.col("cell")
+    # The bits decide by themselves, so nothing is left to verify.
+    return linked_through_keys(looks.select(key.alias("key"), "node", F.col("node").alias("mark")), RADIUS, lambda pairs: pairs)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -120,7 +120,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """
     marked = stored(docs.select("doc_id", simhash(F.col("text"), words).alias("fp")))
     each = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected_components(fingerprint_links(each.select("fp")))
+    roots = fingerprint_components(each)
     # Fingerprints without links are their own roots.
     rooted = each.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
@@ -184,33 +184,18 @@ def _bits_apart(a: Column, b: Column) -> Column:
     return sum(apart[1:], apart[0])
 
 
-def _near_texts(nodes: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b: nodes that share a cell or have cells at Manhattan distance 1, and differ in few bits.
-
-    ``nodes`` has ``node`` and ``wide``.  What meets in a cell is compared by the next 64 bits
-    at once, and by all bits after that.
-    """
+def _text_cells(nodes: DataFrame) -> DataFrame:
+    """``(key, node, mark)``: the cells that each node looks into; the mark is the next 64 bits."""
     bands = F.array(*[
-        F.struct(F.lit(2 * k).cast("long").alias("band"), half.alias("h"), F.get("wide", F.lit((k + 1) % WIDE)).alias("beside"))
+        F.struct(F.lit(2 * k).cast("long").alias("band"), half.alias("h"), F.get("wide", F.lit((k + 1) % WIDE)).alias("mark"))
         for k in range(WIDE) for half in [_cells(F.get("wide", F.lit(k)))]
     ])
-    each = nodes.select("node", F.explode(bands).alias("s")).select("node", "s.band", "s.beside", F.explode("s.h").alias("h"))
-    homes = each.select("node", "beside", (F.col("band") + F.col("h.half")).alias("band"), F.col("h.cell").alias("cell"))
-    looks = homes.select(
-        F.col("node").alias("other"), F.col("beside").alias("other_beside"), F.col("band").alias("other_band"),
-        F.explode(_around(F.col("cell"))).alias("other_cell"),
+    each = nodes.select("node", F.explode(bands).alias("s")).select("node", "s.band", "s.mark", F.explode("s.h").alias("h"))
+    looks = each.select(
+        F.explode(_around(F.col("h.cell"))).alias("cell"), (F.col("band") + F.col("h.half")).alias("band"), "node", "mark"
     )
     # One number per band and cell: cells have 32 bits.
-    key = (F.shiftleft("band", 32) + F.col("cell")).alias("key")
-    other = (F.shiftleft("other_band", 32) + F.col("other_cell")).alias("other_key")
-    met = looks.select("other", "other_beside", other).join(homes.select("node", "beside", key), F.col("other_key") == F.col("key"))
-    close = met.where(
-        (F.col("other") != F.col("node")) & (F.bit_count(F.col("beside").bitwiseXOR(F.col("other_beside"))) <= BESIDE)
-    ).select(F.least("other", "node").alias("a"), F.greatest("other", "node").alias("b")).distinct()
-    left = nodes.select(F.col("node").alias("a_node"), F.col("wide").alias("a_wide"))
-    right = nodes.select(F.col("node").alias("b_node"), F.col("wide").alias("b_wide"))
-    both = close.join(left, F.col("a") == F.col("a_node")).join(right, F.col("b") == F.col("b_node"))
-    return both.where(_bits_apart(F.col("a_wide"), F.col("b_wide")) <= IN_ALL).select("a", "b")
+    return looks.select((F.shiftleft("band", 32) + F.col("cell")).alias("key"), "node", "mark")
 
 
 def text_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -226,8 +211,6 @@ def text_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMIL
     classes = stored(marked.groupBy("same").agg(F.min(F.struct("doc_id", "wide")).alias("f")).select(
         "same", F.col("f.doc_id").alias("node"), F.col("f.wide").alias("wide")
     ))
-    pairs = stored(_near_texts(classes))
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct())
 
     @F.pandas_udf("array<long>")
     def shingle_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -244,14 +227,20 @@ def text_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMIL
         shared = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(left, right, strict=True)])
         return pd.Series(shared / np.maximum(1, left.map(len) + right.map(len) - shared))
 
-    texts = with_few(known, wanted, F.col("doc_id") == F.col("wanted"), "inner")
-    sets = stored(texts.dropDuplicates(["doc_id"]).select("doc_id", shingle_set("text").alias("set")))
-    left, right = sets.toDF("left_id", "left_set"), sets.toDF("right_id", "right_set")
-    similar = (
-        pairs.join(left, F.col("a") == F.col("left_id")).join(right, F.col("b") == F.col("right_id"))
-        .where(jaccard("left_set", "right_set") >= similarity).select("a", "b")
-    )
-    roots = connected_components(similar)
+    def similar(candidates: DataFrame) -> DataFrame:
+        """Pairs that differ in few bits of all and are similar enough by their shingles."""
+        left = classes.select(F.col("node").alias("a_node"), F.col("wide").alias("a_wide"))
+        right = classes.select(F.col("node").alias("b_node"), F.col("wide").alias("b_wide"))
+        close = candidates.join(left, F.col("a") == F.col("a_node")).join(right, F.col("b") == F.col("b_node"))
+        pairs = stored(close.where(_bits_apart(F.col("a_wide"), F.col("b_wide")) <= IN_ALL).select("a", "b"))
+        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct())
+        texts = with_few(known, wanted, F.col("doc_id") == F.col("wanted"), "inner")
+        sets = stored(texts.dropDuplicates(["doc_id"]).select("doc_id", shingle_set("text").alias("set")))
+        of_a, of_b = sets.toDF("left_id", "left_set"), sets.toDF("right_id", "right_set")
+        both = pairs.join(of_a, F.col("a") == F.col("left_id")).join(of_b, F.col("b") == F.col("right_id"))
+        return both.where(jaccard("left_set", "right_set") >= similarity).select("a", "b")
+
+    roots = linked_through_keys(_text_cells(classes), BESIDE, similar)
     # The smallest node of a component is its root, so the root names the group.
     named = classes.join(roots, classes["node"] == roots["node"], "left").select(
         F.col("same").alias("of_same"), F.coalesce("root", classes["node"]).alias("group_id")
