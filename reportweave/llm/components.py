@@ -56,29 +56,48 @@ def linked_through_keys(members: DataFrame, accept: int, verify: Callable[[DataF
 
     ``members`` has ``key``, ``node`` and ``mark``.  Two nodes of a key are a candidate if
     their marks differ in ``accept`` bits or fewer; ``verify`` takes candidates ``(a, b)``, a < b,
-    and returns those that are links.  Every candidate counts, but none is looked at whose ends
+    and returns those that are links.  Every candidate counts, but few are looked at whose ends
     are known to be connected: first, all nodes of a key are compared with its smallest
-    one, so that large groups of similar nodes become components without their pairs; then, in
-    keys that still hold several components, all pairs across these.
+    one, and those of keys of three or more with one chosen by hash, so that large groups of
+    similar nodes become components without their pairs; then, in keys that still hold
+    several components, all pairs across these.
     """
+
+    def alike(a: Column, b: Column) -> Column:
+        return F.bit_count(a.bitwiseXOR(b)) <= accept
+
+    def pairs(rows: DataFrame, rep: str) -> DataFrame:
+        return rows.select(F.least("node", rep).alias("a"), F.greatest("node", rep).alias("b")).distinct()
+
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.repartition(tasks, "key")
     least = dealt.groupBy(F.col("key").alias("of_key")).agg(
-        F.min("node").alias("rep"), F.max("node").alias("top"), F.min_by("mark", "node").alias("rep_mark")
+        F.min("node").alias("rep"), F.max("node").alias("top"), F.min_by("mark", "node").alias("rep_mark"),
+        F.count(F.lit(1)).alias("n"),
     ).where("rep <> top").drop("top")
-    shared = stored(dealt.join(least, F.col("key") == F.col("of_key")).drop("of_key"))
+    star = (F.col("node") != F.col("rep")) & alike(F.col("mark"), F.col("rep_mark"))
+    # A key of two has no other pair than that with its smallest node.
+    shared = stored(dealt.join(least, (F.col("key") == F.col("of_key")) & (star | (F.col("n") > 2))).drop("of_key"))
+    found = stored(verify(pairs(shared.where(star), "rep")))
+    crowded = shared.where("n > 2").select("key", "node", "mark")
 
-    def alike(a: Column, b: Column) -> Column:
-        return F.bit_count(a.bitwiseXOR(b)) <= accept
+    def parted() -> DataFrame:
+        """Members of the keys that hold several components, with their component."""
+        roots = connected_components(found).withColumnRenamed("node", "of_node")
+        named = stored(crowded.join(roots, F.col("node") == F.col("of_node"), "left").select(
+            "key", "node", "mark", F.coalesce("root", "node").alias("part")
+        ))
+        several = named.groupBy(F.col("key").alias("of_key")).agg(F.min("part").alias("low"), F.max("part").alias("high"))
+        return stored(named.join(several.where("low <> high"), F.col("key") == F.col("of_key"), "left_semi"))
 
-    stars = shared.where((F.col("node") != F.col("rep")) & alike(F.col("mark"), F.col("rep_mark")))
-    found = stored(verify(stars.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()))
-    roots = connected_components(found)
-    named = stored(shared.join(roots.withColumnRenamed("node", "of_node"), F.col("node") == F.col("of_node"), "left").select(
-        "key", "node", "mark", F.coalesce("root", "node").alias("part")
-    ))
-    several = named.groupBy(F.col("key").alias("of_key")).agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    rest = stored(named.join(several.where("low <> high"), F.col("key") == F.col("of_key"), "left_semi"))
+    rest = parted()
+    chosen = rest.groupBy(F.col("key").alias("of_key")).agg(
+        F.min_by(F.struct("node", "mark", "part"), F.xxhash64("node")).alias("r")
+    ).select("of_key", F.col("r.node").alias("rep"), F.col("r.mark").alias("rep_mark"), F.col("r.part").alias("rep_part"))
+    second = rest.join(chosen, (F.col("key") == F.col("of_key")) & (F.col("part") != F.col("rep_part"))
+                       & alike(F.col("mark"), F.col("rep_mark")))
+    found = stored(found.union(verify(pairs(second, "rep"))))
+    rest = parted()
     a, b = rest.alias("left"), rest.alias("right")
     across = a.join(b, (F.col("left.key") == F.col("right.key")) & (F.col("left.node") < F.col("right.node"))
                     & (F.col("left.part") != F.col("right.part")) & alike(F.col("left.mark"), F.col("right.mark")))
