@@ -62,6 +62,7 @@ AV_KNOWN_PHRASES = [
     (["2017 Volvo XC 90 (autonomous vehicle)"], "Volvo", "XC 90", "2017"),
     (["2016 Model C-4 Grand Touring 4D UTV"], "Citroen", "C-4", "2016"),
     (["2019 Tesla Model X (Autonomous Vehicle)"], "Tesla", "Model X", "2019"),
+    (["Year 2019, Brand Unknown (likely a Tesla)"], "Tesla", None, "2019"),
     (["2016 Nissan (make unknown)"], "Nissan", None, "2016"),
 ]
 AV_YEAR_BRAND_MODEL = (

@@ -130,9 +130,13 @@ def choice_flag(captured: Column, positive: str) -> Column:
 
 
 def pretty_label(col: Column) -> Column:
-    """Underscores to blanks, first letter upper case and the rest lower case."""
+    """Underscores to blanks, first letter title case and the rest lower case."""
     words = F.replace(col, F.lit("_"), F.lit(" "))
-    return F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substr(words, F.lit(2))))
+    first = F.substring(words, 1, 1)
+    upper = F.upper(first)
+    # Some letters are several in upper case; only the first of these stays so.
+    several = F.concat(F.substring(upper, 1, 1), F.lower(F.substr(upper, F.lit(2))))
+    return F.concat(F.when(F.length(upper) > 1, several).otherwise(F.initcap(first)), F.lower(F.substr(words, F.lit(2))))
 
 
 @F.pandas_udf(StringType())
@@ -152,7 +156,7 @@ _DROPPED = "".join(c for c in map(chr, range(128)) if not (c.isalnum() or c.issp
 def slugify(col: Column, allow_unicode: bool = False) -> Column:
     """Lower-case name of letters, digits, ``_`` and single ``-``."""
     if allow_unicode:
-        kept = F.regexp_replace(F.lower(_composed_form(col)), regex(r"[^\w\s-]"), "")
+        kept = F.regexp_replace(F.lower(_composed_form(col)), regex(r"[^\p{L}\p{N}_\s-]"), "")
     else:
         kept = F.translate(F.lower(_ascii_form(col)), _DROPPED, "")
     return F.btrim(F.regexp_replace(kept, regex(r"[-\s]+"), "-"), F.lit("-_"))

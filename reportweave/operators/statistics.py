@@ -27,7 +27,7 @@ def _numbers(df: DataFrame, color: str | None = None, **columns: str) -> tuple[D
     by = [F.col(color).alias("color")] if color else []
     rows = df.select(*by, *[F.col(c).cast("double").alias(name) for name, c in columns.items()])
     for name in columns:
-        rows = rows.where(F.col(name).isNotNull() & ~F.isnan(name))
+        rows = rows.where(F.col(name).isNotNull() & ~F.isnan(name) & (F.abs(name) != float("inf")))
     return rows, ["color"] if color else []
 
 

@@ -26,23 +26,25 @@ def read_reports(spark: SparkSession, path: str, glob: str | None = None) -> Dat
 
 
 def read_responses(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
-    """Saved answers as ``(report, response)``.
+    """Saved answers: ``report``, ``response``, then all further columns as they come.
 
-    In a CSV an answer spans lines, so a file is read by one task as a whole: keep
-    large collections in Parquet and use CSV for exchange.
+    CSV columns go by the names in the header, in any order, and are texts; the files of
+    a folder have one header.  As an answer spans lines, a CSV file is read by one task as
+    a whole: keep large collections in Parquet and use CSV for exchange.
     """
     if format == "csv":
         reader = (
-            spark.read.schema(RESPONSES_SCHEMA)
-            .option("header", True)
+            spark.read.option("header", True)
             .option("multiLine", True)
             .option("escape", '"')
             .option("enforceSchema", False)
             .option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False)
         )
-        return reader.csv(path)
-    return spark.read.format(format).load(path).select("report", "response")
+        saved = reader.csv(path)
+    else:
+        saved = spark.read.format(format).load(path)
+    return saved.select("report", "response", *[c for c in saved.columns if c not in ("report", "response")])
 
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:

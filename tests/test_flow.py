@@ -184,3 +184,11 @@ def test_scratch_folder_is_below_the_shared_one(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     first, second = scratch_folder(spark, "x"), scratch_folder(spark, "x")
     assert first.startswith(base + "/x-") and first != second
+
+
+def test_saved_answers_keep_further_columns(spark, tmp_path):
+    path = tmp_path / "answers.csv"
+    path.write_text('note,response,report\nn1,"1. yes\n2. no",a.pdf\n,"x ""y""",b.pdf\n', encoding="utf-8")
+    saved = read_responses(spark, str(path))
+    assert saved.columns == ["report", "response", "note"]
+    assert sorted(map(tuple, saved.collect())) == [("a.pdf", "1. yes\n2. no", "n1"), ("b.pdf", 'x "y"', None)]

@@ -135,3 +135,10 @@ def test_rules(spark):
         None, None, "Unknown", "x", None
     ]
     assert evaluate(spark, ["", None, "x"], lambda c: R.default_if_blank(c, "d")) == ["d", "d", "x"]
+
+
+def test_letters_of_several_and_combining_marks(spark):
+    rows = spark.createDataFrame([("ßa",), ("ﬁx",), ("ǆ_B",), ("plain_Text",), ("हिन्दी",)], "v string")
+    got = [tuple(r) for r in rows.select(T.pretty_label(F.col("v")), T.slugify(F.col("v"), allow_unicode=True)).collect()]
+    assert [g[0] for g in got[:4]] == ["Ssa", "Fix", "ǅ b", "Plain text"]
+    assert got[4][1] == "हनद"
