@@ -49,6 +49,10 @@ AUTOMATED = [
     ("Automated Vehicle: Year 2015, Brand Ford, Model F-150", "Ford", "F", "2015"),
     ("Automated Vehicle: 2015, Brand Daimler, Model not specified", "Mercedes-Benz", "Unknown", "2015"),
     ("Automated Vehicle: Year Unknown, Brand Unknown (likely a Tesla), Model 3", "Tesla", "Model 3", "Unknown"),
+    (
+        'Automated Vehicle: Year 2019, Brand Unknown (indicated by "AV") (likely a Tesla), Model 3',
+        "Tesla", "Unknown", "2019",
+    ),
     ("Automated Vehicle: Year 2020, Brand Land Rover.", "Land Rover", "Unknown", "2020"),
     # A blank brand: the last pattern takes over and the year is lost with it.
     ("Automated Vehicle: Year 2019, Brand  .", "Unknown", "Unknown", "Unknown"),
