@@ -116,7 +116,8 @@ class Ranker:
     def top(self, text: str) -> np.ndarray:
         """Ids of the text's most frequent n-grams by rank; equal counts in order of a checksum."""
         counted = Counter(words_of(text))
-        if not counted:
+        # Runs may consist of number signs such as ½ alone.
+        if not any(any(map(str.isalpha, w)) for w in counted):
             return np.empty(0, dtype=np.int64)
         parts = [self.grams(w) for w in counted]
         ids = np.concatenate(parts)

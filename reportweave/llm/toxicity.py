@@ -20,8 +20,8 @@ DIMENSIONS = 1 << 21
 THRESHOLD = 0.3
 # Labelled rows that the model is fitted on, at most: those of the lowest hash of doc_id.
 MAX_ROWS = 8_000
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.2
+EPOCHS = 8
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.2
 WORDS_KEPT = 100_000
 LONGEST_KEPT = 40
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)

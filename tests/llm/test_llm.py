@@ -162,6 +162,12 @@ def test_simhash_is_exact(spark):
         assert int(row.fingerprint, 16) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_language_needs_a_letter(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "½ ² 7", "en"), (3, "a½", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify_language(docs).collect()}
+    assert got == {1: "en", 2: "und", 3: "en"}
+
+
 def test_held_out_accuracy(spark, sf_dir):
     sf = sf_dir.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
