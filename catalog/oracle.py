@@ -170,17 +170,26 @@ ORACLE_SQL["scatter_ols"] = (
     " round(regr_intercept(l_extendedprice, l_quantity), 4) as intercept,"
     " round(regr_r2(l_extendedprice, l_quantity), 9) as r2 from lineitem group by 1"
 )
-ORACLE_SQL["lowess"] = """
-    with e as (select min(l_quantity) as lo, max(l_quantity) as hi from lineitem),
-    g as (select cast(i as integer) as point, lo + i * ((hi - lo) / 11) as x from e, range(12) t(i)),
-    w as (select l_returnflag as color, point, x, l_extendedprice as y, l_quantity - x as d,
-            case when abs(l_quantity - x) < 15
-                 then pow(1 - pow(abs(l_quantity - x) / 15, 3), 3) else 0 end as w
-          from lineitem, g),
-    s as (select color, point, x, sum(w) as s, sum(w * d) as sd, sum(w * d * d) as sdd,
+def _lowess(points: int, reach: str, digits: int) -> str:
+    """Local lines on the grid of each colour; ``reach`` is an aggregate over the distances."""
+    return f"""
+    with p as (select l_returnflag as color, l_quantity as x, l_extendedprice as y from lineitem),
+    e as (select color, min(x) as lo, max(x) as hi from p group by color),
+    d as (select color, cast(i as integer) as point, lo + i * ((hi - lo) / {points - 1}) as place, y,
+            x - (lo + i * ((hi - lo) / {points - 1})) as d
+          from p join e using (color), range({points}) t(i)),
+    r as (select color, point, {reach} as reach from d group by 1, 2),
+    w as (select color, point, place, y, d,
+            case when abs(d) < reach then pow(1 - pow(abs(d) / reach, 3), 3) else 0 end as w
+          from d join r using (color, point)),
+    s as (select color, point, place, sum(w) as s, sum(w * d) as sd, sum(w * d * d) as sdd,
             sum(w * y) as sy, sum(w * d * y) as sdy from w group by 1, 2, 3)
-    select color, point, round(x, 6) as x,
-           round((sdd * sy - sd * sdy) / (s * sdd - sd * sd), 4) as fit from s"""
+    select color, point, round(place, 6) as x,
+           round((sdd * sy - sd * sdy) / (s * sdd - sd * sd), {digits}) as fit from s"""
+
+
+ORACLE_SQL["lowess"] = _lowess(12, "15", 4)
+ORACLE_SQL["lowess_frac_color"] = _lowess(8, "quantile_disc(abs(d), 0.5)", 3)
 
 
 def _box(color: str | None) -> str:

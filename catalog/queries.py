@@ -295,24 +295,29 @@ def lowess(spark, sf_dir):
     return line.select("color", "point", rounded("x"), rounded("fit", 4))
 
 
-EXACT = 1_000_000
+@query
+def lowess_frac_color(spark, sf_dir):
+    line = statistics.lowess(
+        table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag", points=8, frac=0.5,
+    )
+    return line.select("color", "point", rounded("x"), rounded("fit", 3))
 
 
 @query
 def box_stats(spark, sf_dir):
-    boxes = statistics.box(table(spark, sf_dir, "events"), "value", accuracy=EXACT)
+    boxes = statistics.box(table(spark, sf_dir, "events"), "value")
     return boxes.select(*[rounded(c) for c in boxes.columns])
 
 
 @query
 def box_stats_color(spark, sf_dir):
-    boxes = statistics.box(table(spark, sf_dir, "events"), "value", "event_type", accuracy=EXACT)
+    boxes = statistics.box(table(spark, sf_dir, "events"), "value", "event_type")
     return boxes.select("color", *[rounded(c) for c in boxes.columns if c != "color"])
 
 
 @query
 def kde(spark, sf_dir):
-    curve = statistics.density(table(spark, sf_dir, "events"), "value", points=40, accuracy=EXACT)
+    curve = statistics.density(table(spark, sf_dir, "events"), "value", points=40)
     return curve.select("point", rounded("x"), rounded("density", 9))
 
 

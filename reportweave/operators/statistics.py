@@ -9,13 +9,16 @@ joined, and only m numbers per task are exchanged.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-ACCURACY = 10_000
-INLINE_COLORS = 100
+# Value ranges that ranks are first looked for in; their counts are ordered in one task per group.
+RANGES = 1 << 16
 
 
 def is_number(df: DataFrame, x: str) -> bool:
@@ -59,25 +62,66 @@ def binned_counts(df: DataFrame, x: str, nbins: int, color: str | None = None) -
     )
 
 
-def box(df: DataFrame, x: str, color: str | None = None, accuracy: int = ACCURACY) -> DataFrame:
+def _counted(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, v, n)``: how often each value occurs."""
+    return rows.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quantiles(counted: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
+    """``(*by, q)``: the values of rank ``ceil(share * rows)`` of every group, exact at any size.
+
+    ``counted`` has ``(*by, v, n)``.  Values are counted by ranges first; only those of the
+    ranges that hold a rank are then put in order.  Ranges are even on a scale of signed
+    logarithms, which keeps the order and is not spoilt by a few huge values.
+    """
+    placed = counted.withColumn("g", F.signum("v") * F.log1p(F.abs("v")))
+    ends = _scalar(placed, lo=F.min("g"), hi=F.max("g"))
+    share = F.try_divide(F.col("g") - ends["lo"], ends["hi"] - ends["lo"])
+    placed = placed.withColumn("part", F.coalesce(F.floor(share * RANGES), F.lit(0)).cast("int")).drop("g")
+
+    upto = F.sum("m").over(W.partitionBy(*by).orderBy("part").rowsBetween(W.unboundedPreceding, 0))
+    parts = placed.groupBy(*by, "part").agg(F.sum("n").alias("m")).withColumns(
+        {"upto": upto, "rows": F.sum("m").over(W.partitionBy(*by))}
+    )
+    ranks = F.array(*[F.greatest(F.lit(1), F.ceil(F.col("rows") * F.lit(float(s)))).cast("long") for s in shares])
+    wanted = parts.select(
+        *[F.col(c).alias(f"_{c}") for c in by], F.col("part").alias("_part"),
+        (F.col("upto") - F.col("m")).alias("before"), "upto", F.posexplode(ranks).alias("k", "rank"),
+    ).where((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("upto"))).drop("upto")
+
+    same = F.col("part") == F.col("_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    within = W.partitionBy(*by, "k").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    ordered = placed.join(wanted, same).withColumn("upto", F.col("before") + F.sum("n").over(within))
+    found = ordered.where((F.col("upto") - F.col("n") < F.col("rank")) & (F.col("rank") <= F.col("upto")))
+    values = F.array_sort(F.collect_list(F.struct("k", "v")))
+    return found.groupBy(*by).agg(F.transform(values, lambda e: e["v"]).alias("q"))
+
+
+def _with_quantiles(rows: DataFrame, by: list[str], table: DataFrame) -> DataFrame:
+    """Rows with the ``q`` of their group, of which there is one row each."""
+    if not by:
+        return rows.withColumn("q", table.select("q").scalar())
+    renamed = table.select(*[F.col(c).alias(f"_{c}") for c in by], "q")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return rows.join(renamed, same).drop(*[f"_{c}" for c in by])
+
+
+def box(df: DataFrame, x: str, color: str | None = None) -> DataFrame:
     """Quartiles, fences (outermost values within 1.5 box lengths) and outlier count.
 
-    Quartiles are values of the column; their rank is off by at most
-    ``rows / accuracy``, and exact while ``2 * rows < accuracy``.  The state per
-    task is bounded by the accuracy, not by the rows.
+    Quartiles are values of the column, those of rank ``ceil(share * rows)``.
     """
     rows, by = _numbers(df, color, v=x)
-    quartiles = F.percentile_approx("v", [0.25, 0.5, 0.75], accuracy)
-    if by:
-        rows = _with_quartiles(rows, rows.groupBy(F.col("color").alias("_color")).agg(quartiles.alias("q")))
-    else:
-        rows = rows.withColumn("q", rows.agg(quartiles).scalar())
+    counted = _counted(rows, by)
+    counted = _with_quantiles(counted, by, quantiles(counted, by, [0.25, 0.5, 0.75]))
     q1, q2, q3 = (F.col("q")[i] for i in range(3))
     reach = (q3 - q1) * 1.5
     low, high = q1 - reach, q3 + reach
     inside = F.col("v").between(low, high)
-    return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
+    return counted.groupBy(*by).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
         F.min("v").alias("min"),
         F.first(q1).alias("q1"),
         F.first(q2).alias("median"),
@@ -85,25 +129,10 @@ def box(df: DataFrame, x: str, color: str | None = None, accuracy: int = ACCURAC
         F.max("v").alias("max"),
         F.min(F.when(inside, F.col("v"))).alias("lower_fence"),
         F.max(F.when(inside, F.col("v"))).alias("upper_fence"),
-        F.count_if(~inside).alias("n_outliers"),
+        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("n_outliers"),
     )
 
 
-def _with_quartiles(rows: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Add each row's quartiles by colour.
-
-    The quartiles of a few colours become literals, so the rows stay where they
-    are.  With more colours the two tables are joined.
-    """
-    few = boxes.limit(INLINE_COLORS + 1).collect()
-    if len(few) > INLINE_COLORS:
-        return rows.join(boxes, F.col("color").eqNullSafe(F.col("_color"))).drop("_color")
-    chosen = F.lit(None).cast("array<double>")
-    for color, q in few:
-        chosen = F.when(F.col("color").eqNullSafe(F.lit(color)), F.lit(q)).otherwise(chosen)
-    return rows.withColumn("q", chosen)
-
-
 def _curve(table: DataFrame, by: list[str], points: int, name: str, value: str) -> DataFrame:
     """Turn one wide row per group into rows ``(point, x, <name>)``.
 
@@ -121,7 +150,6 @@ def density(
     color: str | None = None,
     points: int = 50,
     bandwidth: float | None = None,
-    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Gaussian kernel density ``([color,] point, x, density)`` on an even grid.
 
@@ -129,11 +157,12 @@ def density(
     Colours share grid and bandwidth; each density integrates to one by itself.
     """
     rows, by = _numbers(df, color, v=x)
-    quartile = F.percentile_approx("v", [0.25, 0.75], accuracy)
-    s = _scalar(
-        rows, lo=F.min("v"), hi=F.max("v"), sd=F.stddev("v"), n=F.count("v"), q=quartile,
-    )
-    iqr = (F.col("s.q")[1] - F.col("s.q")[0]) / 1.349
+    s = _scalar(rows, lo=F.min("v"), hi=F.max("v"), sd=F.stddev("v"), n=F.count("v"))
+    if not bandwidth:
+        rows = _with_quantiles(rows, [], quantiles(_counted(rows, []), [], [0.25, 0.75]))
+        iqr = (F.col("q")[1] - F.col("q")[0]) / 1.349
+    else:
+        iqr = F.lit(None).cast("double")
     spread = F.when(iqr > 0, F.least(F.col("s.sd"), iqr)).otherwise(F.col("s.sd"))
     rule = F.lit(1.059) * spread * F.pow(F.col("s.n").cast("double"), F.lit(-0.2))
     rows = rows.withColumn("s", s)
@@ -170,24 +199,35 @@ def lowess(
     points: int = 20,
     frac: float = 2 / 3,
     bandwidth: float | None = None,
-    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Locally weighted line ``([color,] point, x, fit)`` on an even grid.
 
     One pass without robustness iterations: at each grid point a line is fitted
     with tricube weights.  The window holds the nearest ``frac`` of the rows, or
-    reaches ``bandwidth`` to both sides where that is given.
+    reaches ``bandwidth`` to both sides where that is given.  Each colour has its own
+    grid and windows.
     """
     rows, by = _numbers(df, color, x=x, y=y)
-    ends = _scalar(rows, lo=F.min("x"), hi=F.max("x"))
-    rows = rows.withColumns({"lo": ends["lo"], "step": (ends["hi"] - ends["lo"]) / (points - 1)})
+    ends = rows.groupBy(*by).agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")).alias("q"))
     grid = range(points)
-    rows = rows.withColumns({f"d{i}": F.expr(f"x - (lo + {i} * step)") for i in grid})
+
+    def on_grid(table: DataFrame) -> DataFrame:
+        """Ends and step of the group's own grid."""
+        own = _with_quantiles(table, by, ends)
+        return own.withColumns({"lo": F.col("q.lo"), "step": (F.col("q.hi") - F.col("q.lo")) / (points - 1)}).drop("q")
+
     if bandwidth:
-        rows = rows.withColumn("reach", F.array_repeat(F.lit(float(bandwidth)), points))
+        rows = on_grid(rows).withColumn("reach", F.array_repeat(F.lit(float(bandwidth)), points))
     else:
-        nearest = [F.expr(f"percentile_approx(abs(d{i}), {frac}D, {accuracy})") for i in grid]
-        rows = rows.withColumn("reach", rows.agg(F.array(*nearest)).scalar())
+        # Values are counted before they are measured from each point of the grid.
+        counted = on_grid(rows.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("n")))
+        away = counted.select(*by, "n", "x", "lo", "step", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+        away = away.select(*by, "point", "n", F.expr("abs(x - (lo + point * step))").alias("v"))
+        reach = quantiles(away, [*by, "point"], [frac]).groupBy(*by).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("point", F.col("q")[0].alias("r")))), lambda e: e["r"]).alias("q")
+        )
+        rows = _with_quantiles(on_grid(rows), by, reach).withColumnRenamed("q", "reach")
+    rows = rows.withColumns({f"d{i}": F.expr(f"x - (lo + {i} * step)") for i in grid})
     rows = rows.withColumns({f"u{i}": F.expr(f"abs(d{i}) / reach[{i}]") for i in grid})
     rows = rows.withColumns({
         f"w{i}": F.expr(f"case when u{i} < 1 then pow(1 - u{i} * u{i} * u{i}, 3) else 0D end") for i in grid

@@ -95,7 +95,7 @@ def cloud(spark):
 
 def test_density(cloud):
     df, x, _, color = cloud
-    got = S.density(df, "x", points=30, accuracy=100_000).orderBy("point").collect()
+    got = S.density(df, "x", points=30).orderBy("point").collect()
     n, sd = len(x), x.std(ddof=1)
     s = np.sort(x)
     iqr = s[int(np.ceil(0.75 * n)) - 1] - s[int(np.ceil(0.25 * n)) - 1]
@@ -119,7 +119,7 @@ def local_line(x, y, at, reach):
 def test_lowess_nearest_and_fixed(cloud):
     df, x, y, _ = cloud
     grid = np.linspace(x.min(), x.max(), 8)
-    got = S.lowess(df, "x", "y", points=8, frac=0.4, accuracy=100_000).orderBy("point").collect()
+    got = S.lowess(df, "x", "y", points=8, frac=0.4).orderBy("point").collect()
     k = int(np.ceil(0.4 * len(x))) - 1
     want = [local_line(x, y, g, np.sort(np.abs(x - g))[k]) for g in grid]
     assert np.allclose([r.fit for r in got], want)
@@ -136,7 +136,7 @@ def test_ols(cloud):
         assert np.isclose(row.r2, np.corrcoef(x[mine], y[mine])[0, 1] ** 2)
 
 
-def test_box(cloud, monkeypatch):
+def test_box(cloud):
     df, x, _, color = cloud
 
     def want(v):
@@ -145,12 +145,33 @@ def test_box(cloud, monkeypatch):
         inside = s[(s >= q1 - 1.5 * (q3 - q1)) & (s <= q3 + 1.5 * (q3 - q1))]
         return (len(s), s[0], q1, q2, q3, s[-1], inside[0], inside[-1], len(s) - len(inside))
 
-    assert np.allclose(tuple(S.box(df, "x", accuracy=100_000).first()), want(x))
-    for limit in (100, 1):
-        # Few colours go in as literals, many are joined; the result is the same.
-        monkeypatch.setattr(S, "INLINE_COLORS", limit)
-        for row in S.box(df, "x", "c", accuracy=100_000).collect():
-            assert np.allclose(tuple(row)[1:], want(x[color == row.color]))
+    assert np.allclose(tuple(S.box(df, "x").first()), want(x))
+    for row in S.box(df, "x", "c").collect():
+        assert np.allclose(tuple(row)[1:], want(x[color == row.color]))
+
+
+def test_quartiles_are_exact_at_any_size(spark):
+    n = 1_200_000
+    rows = spark.range(n).selectExpr("cast(id * 7 % 1200001 as double) as v", "if(id % 3 = 0, null, 'c') as c")
+    values = np.arange(n) * 7 % 1_200_001.0
+    rank = [int(np.ceil(p * n)) - 1 for p in (0.25, 0.5, 0.75)]
+    one = S.box(rows, "v").first()
+    assert (one.q1, one.median, one.q3) == tuple(np.sort(values)[rank])
+    for row in S.box(rows, "v", "c").collect():
+        part = np.sort(values[(np.arange(n) % 3 == 0) == (row.color is None)])
+        assert row.median == part[int(np.ceil(len(part) / 2)) - 1]
+    # One huge value does not put all others in one range, and does not change their order.
+    odd = spark.range(5001).selectExpr("if(id = 0, 1e300, id / 1000) as v")
+    assert S.box(odd, "v").first().median == 2.501
+    assert S.box(rows.limit(0), "v").first().n == 0 and S.box(rows.limit(0), "v", "c").count() == 0
+
+
+def test_lowess_windows_are_those_of_a_colour(spark):
+    rows = [("far", 1000.0 + i, 3.0 * i) for i in range(200)] + [("near", float(i), 2.0 * i) for i in range(20)]
+    df = spark.createDataFrame(rows, "c string, x double, y double")
+    got = S.lowess(df, "x", "y", "c", points=6, frac=0.5).orderBy("color", "point").collect()
+    assert np.allclose([r.x for r in got], [*np.linspace(1000, 1199, 6), *np.linspace(0, 19, 6)])
+    assert np.allclose([r.fit for r in got], [*(3 * (np.linspace(1000, 1199, 6) - 1000)), *(2 * np.linspace(0, 19, 6))])
 
 
 def test_marginals(letters):
