@@ -251,7 +251,7 @@ ORACLE_SQL["keyword_category"] = "select doc_id, " + O.cases(
 ORACLE_SQL["keyword_category_table"] = """
     with w as (select distinct unnest(string_split_regex(lower(text), '[^a-z]+')) as keyword from benchmark),
     r as (select 100 - length(keyword) as priority, substr(keyword, 1, 1) as category, keyword
-          from w where length(keyword) >= 4),
+          from w where keyword <> ''),
     h as (select conv_id, turn, min((priority, category)) as best
           from conversations join r on position(keyword in lower(text)) > 0 group by 1, 2)
     select conv_id, turn, coalesce(best[2], 'unknown') as category

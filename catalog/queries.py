@@ -391,7 +391,7 @@ def _keyword_rules(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select(
         F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("keyword")
     )
-    return words.where(F.length("keyword") >= 4).distinct().select(
+    return words.where("keyword <> ''").distinct().select(
         (F.lit(100) - F.length("keyword")).cast("int").alias("priority"),
         F.substring("keyword", 1, 1).alias("category"),
         "keyword",

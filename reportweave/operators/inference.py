@@ -30,14 +30,16 @@ def base64_text(content: Column) -> Column:
     return F.translate(F.base64(content), "\r\n", "")
 
 
-def assemble_pages(pages: DataFrame) -> DataFrame:
+def assemble_pages(pages: DataFrame, tasks: int | None = None) -> DataFrame:
     """``(report, pages)`` from ``(report, page_no, content)``, pages in order.
 
-    A request holds all pages of its report, so one row per report is inherent;
+    ``tasks`` is the number of tasks that reports are dealt to, and with that the most
+    calls that :func:`infer` makes at a time.  A request holds all pages of its report, so one row per report is inherent;
     the pages of one report must fit in one request anyway.
     """
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "content")))
-    return pages.groupBy("report").agg(ordered.alias("pages"))
+    dealt = pages.repartition(tasks, "report") if tasks else pages
+    return dealt.groupBy("report").agg(ordered.alias("pages"))
 
 
 def _part(kind: str, text: Column | None = None, url: Column | None = None, detail: str = "high") -> Column:
@@ -97,7 +99,6 @@ def infer(
     client_factory: Callable[[], Callable[[str], str]],
     max_attempts: int = 5,
     wait: float = 60.0,
-    concurrency: int | None = None,
     sleep: Callable[[float], None] = time.sleep,
 ) -> DataFrame:
     """One call per request: ``(report, response, status, error, attempts)``.
@@ -105,8 +106,8 @@ def infer(
     ``client_factory`` returns a function from the JSON text of the messages to the
     answer.  It may raise :class:`RateLimited` (wait, then try again, at most
     ``max_attempts`` times) or :class:`Rejected`; any other error is kept in the
-    row as ``failed``.  ``concurrency`` bounds the number of simultaneous calls by
-    the number of tasks.
+    row as ``failed``.  There are as many simultaneous calls as tasks: see
+    :func:`assemble_pages`, as after it the payload is no longer to be exchanged.
 
     Requests reach a task in batches of bounded size
     (``spark.sql.execution.arrow.maxBytesPerBatch``).  Write the result before using
@@ -123,8 +124,6 @@ def infer(
             yield pd.DataFrame(rows, columns=["report", "response", "status", "error", "attempts"])
 
     ready = requests.select("report", request_json(F.col("messages")).alias("messages"))
-    if concurrency:
-        ready = ready.repartition(concurrency, "report")
     return ready.mapInPandas(call, ANSWERS_SCHEMA)
 
 

@@ -1,8 +1,8 @@
 """Substring lookups against a dictionary, without pairing every text with every entry.
 
-A dictionary of up to :data:`INLINE_LIMIT` entries, passed as Python values or as a
-table, becomes one ``CASE`` expression: no join and no shuffle.  A larger one is
-matched by equality instead: "a is inside b" holds exactly when a equals one of
+A dictionary of up to :data:`INLINE_LIMIT` entries, passed as Python values, becomes one
+``CASE`` expression: no join and no shuffle.  A larger one, and any that is a table, is
+matched by equality instead, with the same results: "a is inside b" holds exactly when a equals one of
 b's substrings of a's length.  So the containing side is unfolded into its
 substrings of the lengths that occur on the other side, and both sides meet in an
 equi-join.  The unfolded side grows with its own text only, whatever the number of
@@ -21,6 +21,7 @@ from ..functions.rules import first_match
 
 INLINE_LIMIT = 200
 SALTS = 16
+SUPPLEMENTARY = r"[\x{10000}-\x{10FFFF}]"
 
 
 def _entries(dictionary: Mapping, nested: bool) -> list[tuple[int, str, str]]:
@@ -33,12 +34,6 @@ def _entries(dictionary: Mapping, nested: bool) -> list[tuple[int, str, str]]:
     return [(i, key, value) for i, (key, value) in enumerate(pairs)]
 
 
-def _rows_if_small(table: DataFrame) -> list | None:
-    """All rows in order if there are at most INLINE_LIMIT, else None; never fetches more."""
-    rows = table.limit(INLINE_LIMIT + 1).collect()
-    return sorted(rows) if len(rows) <= INLINE_LIMIT else None
-
-
 def substrings(col: Column, lengths: Column) -> Column:
     """Distinct substrings of the given lengths (an array column), shorter texts give fewer."""
 
@@ -48,7 +43,10 @@ def substrings(col: Column, lengths: Column) -> Column:
         return F.regexp_extract_all(col, pattern, F.lit(1))
 
     usable = F.filter(lengths, lambda n: (n > 0) & (n <= F.length(col)))
-    return F.array_distinct(F.flatten(F.transform(usable, of_length)))
+    pieces = F.array_distinct(F.flatten(F.transform(usable, of_length)))
+    # A supplementary character is two code units, and a piece must not start at its second one.
+    whole = F.filter(pieces, lambda piece: F.contains(col, piece))
+    return F.when(F.rlike(col, F.lit(SUPPLEMENTARY)), whole).otherwise(pieces)
 
 
 def _unfold(df: DataFrame, column: str, other: DataFrame, other_column: str, keep, name: str) -> DataFrame:
@@ -76,15 +74,11 @@ def lookup(
     ``ord`` belongs to one key.  The order of entries decides.  An empty text matches the first entry; without any
     match, and for a null text, the result is null.
     """
-    if isinstance(dictionary, DataFrame):
-        entries = _rows_if_small(dictionary.select("ord", "key", "val"))
-    else:
+    if not isinstance(dictionary, DataFrame):
         entries = _entries(dictionary, nested)
-        schema = "ord long, key string, val string"
-        if len(entries) > INLINE_LIMIT:
-            dictionary, entries = df.sparkSession.createDataFrame(entries, schema), None
-    if entries is not None:
-        return df.withColumn(target, _inline(F.col(text), entries))
+        if len(entries) <= INLINE_LIMIT:
+            return df.withColumn(target, _inline(F.col(text), entries))
+        dictionary = df.sparkSession.createDataFrame(entries, "ord long, key string, val string")
     # One row per different text: a frequent text is searched once.
     texts = df.select(F.col(text).alias("s")).distinct()
     return _attach(df, text, _first_entries(texts, dictionary), target)
@@ -140,7 +134,9 @@ def _attach(df: DataFrame, text: str, results: DataFrame, target: str) -> DataFr
     joined = salted.join(
         repeated, (F.col(text) == F.col("_s")) & (F.col("_salt") == F.col("_other_salt")), "left"
     )
-    return joined.select(*[F.col(c) for c in df.columns if c != target], F.col("_key").alias(target))
+    # A column of the same name is replaced where it is.
+    columns = df.columns if target in df.columns else [*df.columns, target]
+    return joined.select(*[F.col("_key" if c == target else c).alias(c) for c in columns])
 
 
 def keyword_lookup(
@@ -154,20 +150,18 @@ def keyword_lookup(
 
     ``rules`` maps categories to keywords in order of priority, or is a table
     ``(priority, category, keyword)``.  Keywords are compared with the lower-cased
-    text; they must not be empty.  Null texts and texts without a keyword get the
-    default.
+    text; an empty one occurs in every text.  Null texts and texts without a keyword get
+    the default.
     """
-    if isinstance(rules, DataFrame):
-        listed = _rows_if_small(rules.select("priority", "category", "keyword"))
-    else:
-        listed = [(i, name, w) for i, (name, words) in enumerate(rules.items()) for w in words]
-        schema = "priority int, category string, keyword string"
-        if len(listed) > INLINE_LIMIT:
-            rules, listed = df.sparkSession.createDataFrame(listed, schema), None
-    if listed is not None:
-        low = f"_{target}_low"
-        category = first_match(F.col(low), [(word, name) for _, name, word in listed], default)
-        return df.withColumn(low, F.lower(F.col(text))).withColumn(target, category).drop(low)
+    if not isinstance(rules, DataFrame):
+        listed = [
+            (i, name, w) for i, (name, words) in enumerate(rules.items()) for w in words if w is not None
+        ]
+        if len(listed) <= INLINE_LIMIT:
+            low = f"_{target}_low"
+            category = first_match(F.col(low), [(word, name) for _, name, word in listed], default)
+            return df.withColumn(low, F.lower(F.col(text))).withColumn(target, category).drop(low)
+        rules = df.sparkSession.createDataFrame(listed, "priority int, category string, keyword string")
 
     rule = F.min(F.struct("priority", "category")).alias("rule")
     words = rules.where(F.col("keyword").isNotNull()).groupBy("keyword").agg(rule)
@@ -179,7 +173,9 @@ def keyword_lookup(
         .join(words, "keyword")
         .groupBy(F.col("_digest").alias("s"))
         .agg(F.min("rule").alias("rule"))
-        .select("s", F.col("rule.category").alias("key"))
+        .select("s", F.col("rule").alias("key"))
     )
-    joined = _attach(keyed, "_digest", hits, target).drop("_digest")
-    return joined.withColumn(target, F.coalesce(F.col(target), F.lit(default)))
+    # An empty keyword is in every text, so it joins in at the end.
+    blank = F.when(F.col("_digest").isNotNull(), words.where("keyword = ''").agg(F.min("rule")).scalar())
+    joined = _attach(keyed, "_digest", hits, "_rule").withColumn("_rule", F.least("_rule", blank))
+    return joined.withColumn(target, F.coalesce("_rule.category", F.lit(default))).drop("_digest", "_rule")

@@ -112,6 +112,14 @@ def test_requests(spark):
     assert len(payload["s"][0]["content"]) == 2
 
 
+def test_only_pages_are_exchanged(spark):
+    pages = spark.createDataFrame([("r", 1, b"x"), ("s", 0, b"y")], "report string, page_no int, content binary")
+    answers = infer(build_requests(assemble_pages(pages, tasks=3), "?"), lambda: lambda messages: messages[:5])
+    plan = answers._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "content" in plan[plan.index("Exchange"):] and "to_json" not in plan[plan.index("Exchange"):]
+    assert answers.rdd.getNumPartitions() == 3 and answers.count() == 2
+
+
 def test_inference_policy(spark):
     def client_factory():
         calls = {}
@@ -134,7 +142,7 @@ def test_inference_policy(spark):
     pages = spark.createDataFrame([(p, []) for p in ("fine", "slow", "never", "bad", "crash")],
                                   "report string, pages array<struct<page_no: int, content: binary>>")
     requests = build_requests(pages, F.col("report"))
-    answers = infer(requests, client_factory, max_attempts=3, wait=0.0, concurrency=2)
+    answers = infer(requests, client_factory, max_attempts=3, wait=0.0)
     got = {r.report: (r.status, r.attempts, r.response) for r in answers.collect()}
     assert got == {
         "fine": ("ok", 1, "Q1. Yes, fine."),

@@ -26,6 +26,16 @@ def form(request, monkeypatch):
     return request.param
 
 
+def as_given(spark, form, entries, schema):
+    """Entries as a mapping, or as a table where the join is tested."""
+    if form == "join":
+        return spark.createDataFrame(entries, schema)
+    grouped = {}
+    for _, key, value in sorted(entries, key=lambda e: e[0]):
+        grouped.setdefault(key, []).append(value)
+    return grouped
+
+
 def texts_table(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
 
@@ -90,3 +100,19 @@ def test_other_columns_survive(spark, form):
     df = texts_table(spark, ["Ford"]).withColumn("m", F.lit(1.5))
     assert L.lookup(df, "t", {"a": "Ford"}, target="hit").columns == ["i", "t", "m", "hit"]
     assert L.keyword_lookup(df, "t", {"a": ["f"]}, target="hit").columns == ["i", "t", "m", "hit"]
+
+
+def test_edge_cases_are_the_same_in_both_forms(spark, form):
+    texts = ["\U0001f600abc", "x", "", None, "?abc", "\U0001f600"]
+    df = texts_table(spark, texts).select("i", F.lit("old").alias("key"), "t")
+    entries = [(0, "a", None), (1, "b", "?abc"), (2, "c", "\U0001f600ab"), (3, "d", "x")]
+    got = L.lookup(df, "t", as_given(spark, form, entries, "ord long, key string, val string"), nested=True)
+    assert got.columns == ["i", "key", "t"]
+    assert found(got) == {i: search(entries, t) for i, t in enumerate(texts)}
+    for rules in ([(0, "q", "?abc"), (1, "all", ""), (2, "x", "x")], [(0, "x", "x"), (1, "all", ""), (2, "none", None)]):
+        got = L.keyword_lookup(df, "t", as_given(spark, form, rules, "priority int, category string, keyword string"), target="key")
+        assert got.columns == ["i", "key", "t"]
+        want = {
+            i: "unknown" if t is None else next(c for _, c, w in rules if w is not None and w in t) for i, t in enumerate(texts)
+        }
+        assert found(got) == want
