@@ -1,7 +1,8 @@
 """Text functions as native column expressions.
 
-Every function takes and returns a Column and stays inside code generation,
-apart from :func:`slugify`, whose Unicode normalisation has no built-in.
+Every function takes and returns a Column and stays in the JVM, apart from
+:func:`slugify`, whose Unicode normalisation has no built-in.  What :func:`let`
+binds is evaluated outside whole-stage code generation.
 
 Nothing here names an intermediate column, so the functions can be nested and
 filtered on freely; see :func:`let`.
