@@ -51,11 +51,13 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())
 
 
-def linked_through_keys(members: DataFrame, accept: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_through_keys(
+    members: DataFrame, accept: int | Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
     """``(node, root)`` of all nodes that are linked: components under links between nodes of a shared key.
 
     ``members`` has ``key``, ``node`` and ``mark``.  Two nodes of a key are a candidate if
-    their marks differ in ``accept`` bits or fewer; ``verify`` takes candidates ``(a, b)``, a < b,
+    their marks differ in ``accept`` bits or fewer, or if ``accept`` holds for them; ``verify`` takes candidates ``(a, b)``, a < b,
     and returns those that are links.  Every candidate counts, but few are looked at whose ends
     are known to be connected: first, all nodes of a key are compared with its smallest
     one, and those of keys of three or more with one chosen by hash, so that large groups of
@@ -64,7 +66,7 @@ def linked_through_keys(members: DataFrame, accept: int, verify: Callable[[DataF
     """
 
     def alike(a: Column, b: Column) -> Column:
-        return F.bit_count(a.bitwiseXOR(b)) <= accept
+        return accept(a, b) if callable(accept) else F.bit_count(a.bitwiseXOR(b)) <= accept
 
     def pairs(rows: DataFrame, rep: str) -> DataFrame:
         return rows.select(F.least("node", rep).alias("a"), F.greatest("node", rep).alias("b")).distinct()

@@ -10,6 +10,7 @@ what is found is verified bit by bit.  No link is lost, and no cell is gathered.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,94 +134,90 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     )
 
 
-# Near-duplicate texts: fingerprints of WIDE numbers of 64 bits over the distinct words of a
-# text, so that texts of a shingle similarity of 0.8 differ in about 6 % of the bits.
-WIDE = 3
+# Near-duplicate texts: word shingles, and the Jaccard similarity of their sets that links two texts.
 SHINGLE, SIMILARITY = 5, 0.8
-# Bits that may differ in 64 bits beside a shared cell, and in all.
-BESIDE, IN_ALL = 16, 30
-WORDS_KEPT = 150_000
-LONGEST_KEPT = 40
+# Texts whose shingles are counted, the fewest of them that make a shingle common, and how many common ones
+# are kept.  The counts only order shingles: any order of all shingles gives the same links.
+SAMPLED, COMMON_FROM, MOST_COMMON = 20_000, 3, 200_000
 
 
-def wide_simhash(text: Column) -> Column:
-    """An array of WIDE numbers: every distinct word votes with its length; no word, all zero."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """Distinct hashes of the shingles, in ascending order."""
+    import xxhash
 
-    @F.pandas_udf("array<long>")
-    def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import xxhash
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, words)], dtype=np.uint64))
 
-        cache: dict[bytes, bytes] = {}
-
-        def hashed(word: bytes) -> bytes:
-            found = cache.get(word)
-            if found is None:
-                found = b"".join(xxhash.xxh64_digest(word, seed) for seed in range(WIDE))
-                if len(word) <= LONGEST_KEPT:
-                    if len(cache) >= WORDS_KEPT:
-                        cache.clear()
-                    cache[word] = found
-            return found
-
-        def of(text: str) -> np.ndarray:
-            words = sorted(set(_lower(text).split()))
-            votes, weight = np.zeros(64 * WIDE), 0
-            for start in range(0, len(words), 1 << 14):
-                part = words[start : start + (1 << 14)]
-                bits = np.frombuffer(b"".join(map(hashed, part)), dtype=np.uint8).reshape(len(part), 8 * WIDE)
-                weights = np.fromiter(map(len, part), np.float64, len(part))
-                votes += weights @ np.unpackbits(bits, axis=1)
-                weight += weights.sum()
-            return np.packbits(2 * votes > weight).view(np.int64)
 
-        for batch in batches:
-            yield pd.Series([of(v) for v in batch])
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set, rare ones first, one of which a set of at least that similarity has among its own.
 
-    return fingerprint(whole_text(text))
+    Similar sets share ``similarity`` of the larger one, so no more than the rest can come before
+    the first shared one.  ``common`` has the common hashes in ascending order and their counts.
+    """
+    known, counts = common
+    rank = np.zeros(len(hashes), dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, counts[at], 0)
+    kept = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    return hashes[np.lexsort((hashes, rank))][:kept] if len(hashes) else hashes
 
 
-def _bits_apart(a: Column, b: Column) -> Column:
-    apart = [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(WIDE)]
-    return sum(apart[1:], apart[0])
+def _common_shingles(texts: DataFrame, n_texts: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that several of the sampled texts have, and in how many of them."""
 
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["text"]:
+                yield pd.DataFrame({"shingle": shingle_hashes(text, words).view(np.int64)})
 
-def _text_cells(nodes: DataFrame) -> DataFrame:
-    """``(key, node, mark)``: the cells that each node looks into; the mark is the next 64 bits."""
-    bands = F.array(*[
-        F.struct(F.lit(2 * k).cast("long").alias("band"), half.alias("h"), F.get("wide", F.lit((k + 1) % WIDE)).alias("mark"))
-        for k in range(WIDE) for half in [_cells(F.get("wide", F.lit(k)))]
-    ])
-    each = nodes.select("node", F.explode(bands).alias("s")).select("node", "s.band", "s.mark", F.explode("s.h").alias("h"))
-    looks = each.select(
-        F.explode(_around(F.col("h.cell"))).alias("cell"), (F.col("band") + F.col("h.half")).alias("band"), "node", "mark"
-    )
-    # One number per band and cell: cells have 32 bits.
-    return looks.select((F.shiftleft("band", 32) + F.col("cell")).alias("key"), "node", "mark")
+    # The ids decide, so that a task that is run again takes the same texts.
+    sampled = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_texts))) < SAMPLED)
+    counts = sampled.select("text").mapInPandas(counted, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.where(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toPandas()
+    hashes = most["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], most["n"].to_numpy(np.int64)[order]
 
 
 def text_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, group_id)``: documents of equal texts, or linked by a shingle similarity from ``similarity`` on.
 
-    Candidates come from the popcount grid and are verified exactly: Jaccard similarity of
-    the sets of word shingles.  group_id is the smallest doc_id of the group.  Equal texts
-    are one node, so copies make no pairs; null texts are empty ones and equal to each
-    other.  Rows without an id are left out; rows that repeat an id are one document.
+    The similarity is the Jaccard similarity of the sets of word shingles, and no link is lost: two
+    similar sets share a shingle of their prefixes, and what shares one is verified exactly.
+    group_id is the smallest doc_id of the group.  Equal texts are one node, so copies make
+    no pairs; null texts are empty ones and equal to each other.  Rows without an id are left
+    out; rows that repeat an id are one document.
     """
     known = docs.where("doc_id is not null").select("doc_id", whole_text(F.col("text")).alias("text"))
-    marked = stored(known.select("doc_id", F.unhex(F.md5("text")).alias("same"), wide_simhash(F.col("text")).alias("wide")))
-    classes = stored(marked.groupBy("same").agg(F.min(F.struct("doc_id", "wide")).alias("f")).select(
-        "same", F.col("f.doc_id").alias("node"), F.col("f.wide").alias("wide")
-    ))
+    marked = stored(known.select("doc_id", F.unhex(F.md5("text")).alias("same")))
+    classes = stored(marked.groupBy("same").agg(F.min("doc_id").alias("node")))
+    nodes = stored(classes.select(F.col("node").alias("of_node")).distinct())
+    texts = with_few(known, nodes, F.col("doc_id") == F.col("of_node"), "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(texts, nodes.count(), words))
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, ids, marks = [], [], []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                hashes = shingle_hashes(text, words)
+                first = prefix(hashes, shared.value, similarity)
+                keys.append(first.view(np.int64))
+                ids.append(np.full(len(first), doc_id, dtype=np.int64))
+                marks.append((len(hashes) << 32) + np.arange(len(first), dtype=np.int64))
+            if keys:
+                yield pd.DataFrame({"key": np.concatenate(keys), "node": np.concatenate(ids), "mark": np.concatenate(marks)})
+
+    def may_be_similar(a: Column, b: Column) -> Column:
+        """From sizes of sets and places of a shared shingle; true for the first one that two similar sets share."""
+        size_a, size_b = F.shiftrightunsigned(a, 32), F.shiftrightunsigned(b, 32)
+        left = F.least(size_a - a.bitwiseAND(F.lit(0xFFFFFFFF)), size_b - b.bitwiseAND(F.lit(0xFFFFFFFF)))
+        return left + F.lit(1e-6) >= (size_a + size_b) * F.lit(similarity / (1 + similarity))
 
     @F.pandas_udf("array<long>")
     def shingle_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import xxhash
-
         for batch in batches:
-            yield pd.Series([
-                np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(v, words)], dtype=np.uint64)).view(np.int64)
-                for v in batch
-            ])
+            yield pd.Series([shingle_hashes(v, words).view(np.int64) for v in batch])
 
     @F.pandas_udf("double")
     def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -228,19 +225,17 @@ def text_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMIL
         return pd.Series(shared / np.maximum(1, left.map(len) + right.map(len) - shared))
 
     def similar(candidates: DataFrame) -> DataFrame:
-        """Pairs that differ in few bits of all and are similar enough by their shingles."""
-        left = classes.select(F.col("node").alias("a_node"), F.col("wide").alias("a_wide"))
-        right = classes.select(F.col("node").alias("b_node"), F.col("wide").alias("b_wide"))
-        close = candidates.join(left, F.col("a") == F.col("a_node")).join(right, F.col("b") == F.col("b_node"))
-        pairs = stored(close.where(_bits_apart(F.col("a_wide"), F.col("b_wide")) <= IN_ALL).select("a", "b"))
+        """Pairs that are similar enough by their shingles."""
+        pairs = stored(candidates)
         wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct())
-        texts = with_few(known, wanted, F.col("doc_id") == F.col("wanted"), "inner")
-        sets = stored(texts.dropDuplicates(["doc_id"]).select("doc_id", shingle_set("text").alias("set")))
+        found = with_few(known, wanted, F.col("doc_id") == F.col("wanted"), "inner")
+        sets = stored(found.dropDuplicates(["doc_id"]).select("doc_id", shingle_set("text").alias("set")))
         of_a, of_b = sets.toDF("left_id", "left_set"), sets.toDF("right_id", "right_set")
         both = pairs.join(of_a, F.col("a") == F.col("left_id")).join(of_b, F.col("b") == F.col("right_id"))
         return both.where(jaccard("left_set", "right_set") >= similarity).select("a", "b")
 
-    roots = linked_through_keys(_text_cells(classes), BESIDE, similar)
+    members = texts.mapInPandas(prefixes, "key long, node long, mark long")
+    roots = linked_through_keys(members, may_be_similar, similar)
     # The smallest node of a component is its root, so the root names the group.
     named = classes.join(roots, classes["node"] == roots["node"], "left").select(
         F.col("same").alias("of_same"), F.coalesce("root", classes["node"]).alias("group_id")

@@ -131,6 +131,38 @@ def test_near_duplicate_texts(spark):
     assert {r.doc_id for r in near_dedup.without_near_duplicates(docs).collect()} == {2, 7, 8}
 
 
+def test_near_duplicate_texts_just_above_the_limit(spark):
+    """Every pair of shingle similarity 0.8 or more: cut, prefixed, edited in a block, edited word by word."""
+    rows, wanted = [], set()
+    for n in (12, 60, 300, 1500):
+        for k in range(12):
+            base = [f"n{n}k{k}w{i * i % 997}x{i}" for i in range(n)]
+            cut = base[: n - (n - 4) // 5 + 1]
+            prefixed = [f"f{i}k{k}n{n}" for i in range((n - 4) // 4)] + base
+            block = [*base[: n // 2], *(f"b{i}k{k}n{n}" for i in range((n - 4) // 9 - 4)), *base[n // 2 + max(0, (n - 4) // 9 - 4) :]]
+            single = [f"s{i}k{k}n{n}" if i % 100 == 7 + k and n >= 300 else w for i, w in enumerate(base)]
+            for words in (base, cut, prefixed, block, single, base[: n * 3 // 4]):
+                rows.append((len(rows), " ".join(words)))
+    sets = [set(near_dedup.shingles(text, 5)) for _, text in rows]
+    parent = list(range(len(rows)))
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a in range(len(rows)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared):
+                wanted.add((b, a))
+                low, high = sorted((find(a), find(b)))
+                parent[high] = low
+    assert len(wanted) > 150
+    found = near_dedup.text_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.group_id for r in found} == {v: find(v) for v in range(len(rows))}
+
+
 def test_contaminated(spark, benchmark):
     item = benchmark.first().text.split()
     swapped = " ".join("zzz" if i in (4, 9) else w for i, w in enumerate(item))
