@@ -4,10 +4,16 @@ A seed is a run of tokens of which a fixed mask ignores some, so that a passage
 substituted tokens still shares seeds with its benchmark item.  Seeds of benchmark items
 and of documents are joined by hash; around each hit, the overlap is verified token by
 token and may have substitutions.
+
+No passage is lost: wherever the tokens that differ lie in 13 to 25 tokens, up to a fifth of
+them, one of the masks fits between them, and a longer passage has a part of 13 to 25 tokens
+that differs no more than the whole.  An item of fewer tokens is cut into one piece more
+than it may have substitutions, so one piece is untouched; the pieces are its seeds.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -19,7 +25,7 @@ from pyspark.sql import functions as F
 from reportweave.llm.common import stored, whole_text, with_few
 
 # Fixed masks: 1 tokens count, 0 tokens are ignored.
-MASKS = ("11111111", "1110110111", "11011101011", "101101110011")
+MASKS = ("1111011", "1110100011", "10011111", "1000101111")
 # An overlap counts from this many tokens, or from the whole item if that is shorter,
 MIN_OVERLAP = 13
 # with this share of equal tokens.
@@ -68,14 +74,21 @@ class Seeds:
                 seed ^= seed >> np.uint64(29)
             yield seed
 
-    def whole(self, tokens: np.ndarray, n: int) -> np.ndarray:
-        """Seed of all n tokens from each place, for items that are shorter than any mask."""
+    def runs(self, tokens: np.ndarray, n: int) -> np.ndarray:
+        """Seed of n consecutive tokens from each place, for the pieces of short items."""
         seed = np.full(max(0, len(tokens) - n + 1), 97, dtype=np.uint64)
         for place in range(n):
             seed = (seed ^ tokens[place : place + len(seed)]) * _ODD
         return seed
 
 
+def pieces(n: int, share: float) -> list[tuple[int, int]]:
+    """Places and lengths of the pieces of n tokens: one more than tokens may differ, as equal as can be."""
+    parts = n - math.ceil(share * n - 1e-9) + 1
+    cuts = [n * i // parts for i in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def longest_overlap(equal: np.ndarray, least: int, share: float) -> tuple[int, int]:
     """``(tokens, equal tokens)`` of the longest run of at least ``least`` tokens, ``share`` of them equal; else zeros."""
     if len(equal) < least:
@@ -89,7 +102,7 @@ def longest_overlap(equal: np.ndarray, least: int, share: float) -> tuple[int, i
     return (end - at, int(equal[at:end].sum())) if end - at >= least else (0, 0)
 
 
-def seed_hits(docs: DataFrame, tests: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+def seed_hits(docs: DataFrame, tests: DataFrame, masks: tuple[str, ...], least: int, share: float) -> DataFrame:
     """``(doc_id, item_id, n_item, shift)``: where a document shares a seed with an item laid at ``shift``.
 
     Documents test their seeds against a filter of a fixed size, and only those that pass
@@ -98,9 +111,10 @@ def seed_hits(docs: DataFrame, tests: DataFrame, masks: tuple[str, ...]) -> Data
     slots = tests.select(F.shiftrightunsigned("seed", 64 - FILTER_BITS).alias("slot")).distinct()
     filled = np.zeros(1 << FILTER_BITS, dtype=bool)
     filled[np.array([r.slot for r in slots.toLocalIterator()], dtype=np.int64)] = True
-    # Lengths below that of the shortest mask, so there are few.
-    short = tests.select("n_item").where(F.col("n_item") < min(map(len, masks))).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast((np.packbits(filled), [r.n_item for r in short.collect()]))
+    # Lengths below that of a passage, so there are few.
+    short = tests.select("n_item").where(F.col("n_item") < least).distinct()
+    runs = sorted({length for r in short.collect() for _, length in pieces(r.n_item, share)})
+    shared = docs.sparkSession.sparkContext.broadcast((np.packbits(filled), runs))
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packed, lengths = shared.value
@@ -110,7 +124,7 @@ def seed_hits(docs: DataFrame, tests: DataFrame, masks: tuple[str, ...]) -> Data
             ids, found, places = [], [], []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 tokens = make.tokens(text)
-                for seed in [*make.seeds(tokens), *(make.whole(tokens, n) for n in lengths)]:
+                for seed in [*make.seeds(tokens), *(make.runs(tokens, n) for n in lengths)]:
                     at = np.flatnonzero(filled[(seed >> shift).astype(np.int64)])
                     if len(at):
                         ids += [doc_id] * len(at)
@@ -145,15 +159,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
         for batch in batches:
             for item_id, item in zip(batch["item_id"], batch["item"], strict=True):
                 item = np.asarray(item, dtype=np.int64).view(np.uint64)
-                seeds = list(make.seeds(item)) or ([make.whole(item, len(item))] if len(item) else [])
-                for seed in seeds:
+                if len(item) >= least:
+                    seeds = [(np.arange(len(seed)), seed) for seed in make.seeds(item)]
+                else:
+                    seeds = [([at], make.runs(item[at : at + n], n)) for at, n in pieces(len(item), share) if n]
+                for places, seed in seeds:
                     yield pd.DataFrame({"seed": seed.view(np.int64), "item_id": item_id,
-                                        "item_at": np.arange(len(seed)), "n_item": len(item)})
+                                        "item_at": places, "n_item": len(item)})
 
     named = benchmark.where("item_id is not null").select("item_id", tokens(whole_text(F.col("text"))).alias("item"))
     items = stored(named)
     tests = stored(items.mapInPandas(seeds_of, "seed long, item_id long, item_at int, n_item int"))
-    candidates = stored(seed_hits(docs, tests, masks).withColumnRenamed("doc_id", "of_doc"))
+    candidates = stored(seed_hits(docs, tests, masks, least, share).withColumnRenamed("doc_id", "of_doc"))
 
     @F.pandas_udf("array<long>")
     def passage(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:

@@ -1,6 +1,7 @@
 """Each operation against a brute-force version, and the edge cases: nulls, empty and long texts, ties, repeats."""
 
 import hashlib
+import itertools
 import re
 
 import pytest
@@ -172,6 +173,35 @@ def test_contaminated(spark, benchmark):
     assert found == {(1, 1): (15, 13), (3, 3): (2, 2)}
 
 
+def test_masks_and_pieces_reach_every_placement():
+    """Up to a fifth of the tokens differ, in all placements: a mask fits between them, or a piece is untouched."""
+    def hit(n, places, seeds):
+        return any(not any(at + i in places for i in seed) for span, seed in seeds for at in range(n - span + 1))
+
+    masks = [(len(m), [i for i, c in enumerate(m) if c == "1"]) for m in decontaminate.MASKS]
+    for n in range(13, 26):
+        missed = [p for p in itertools.combinations(range(n), n // 5) if not hit(n, p, masks)]
+        assert not missed, (n, len(missed))
+    for n in range(1, 13):
+        for p in itertools.combinations(range(n), n // 5):
+            assert any(not any(at <= i < at + length for i in p) for at, length in decontaminate.pieces(n, 0.8)), (n, p)
+
+
+def test_contaminated_wherever_tokens_differ(spark):
+    """Every placement of a fifth of the tokens, for items of 1 to 13 tokens, and some of 15 and 20."""
+    items, docs = [], []
+    for n in [*range(1, 14), 15, 20]:
+        item = [f"item{n}word{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        for places in list(itertools.combinations(range(n), n // 5))[:: 1 if n < 14 else 13]:
+            words = ["zzz" if i in places else w for i, w in enumerate(item)]
+            docs.append((10_000 * n + len(docs), f"before {' '.join(words)} after"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i // 10_000) for i, _ in docs}
+    assert all(r.n_equal >= 0.8 * r.n_overlap for r in found)
+
+
 def test_edited_texts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r.doc_id: r for r in fingerprints.document_fingerprints(docs).collect()}
