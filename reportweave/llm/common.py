@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reportweave.session import shared_folder
@@ -35,6 +38,28 @@ def with_few(df: DataFrame, few: DataFrame, on: Column, how: str) -> DataFrame:
     return df.join(F.broadcast(few) if small else few, on, how)
 
 
+def with_own_ids(docs: DataFrame, operation: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``operation`` on ``docs`` with an id for each row that has none; these are null again in the result.
+
+    ``operation`` keeps all columns.  An id is made from all columns of the row and its number among equal
+    rows, so that a rerun makes the same ones; it comes after all usual ids.  Equal rows are
+    numbered in one task, by hash alone.
+    """
+    unnamed = docs.where("doc_id is null")
+    if unnamed.isEmpty():
+        return operation(docs)
+    hashed = unnamed.withColumn("_row_hash", F.xxhash64(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"})))
+    numbered = hashed.withColumn("_row_number", F.row_number().over(W.partitionBy("_row_hash").orderBy("_row_hash")))
+    # Positive and of 63 bits, the second highest one set.
+    own = F.xxhash64("_row_hash", "_row_number").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    given = numbered.withColumn("doc_id", own.cast(docs.schema["doc_id"].dataType)).drop("_row_hash", "_row_number")
+    every = docs.where("doc_id is not null").withColumn("_unnamed", F.lit(False)).unionByName(
+        stored(given.withColumn("_unnamed", F.lit(True)))
+    )
+    done = operation(every)
+    return done.withColumn("doc_id", F.when(~F.col("_unnamed"), F.col("doc_id"))).drop("_unnamed")
+
+
 def in_held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportweave.llm.common import stored, whole_text, with_few
+from reportweave.llm.common import stored, whole_text, with_few, with_own_ids
 
 # Fixed masks: 1 tokens count, 0 tokens are ignored.
 MASKS = ("1111011", "1110100011", "10011111", "1000101111")
@@ -202,9 +202,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no passage of a benchmark item, with all their columns.
+    """The documents that hold no passage of a benchmark item, with all their columns, also those without an id."""
 
-    Rows without an id are kept, as a result cannot name them.
-    """
-    found = stored(contaminated(docs, benchmark).select(F.col("doc_id").alias("_held_id")).distinct())
-    return with_few(docs, found, docs["doc_id"] == found["_held_id"], "left_anti")
+    def clean(named: DataFrame) -> DataFrame:
+        found = stored(contaminated(named, benchmark).select(F.col("doc_id").alias("_held_id")).distinct())
+        return with_few(named, found, named["doc_id"] == found["_held_id"], "left_anti")
+
+    return with_own_ids(docs, clean)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reportweave.llm.common import ASCII_SPACE, stored, whole_text
+from reportweave.llm.common import ASCII_SPACE, stored, whole_text, with_own_ids
 
 # Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -96,10 +96,14 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = RE
     """The mix itself: documents in the order of their virtual finish times, copies repeated.
 
     All columns of ``docs``, then ``mix_copy`` (0 for the first) and ``mix_time``.  Rows
-    without a doc_id are not taken, as nothing tells them apart; rows that repeat an id
-    are taken once each, as often as the plan says for the first of them.
+    without a doc_id are mixed like any other; rows that repeat an id are taken once each,
+    as often as the plan says for the first of them.
     """
-    plan = mix_plan(docs.where(F.col("doc_id").isNotNull()), weights, repeats)
+    return with_own_ids(docs, lambda named: _mixed(named, weights, repeats))
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
+    plan = mix_plan(docs, weights, repeats)
     of_id = plan.groupBy(F.col("doc_id").alias("_mix_id")).agg(
         F.min_by(F.struct((F.col("source_size") / F.col("weight")).alias("lap"), "finish", "copies"), "finish").alias("_mix")
     )

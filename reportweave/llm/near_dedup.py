@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportweave.llm.common import stored, whole_text, with_few
+from reportweave.llm.common import stored, whole_text, with_few, with_own_ids
 from reportweave.llm.components import linked_through_keys
 
 RADIUS = 3
@@ -246,8 +246,12 @@ def text_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMIL
 def without_near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group, that of the smallest doc_id, with all its columns.
 
-    Rows without an id are kept, as a result cannot name them.
+    Rows without an id are documents of their own, after those with one.
     """
-    groups = text_groups(docs, words, similarity)
-    gone = stored(groups.where("doc_id <> group_id").select(F.col("doc_id").alias("_gone_id")).distinct())
-    return with_few(docs, gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+
+    def first_of_groups(named: DataFrame) -> DataFrame:
+        groups = text_groups(named, words, similarity)
+        gone = stored(groups.where("doc_id <> group_id").select(F.col("doc_id").alias("_gone_id")).distinct())
+        return with_few(named, gone, named["doc_id"] == gone["_gone_id"], "left_anti")
+
+    return with_own_ids(docs, first_of_groups)

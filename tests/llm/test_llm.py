@@ -202,6 +202,31 @@ def test_contaminated_wherever_tokens_differ(spark):
     assert all(r.n_equal >= 0.8 * r.n_overlap for r in found)
 
 
+def test_rows_without_an_id(spark, benchmark):
+    """They are deduplicated, decontaminated and mixed like any other."""
+    line = "this line is in several documents of the corpus and stays in one"
+    texts = [" ".join(f"d{d}w{i}" for i in range(60)) for d in range(4)]
+    rows = [
+        (1, texts[0], "a"), (None, texts[0] + " more", "a"), (None, texts[1], "b"), (None, texts[1], "b"),
+        (None, None, None), (None, texts[2] + " " + benchmark.first().text, "a"), (2, texts[3], "b"),
+        (None, texts[2], "a"), (None, f"only {line}\n{line}", "b"), (None, f"x y z\n{line}", "b"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    unique = near_dedup.without_near_duplicates(docs).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in unique) == sorted(
+        (i or 0, t or "") for k, (i, t, _) in enumerate(rows) if k not in (1, 3))
+    clean = decontaminate.without_contaminated(docs, benchmark)
+    assert sorted((r.doc_id or 0, r.text or "") for r in clean.collect()) == sorted(
+        (i or 0, t or "") for k, (i, t, _) in enumerate(rows) if k != 5)
+    lines = "\n".join(r.text or "" for r in line_dedup.dedup_lines(docs).collect()).split("\n")
+    assert lines.count(line) <= 1 and lines.count(texts[1]) == 1
+    mix = mixing.mixed(docs).collect()
+    plan = mixing.mix_plan(docs).collect()
+    assert sum(len((r.text or "").split()) for r in mix) >= 0.8 * sum(r["size"] for r in plan)
+    assert sum(r.doc_id is None for r in mix) >= 5
+    assert [tuple(r) for r in mixing.mixed(docs.repartition(3)).collect()] == [tuple(r) for r in mix]
+
+
 def test_edited_texts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r.doc_id: r for r in fingerprints.document_fingerprints(docs).collect()}
