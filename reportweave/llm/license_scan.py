@@ -63,7 +63,7 @@ class Scanner:
 
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases.items()]
         self.notices = [
-            (label, words, errors, regex.compile(f"(?b)(?:{regex.escape(words)}){{e<={errors}}}"))
+            (label, words, errors, *(regex.compile(f"{flag}(?:{regex.escape(words)}){{e<={errors}}}") for flag in ("", "(?b)")))
             for label, words, errors in notices
         ]
         seeds: dict[str, list[tuple[int, int]]] = {}
@@ -92,13 +92,14 @@ class Scanner:
         """``(start, end, label, errors, found text)`` in characters, from the windows around seeds.
 
         Windows of one notice that touch are searched as one, and whole texts of nothing but
-        seeds cost no more than their length: a window is searched once, from left to right.
+        seeds cost no more than their length: a window is searched once, from left to right, for
+        the next place, and only the text from there on that one notice can take for the best one.
         """
         windows: dict[int, list[list[int]]] = {}
         for end, (n, places) in self.seeds.iter(line):
             start = end + 1 - n
             for k, at in places:
-                _, words, errors, _ = self.notices[k]
+                _, words, errors, *_ = self.notices[k]
                 left = max(0, start - at - errors)
                 right = min(len(line), start - at + len(words) + errors)
                 own = windows.setdefault(k, [])
@@ -109,10 +110,12 @@ class Scanner:
                     own.append([left, right])
         found = []
         for k, own in windows.items():
-            label, _, _, pattern = self.notices[k]
+            label, _, errors, any_place, best_place = self.notices[k]
             for left, right in own:
-                for m in pattern.finditer(line, left, right):
+                while first := any_place.search(line, left, right):
+                    m = best_place.search(line, first.start(), min(right, first.end() + errors))
                     found.append((m.start(), m.end(), label, sum(m.fuzzy_counts), m.group()))
+                    left = m.end()
         return sorted(found)
 
     def scan(self, text: str) -> tuple:
@@ -123,7 +126,7 @@ class Scanner:
         base = sorted({e[2] for e in exact})
         fuzzy, spans = self.fuzzy(as_text := line.decode()), []
         score = 1.0 if exact else 0.0
-        lengths = {label: max(len(w) for x, w, _, _ in self.notices if x == label) for _, _, label, _, _ in fuzzy}
+        lengths = {label: max(len(w) for x, w, *_ in self.notices if x == label) for _, _, label, _, _ in fuzzy}
         done = at = 0
         for start, end, label, errors, found in fuzzy:
             at += as_text.count(" ", done, start)

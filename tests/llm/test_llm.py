@@ -91,6 +91,21 @@ def test_licenses(spark):
     assert found[4].n_words == 0 and found[4].labels == "" and found[5].n_base == 0
 
 
+def test_adjacent_notices():
+    """Places of one notice in one window, of differing errors: each is found, at its best."""
+    scanner = license_scan.Scanner({}, (("gpl", "general public license", 2), ("reserved", "all rights reserved", 2)))
+
+    def places(text):
+        return [(s["label"], s["start_word"], s["errors"], s["found"]) for s in scanner.scan(text)[-1]]
+
+    wrong, right = ("gpl", 1, "general publik license"), ("gpl", 0, "general public license")
+    for order in ([wrong, right], [right, wrong], [wrong, wrong, right, wrong], [right, right]):
+        text = " ".join(found for _, _, found in order)
+        assert places(text) == [(label, 3 * i, errors, found) for i, (label, errors, found) in enumerate(order)]
+    assert places("al rights reserved all rights reserved all rigts reservd") == [
+        ("reserved", 0, 1, "al rights reserved"), ("reserved", 3, 0, "all rights reserved"), ("reserved", 6, 2, "all rigts reservd")]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 105), (105, 103), (200, 200)]
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
