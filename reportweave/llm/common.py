@@ -13,6 +13,9 @@ from reportweave.session import shared_folder
 # Ids that may be broadcast: about 16 MB; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
+# Ids given to rows that have none start here, above all usual ones.
+FIRST_OWN_ID = 1 << 62
+
 ASCII_SPACE = r"[^\x20\x09-\x0D]+"
 
 
@@ -43,16 +46,23 @@ def with_own_ids(docs: DataFrame, operation: Callable[[DataFrame], DataFrame]) -
 
     ``operation`` keeps all columns.  An id is made from all columns of the row and its number among equal
     rows, so that a rerun makes the same ones; it comes after all usual ids.  Equal rows are
-    numbered in one task, by hash alone.
+    numbered where they are read, then by task, so many of them are no load for any one.
     """
     unnamed = docs.where("doc_id is null")
     if unnamed.isEmpty():
         return operation(docs)
-    hashed = unnamed.withColumn("_row_hash", F.xxhash64(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"})))
-    numbered = hashed.withColumn("_row_number", F.row_number().over(W.partitionBy("_row_hash").orderBy("_row_hash")))
+    columns = F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"})
+    hashed = stored(unnamed.withColumns({"_row_hash": F.xxhash64(columns), "_part": F.spark_partition_id()}))
+    # Equal rows of a task get numbers after those of the tasks before: only counts of (row, task) meet.
+    counts = hashed.groupBy("_row_hash", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_row_hash").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select(F.col("_row_hash").alias("_of_hash"), F.col("_part").alias("_of_part"), F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(W.partitionBy("_row_hash", "_part").orderBy("_row_hash"))
+    numbered = hashed.withColumn("_within", within).join(
+        offsets, (F.col("_row_hash") == F.col("_of_hash")) & (F.col("_part") == F.col("_of_part")))
     # Positive and of 63 bits, the second highest one set.
-    own = F.xxhash64("_row_hash", "_row_number").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    given = numbered.withColumn("doc_id", own.cast(docs.schema["doc_id"].dataType)).drop("_row_hash", "_row_number")
+    own = F.xxhash64("_row_hash", F.col("_within") + F.col("_before")).bitwiseAND(F.lit(FIRST_OWN_ID - 1)).bitwiseOR(F.lit(FIRST_OWN_ID))
+    given = numbered.withColumn("doc_id", own.cast(docs.schema["doc_id"].dataType)).select(*docs.columns)
     every = docs.where("doc_id is not null").withColumn("_unnamed", F.lit(False)).unionByName(
         stored(given.withColumn("_unnamed", F.lit(True)))
     )
