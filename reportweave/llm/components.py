@@ -51,8 +51,15 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())
 
 
+# Nodes of a key up to which all pairs across its components are compared.
+FEW = 16
+
+
 def linked_through_keys(
-    members: DataFrame, accept: int | Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]
+    members: DataFrame,
+    accept: int | Callable[[Column, Column], Column],
+    verify: Callable[[DataFrame], DataFrame],
+    crowd: Callable[[DataFrame], tuple[DataFrame, Callable[[Column, Column], Column]]] | None = None,
 ) -> DataFrame:
     """``(node, root)`` of all nodes that are linked: components under links between nodes of a shared key.
 
@@ -60,9 +67,10 @@ def linked_through_keys(
     their marks differ in ``accept`` bits or fewer, or if ``accept`` holds for them; ``verify`` takes candidates ``(a, b)``, a < b,
     and returns those that are links.  Every candidate counts, but few are looked at whose ends
     are known to be connected: first, all nodes of a key are compared with its smallest
-    one, and those of keys of three or more with one chosen by hash, so that large groups of
-    similar nodes become components without their pairs; then, in keys that still hold
-    several components, all pairs across these.
+    one, so that large groups of similar nodes become components without their pairs; then, in keys
+    that still hold several components, pairs across these.  In keys of more than FEW nodes, ``crowd`` may find
+    these pairs: it takes the nodes and returns members by narrower keys that lose no link between them,
+    and their condition.  Without it, another comparison with one node chosen by hash comes before all pairs across.
     """
 
     def alike(a: Column, b: Column) -> Column:
@@ -71,6 +79,21 @@ def linked_through_keys(
     def pairs(rows: DataFrame, rep: str) -> DataFrame:
         return rows.select(F.least("node", rep).alias("a"), F.greatest("node", rep).alias("b")).distinct()
 
+    def across(rows: DataFrame, condition: Callable[[Column, Column], Column]) -> DataFrame:
+        a, b = rows.alias("left"), rows.alias("right")
+        met = a.join(b, (F.col("left.key") == F.col("right.key")) & (F.col("left.node") < F.col("right.node"))
+                     & (F.col("left.part") != F.col("right.part")) & condition(F.col("left.mark"), F.col("right.mark")))
+        return met.select(F.col("left.node").alias("a"), F.col("right.node").alias("b")).distinct()
+
+    def parted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """Members of the keys that hold several components, with their component."""
+        of_node = roots.withColumnRenamed("node", "of_node")
+        named = stored(rows.join(of_node, F.col("node") == F.col("of_node"), "left").select(
+            "key", "node", "mark", "n", F.coalesce("root", "node").alias("part")
+        ))
+        several = named.groupBy(F.col("key").alias("of_key")).agg(F.min("part").alias("low"), F.max("part").alias("high"))
+        return stored(named.join(several.where("low <> high"), F.col("key") == F.col("of_key"), "left_semi"))
+
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.repartition(tasks, "key")
     least = dealt.groupBy(F.col("key").alias("of_key")).agg(
@@ -81,27 +104,26 @@ def linked_through_keys(
     # A key of two has no other pair than that with its smallest node.
     shared = stored(dealt.join(least, (F.col("key") == F.col("of_key")) & (star | (F.col("n") > 2))).drop("of_key"))
     found = stored(verify(pairs(shared.where(star), "rep")))
-    crowded = shared.where("n > 2").select("key", "node", "mark")
-
-    def parted() -> DataFrame:
-        """Members of the keys that hold several components, with their component."""
-        roots = connected_components(found).withColumnRenamed("node", "of_node")
-        named = stored(crowded.join(roots, F.col("node") == F.col("of_node"), "left").select(
-            "key", "node", "mark", F.coalesce("root", "node").alias("part")
-        ))
-        several = named.groupBy(F.col("key").alias("of_key")).agg(F.min("part").alias("low"), F.max("part").alias("high"))
-        return stored(named.join(several.where("low <> high"), F.col("key") == F.col("of_key"), "left_semi"))
-
-    rest = parted()
-    chosen = rest.groupBy(F.col("key").alias("of_key")).agg(
-        F.min_by(F.struct("node", "mark", "part"), F.xxhash64("node")).alias("r")
-    ).select("of_key", F.col("r.node").alias("rep"), F.col("r.mark").alias("rep_mark"), F.col("r.part").alias("rep_part"))
-    second = rest.join(chosen, (F.col("key") == F.col("of_key")) & (F.col("part") != F.col("rep_part"))
-                       & alike(F.col("mark"), F.col("rep_mark")))
-    found = stored(found.union(verify(pairs(second, "rep"))))
-    rest = parted()
-    a, b = rest.alias("left"), rest.alias("right")
-    across = a.join(b, (F.col("left.key") == F.col("right.key")) & (F.col("left.node") < F.col("right.node"))
-                    & (F.col("left.part") != F.col("right.part")) & alike(F.col("left.mark"), F.col("right.mark")))
-    more = verify(across.select(F.col("left.node").alias("a"), F.col("right.node").alias("b")).distinct())
-    return connected_components(found.union(more))
+    crowded = shared.where("n > 2").select("key", "node", "mark", "n")
+    roots = connected_components(found)
+    rest = parted(crowded, roots)
+    if crowd is None:
+        chosen = rest.where(F.col("n") > FEW).groupBy(F.col("key").alias("of_key")).agg(
+            F.min_by(F.struct("node", "mark", "part"), F.xxhash64("node")).alias("r")
+        ).select("of_key", F.col("r.node").alias("rep"), F.col("r.mark").alias("rep_mark"), F.col("r.part").alias("rep_part"))
+        second = rest.join(chosen, (F.col("key") == F.col("of_key")) & (F.col("part") != F.col("rep_part"))
+                           & alike(F.col("mark"), F.col("rep_mark")))
+        more = stored(verify(pairs(second, "rep")))
+        if not more.isEmpty():
+            found = stored(found.union(more))
+            rest = parted(rest.drop("part"), connected_components(found))
+        more = verify(across(rest, alike))
+    else:
+        candidates = across(rest.where(F.col("n") <= FEW), alike)
+        many = rest.where(F.col("n") > FEW).select("node", "part").distinct()
+        narrow, condition = crowd(many.select("node"))
+        of_node = many.withColumnRenamed("node", "of_node")
+        named = stored(narrow.join(of_node, F.col("node") == F.col("of_node")).select("key", "node", "mark", "part"))
+        more = verify(candidates.union(across(named, condition)).distinct())
+    more = stored(more)
+    return roots if crowd is not None and more.isEmpty() else connected_components(found.union(more))

@@ -3,7 +3,8 @@
 Every permutation of the hashes gives two values of a set, its smallest and its largest, so 128
 values cost 64 permutations.  Each of the two agrees between two sets with the probability of their
 Jaccard similarity.  Bands of ROWS values are keys: bands of minima and bands of maxima, none
-with both values of one permutation.  What meets in a key is verified on the full sets.
+with both values of one permutation.  What meets in a key is verified on the full sets.  Where
+many sets that are not linked share keys, their candidates come from exact prefixes instead of all pairs.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from reportweave.llm.common import FIRST_OWN_ID, stored, with_own_ids
 from reportweave.llm.components import linked_through_keys
-from reportweave.llm.shingle_sets import lists, mixed_with, shingle_set, similar_pairs, slices
+from reportweave.llm.shingle_sets import lists, mixed_with, prefixes_of_crowd, shingle_set, similar_pairs, slices
 
 SHINGLE, SHARE = 3, 85
 # 32 bands of four values: a pair at similarity 0.85 shares no band with probability 5e-11.
@@ -92,16 +93,17 @@ def _components(docs: DataFrame, words: int, share: int) -> DataFrame:
     real_id = F.when(F.col("doc_id") < FIRST_OWN_ID, F.col("doc_id"))
     filled = marked.where("n_shingles > 0")
     classes = stored(filled.groupBy("digest").agg(
-        F.min("doc_id").alias("first_id"), F.min(real_id).alias("real_id"), F.first("n_shingles").alias("n"),
+        F.first("digest").alias("node"), F.min("doc_id").alias("first_id"), F.min(real_id).alias("real_id"), F.first("n_shingles").alias("n"),
         F.first("keys").alias("keys")))
 
     def sizes_allow(a: Column, b: Column) -> Column:
         """No intersection is larger than the smaller set, no union smaller than the larger one."""
         return F.lit(100) * F.least(a, b) >= F.lit(share) * F.greatest(a, b)
 
-    members = classes.select(F.explode("keys").alias("key"), F.col("digest").alias("node"), F.col("n").alias("mark"))
-    roots = linked_through_keys(members, sizes_allow, similar_pairs(docs, classes, words, share))
-    rooted = stored(classes.join(roots, F.col("digest") == F.col("node"), "left").select(
+    members = classes.select(F.explode("keys").alias("key"), "node", F.col("n").alias("mark"))
+    similar, crowd = similar_pairs(docs, classes, words, share), prefixes_of_crowd(docs, classes, words, share)
+    roots = linked_through_keys(members, sizes_allow, similar, crowd)
+    rooted = stored(classes.join(roots, classes["node"] == roots["node"], "left").select(
         "digest", "real_id", F.coalesce("root", "digest").alias("root")))
     least = rooted.groupBy(F.col("root").alias("of_root")).agg(F.min("real_id").alias("component_id"))
     named = rooted.join(least, F.col("root") == F.col("of_root")).select(F.col("digest").alias("of_digest"), "component_id")

@@ -4,36 +4,34 @@ A fingerprint is cut into segments of two bits, and each segment is replaced by
 of its bits that are set.  Two fingerprints that differ in d bits have counts that differ by
 d or less in sum (Manhattan distance), so the counts bound the Hamming distance from below.
 At a distance of 3 or less, one half of the counts differs by 1 or less.  Each half is a cell
-of a grid; a fingerprint looks into its own cell and those at Manhattan distance 1, and
-what is found is verified bit by bit.  No link is lost, and no cell is gathered.
+of a grid; a fingerprint looks into its own cell and those at Manhattan distance 1, together with a group
+of counts of the other half that cannot differ as well, so that chance meetings stay rare.
+What is found is verified bit by bit.  No link is lost, and no cell is gathered.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reportweave.llm.common import stored, whole_text, with_few, with_own_ids
+from reportweave.llm.common import stored, with_few, with_own_ids
 from reportweave.llm.components import linked_through_keys
+from reportweave.llm.shingle_sets import (
+    TEXTS_AT_A_TIME, lists, lower_ascii, may_be_similar, prefixes_of_crowd, shingle_set, similar_pairs, slices,
+)
 
 RADIUS = 3
 SEED = 42
 _EVERY_SECOND = 0x55555555
 
 
-def _lower(text: str) -> bytes:
-    """UTF-8 with A-Z in lower case; bytes.split() then takes the words ``[^\\x20\\x09-\\x0D]+``."""
-    return text.encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
-
-
 def shingles(text: str, n: int) -> list[bytes]:
     """Runs of n words joined by a space, repeats included; a shorter text is one, an empty one none."""
-    words = _lower(text).split()
+    words = lower_ascii(text).split()
     if len(words) <= n:
         return [b" ".join(words)] if words else []
     return [b" ".join(run) for run in zip(*(words[i:] for i in range(n)), strict=False)]
@@ -48,35 +46,29 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * n > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def simhash(text: Column, words: int) -> Column:
-    """Fingerprint of a whole text as a signed 64-bit number; without words it is zero."""
+def simhashes(docs: DataFrame, words: int) -> DataFrame:
+    """``(doc_id, fp)``: fingerprints of whole texts as signed 64-bit numbers; without words it is zero."""
 
-    @F.pandas_udf("long")
-    def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        def of(text: str) -> int:
-            runs = shingles(text, words)
-            hashes = np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64, len(runs))
-            return majority(hashes)
+        def of(text: str | None) -> int:
+            runs = shingles(text or "", words)
+            return majority(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64, len(runs)))
 
         for batch in batches:
-            yield pd.Series(np.array([of(v) for v in batch], dtype=np.uint64).view(np.int64))
-
-    return fingerprint(whole_text(text))
+            for start in range(0, batch.num_rows, TEXTS_AT_A_TIME):
+                some = batch.slice(start, TEXTS_AT_A_TIME)
+                fps = np.array([of(text) for text in some.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(fps)], ["doc_id", "fp"])
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(of_task, f"doc_id {kind}, fp long")
 
-def _cells(fp: Column) -> Column:
-    """The halves of a fingerprint as 16 counts each, two bits a count."""
 
-    def counts(half: Column) -> Column:
-        return half.bitwiseAND(F.lit(_EVERY_SECOND)) + F.shiftrightunsigned(half, 1).bitwiseAND(F.lit(_EVERY_SECOND))
-
-    low, high = fp.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(fp, 32)
-    return F.array(
-        F.struct(F.lit(0).alias("half"), counts(low).alias("cell")),
-        F.struct(F.lit(1).alias("half"), counts(high).alias("cell")),
-    )
+def _counts(half: Column) -> Column:
+    """The counts of a half of a fingerprint, 16 of two bits each."""
+    return half.bitwiseAND(F.lit(_EVERY_SECOND)) + F.shiftrightunsigned(half, 1).bitwiseAND(F.lit(_EVERY_SECOND))
 
 
 def _neighbours(cell: Column) -> Column:
@@ -89,25 +81,46 @@ def _neighbours(cell: Column) -> Column:
     return F.array_compact(F.array(*steps))
 
 
-def _around(cell: Column) -> Column:
-    """The cells that a cell looks into: its own, and those at distance 1 if the sum of its counts is even.
+def _groups(counts: Column, cuts: list[int], kind: int) -> Column:
+    """Keys without their cell: consecutive counts of a half, with the number of the group and the kind."""
+    return F.array(*[
+        F.shiftleft(F.shiftrightunsigned(counts, 2 * low).bitwiseAND(F.lit((1 << 2 * (high - low)) - 1)), 35) + F.lit((group << 1 | kind) << 32)
+        for group, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False))
+    ])
+
 
-    Cells at distance 1 have sums that differ by 1, so every two of them meet once, from one side.
+def grid_keys(fp: Column) -> Column:
+    """Keys of a fingerprint: two fingerprints within RADIUS bits share one.
+
+    Their counts differ by 3 or less in sum.  If one half does not differ, the other has one of four
+    groups of counts that does not; the key is the cell of the first and that group.  Else one half differs by 1
+    and the other by 2 or less, so that one of three groups does not differ.  Cells at distance 1 have sums that
+    differ by 1, so those of even sum look into their neighbours, and the others stay where they are.
     """
+    low, high = _counts(fp.bitwiseAND(F.lit(0xFFFFFFFF))), _counts(F.shiftrightunsigned(fp, 32))
+    return F.concat(*_half_keys(low, high, 0), *_half_keys(high, low, 1))
+
+
+def _half_keys(cell: Column, other: Column, side: int) -> list[Column]:
+    # Bit 62 tells the halves apart.
+    mark = F.lit(side << 62)
     ones, twos = cell.bitwiseAND(F.lit(_EVERY_SECOND)), cell.bitwiseAND(F.lit(2 * _EVERY_SECOND))
     even = (F.bit_count(ones) + 2 * F.bit_count(twos)) % 2 == 0
-    return F.when(even, F.concat(F.array(cell), _neighbours(cell))).otherwise(F.array(cell))
+    looks = F.when(even, _neighbours(cell)).otherwise(F.array(cell))
+    unlike = _groups(other, [0, 5, 10, 16], 1)
+
+    def at(look: Column) -> Column:
+        return F.transform(unlike, lambda group: mark + look + group)
+
+    same = F.transform(_groups(other, [0, 4, 8, 12, 16], 0), lambda group: mark + cell + group)
+    return [same, F.flatten(F.transform(looks, at))]
 
 
 def fingerprint_components(fingerprints: DataFrame) -> DataFrame:
     """``(node, root)`` of the fingerprints (column ``fp``) that have others within RADIUS bits."""
-    halves = fingerprints.select("fp", F.explode(_cells(F.col("fp"))).alias("h"))
-    looks = halves.select(
-        F.explode(_around(F.col("h.cell"))).alias("cell"), F.col("h.half").alias("half"), F.col("fp").alias("node")
-    )
-    key = F.shiftleft(F.col("half").cast("long"), 32) + F.col("cell")
+    looks = fingerprints.select(F.explode(grid_keys(F.col("fp"))).alias("key"), F.col("fp").alias("node"), F.col("fp").alias("mark"))
     # The bits decide by themselves, so nothing is left to verify.
-    return linked_through_keys(looks.select(key.alias("key"), "node", F.col("node").alias("mark")), RADIUS, lambda pairs: pairs)
+    return linked_through_keys(looks, RADIUS, lambda pairs: pairs)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -119,7 +132,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     document of the component has one.  Repeated rows are returned each; further columns
     are not read.
     """
-    marked = stored(docs.select("doc_id", simhash(F.col("text"), words).alias("fp")))
+    marked = stored(simhashes(docs, words))
     each = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = fingerprint_components(each)
     # Fingerprints without links are their own roots.
@@ -141,17 +154,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 SAMPLED, COMMON_FROM, MOST_COMMON = 20_000, 3, 200_000
 
 
-def shingle_hashes(text: str, words: int) -> np.ndarray:
-    """Distinct hashes of the shingles, in ascending order."""
-    import xxhash
-
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, words)], dtype=np.uint64))
-
-
-def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], share: int) -> np.ndarray:
     """The first shingles of a set, rare ones first, one of which a set of at least that similarity has among its own.
 
-    Similar sets share ``similarity`` of the larger one, so no more than the rest can come before
+    Similar sets have ``share`` hundredths of the larger one in common, so no more than the rest can come before
     the first shared one.  ``common`` has the common hashes in ascending order and their counts.
     """
     known, counts = common
@@ -159,88 +165,68 @@ def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity
     if len(known):
         at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
         rank = np.where(known[at] == hashes, counts[at], 0)
-    kept = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    kept = len(hashes) - (share * len(hashes) + 99) // 100 + 1
     return hashes[np.lexsort((hashes, rank))][:kept] if len(hashes) else hashes
 
 
 def _common_shingles(texts: DataFrame, n_texts: int, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that several of the sampled texts have, and in how many of them."""
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for text in batch["text"]:
-                yield pd.DataFrame({"shingle": shingle_hashes(text, words).view(np.int64)})
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches):
+            sets = [shingle_set(text, words) for text in rows["text"]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
 
     # The ids decide, so that a task that is run again takes the same texts.
     sampled = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_texts))) < SAMPLED)
-    counts = sampled.select("text").mapInPandas(counted, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    counts = sampled.select("text").mapInArrow(counted, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     most = counts.where(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toPandas()
     hashes = most["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], most["n"].to_numpy(np.int64)[order]
 
 
+def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, share: int) -> DataFrame:
+    """``(doc_id, digest, n, keys)``: digest and size of the set of shingles, and its prefix."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for rows in slices(batches, TEXTS_AT_A_TIME):
+            sets = [shingle_set(text, words) for text in rows["text"]]
+            # Texts without a word are alike only if they are equal.
+            digests = [xxhash.xxh3_128_digest(found.tobytes() or (text or "").encode()) for found, text in zip(sets, rows["text"], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows["doc_id"], pa.int64()), pa.array(digests, pa.binary()), pa.array([len(found) for found in sets], pa.int64()),
+                 lists([prefix(found, shared.value, share) for found in sets])], ["doc_id", "digest", "n", "keys"])
+
+    return texts.select("doc_id", "text").mapInArrow(of_task, "doc_id long, digest binary, n long, keys array<long>")
+
+
 def text_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, group_id)``: documents of equal texts, or linked by a shingle similarity from ``similarity`` on.
 
-    The similarity is the Jaccard similarity of the sets of word shingles, and no link is lost: two
-    similar sets share a shingle of their prefixes, and what shares one is verified exactly.
-    group_id is the smallest doc_id of the group.  Equal texts are one node, so copies make
-    no pairs; null texts are empty ones and equal to each other.  Rows without an id are left
+    The similarity is the Jaccard similarity of the sets of word shingles, in whole hundredths, and no link is lost: two
+    similar sets share a shingle of their prefixes, and what shares one is verified on the full sets.
+    group_id is the smallest doc_id of the group.  Equal sets are one node, so copies make
+    no pairs; null texts are empty ones, and texts without a word are linked if they are equal.  Rows without an id are left
     out; rows that repeat an id are one document.
     """
-    known = docs.where("doc_id is not null").select("doc_id", whole_text(F.col("text")).alias("text"))
-    marked = stored(known.select("doc_id", F.unhex(F.md5("text")).alias("same")))
-    classes = stored(marked.groupBy("same").agg(F.min("doc_id").alias("node")))
-    nodes = stored(classes.select(F.col("node").alias("of_node")).distinct())
-    texts = with_few(known, nodes, F.col("doc_id") == F.col("of_node"), "left_semi")
-    shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(texts, nodes.count(), words))
-
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys, ids, marks = [], [], []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                hashes = shingle_hashes(text, words)
-                first = prefix(hashes, shared.value, similarity)
-                keys.append(first.view(np.int64))
-                ids.append(np.full(len(first), doc_id, dtype=np.int64))
-                marks.append((len(hashes) << 32) + np.arange(len(first), dtype=np.int64))
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "node": np.concatenate(ids), "mark": np.concatenate(marks)})
-
-    def may_be_similar(a: Column, b: Column) -> Column:
-        """From sizes of sets and places of a shared shingle; true for the first one that two similar sets share."""
-        size_a, size_b = F.shiftrightunsigned(a, 32), F.shiftrightunsigned(b, 32)
-        left = F.least(size_a - a.bitwiseAND(F.lit(0xFFFFFFFF)), size_b - b.bitwiseAND(F.lit(0xFFFFFFFF)))
-        return left + F.lit(1e-6) >= (size_a + size_b) * F.lit(similarity / (1 + similarity))
-
-    @F.pandas_udf("array<long>")
-    def shingle_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([shingle_hashes(v, words).view(np.int64) for v in batch])
-
-    @F.pandas_udf("double")
-    def jaccard(left: pd.Series, right: pd.Series) -> pd.Series:
-        shared = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(left, right, strict=True)])
-        return pd.Series(shared / np.maximum(1, left.map(len) + right.map(len) - shared))
-
-    def similar(candidates: DataFrame) -> DataFrame:
-        """Pairs that are similar enough by their shingles."""
-        pairs = stored(candidates)
-        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct())
-        found = with_few(known, wanted, F.col("doc_id") == F.col("wanted"), "inner")
-        sets = stored(found.dropDuplicates(["doc_id"]).select("doc_id", shingle_set("text").alias("set")))
-        of_a, of_b = sets.toDF("left_id", "left_set"), sets.toDF("right_id", "right_set")
-        both = pairs.join(of_a, F.col("a") == F.col("left_id")).join(of_b, F.col("b") == F.col("right_id"))
-        return both.where(jaccard("left_set", "right_set") >= similarity).select("a", "b")
-
-    members = texts.mapInPandas(prefixes, "key long, node long, mark long")
-    roots = linked_through_keys(members, may_be_similar, similar)
+    share = round(100 * similarity)
+    known = docs.where("doc_id is not null").select("doc_id", "text")
+    marked = stored(_prefixes(known, _common_shingles(known, known.count(), words), words, share))
+    classes = stored(marked.groupBy("digest").agg(
+        F.min("doc_id").alias("node"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    placed = classes.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    members = placed.select("key", "node", (F.shiftleft(F.col("n"), 32) + F.col("at")).alias("mark"))
+    similar, crowd = similar_pairs(docs, classes, words, share), prefixes_of_crowd(docs, classes, words, share)
+    roots = linked_through_keys(members, may_be_similar(share), similar, crowd)
     # The smallest node of a component is its root, so the root names the group.
     named = classes.join(roots, classes["node"] == roots["node"], "left").select(
-        F.col("same").alias("of_same"), F.coalesce("root", classes["node"]).alias("group_id")
+        F.col("digest").alias("of_digest"), F.coalesce("root", classes["node"]).alias("group_id")
     )
-    return marked.join(named, F.col("same") == F.col("of_same")).select("doc_id", "group_id")
+    return marked.join(named, F.col("digest") == F.col("of_digest")).select("doc_id", "group_id")
 
 
 def without_near_duplicates(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -72,27 +72,70 @@ def sets_by_id(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(of_task, "doc_id long, digest binary, shingles array<long>")
 
 
+def sets_of_nodes(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """``(of_node, shingles)`` of the nodes in the column ``wanted``, made anew from their texts.
+
+    ``classes`` has ``node``, ``digest`` and ``first_id``, the id of a row of ``docs`` with that set.
+    """
+    wanted = stored(nodes.join(classes, F.col("wanted") == F.col("node")).select(
+        F.col("node").alias("of_node"), F.col("digest").alias("of_digest"), F.col("first_id").alias("of_id")))
+    ids = stored(wanted.select(F.col("of_id").alias("text_id")).distinct())
+    texts = with_few(docs.select("doc_id", "text"), ids, F.col("doc_id") == F.col("text_id"), "left_semi")
+    # An id that is given twice may have two texts, so the digest is compared as well.
+    made = sets_by_id(texts, words).join(wanted, (F.col("doc_id") == F.col("of_id")) & (F.col("digest") == F.col("of_digest")))
+    return stored(made.select("of_node", "of_digest", "shingles").dropDuplicates(["of_node", "of_digest"]).drop("of_digest"))
+
+
 def similar_pairs(docs: DataFrame, classes: DataFrame, words: int, share: int) -> Callable[[DataFrame], DataFrame]:
-    """A function that takes candidates ``(a, b)`` of digests and returns those whose sets are similar enough.
+    """A function that takes candidates ``(a, b)`` and returns those whose sets have ``share`` hundredths of their union in common.
 
-    Similar enough are sets with ``share`` hundredths of their union in common.  ``classes`` has ``digest``
-    and ``first_id``, the id of a row of ``docs`` with that set.  Sets are made anew for the texts of candidates
-    only, and compared as sorted hashes.
+    Sets are made anew for the texts of candidates only, and compared as hashes.
     """
 
     def verify(candidates: DataFrame) -> DataFrame:
         pairs = stored(candidates)
-        digests = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-        wanted = stored(digests.join(classes, F.col("wanted") == F.col("digest")).select("wanted", F.col("first_id").alias("wanted_id")))
-        ids = stored(wanted.select(F.col("wanted_id").alias("text_id")).distinct())
-        texts = with_few(docs.select("doc_id", "text"), ids, F.col("doc_id") == F.col("text_id"), "left_semi")
-        # An id that is given twice may have two texts, so the digest is compared as well.
-        found = sets_by_id(texts, words).dropDuplicates(["digest"])
-        sets = stored(found.join(wanted, F.col("digest") == F.col("wanted"), "left_semi").select("digest", "shingles"))
-        left, right = sets.toDF("left_digest", "left_set"), sets.toDF("right_digest", "right_set")
-        both = pairs.join(left, F.col("a") == F.col("left_digest")).join(right, F.col("b") == F.col("right_digest"))
+        sets = sets_of_nodes(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), words)
+        left, right = sets.toDF("left_node", "left_set"), sets.toDF("right_node", "right_set")
+        both = pairs.join(left, F.col("a") == F.col("left_node")).join(right, F.col("b") == F.col("right_node"))
         shared = F.size(F.array_intersect("left_set", "right_set"))
         union = F.size("left_set") + F.size("right_set") - shared
         return both.where(F.lit(100) * shared >= F.lit(share) * union).select("a", "b")
 
     return verify
+
+
+def prefix_size(size: Column, share: int) -> Column:
+    """How many of the first shingles of a set, in any order that holds for all, hold one of each similar set."""
+    return size - F.floor((F.lit(share) * size + 99) / 100) + 1
+
+
+def may_be_similar(share: int) -> Callable[[Column, Column], Column]:
+    """From marks (size of a set, place of a shared shingle); true for the first one that two similar sets share."""
+
+    def holds(a: Column, b: Column) -> Column:
+        size_a, size_b = F.shiftrightunsigned(a, 32), F.shiftrightunsigned(b, 32)
+        left = F.least(size_a - a.bitwiseAND(F.lit(0xFFFFFFFF)), size_b - b.bitwiseAND(F.lit(0xFFFFFFFF)))
+        return F.lit(100 + share) * left >= F.lit(share) * (size_a + size_b)
+
+    return holds
+
+
+def prefixes_of_crowd(docs: DataFrame, classes: DataFrame, words: int, share: int):
+    """For nodes that share keys with many others: members by the shingles of their prefixes, rare ones first.
+
+    Shingles are counted among these nodes, so those that only one node has come first and meet
+    nobody.  Two similar sets share a shingle of both prefixes, so no link is lost.
+    """
+
+    def crowd(nodes: DataFrame) -> tuple[DataFrame, Callable[[Column, Column], Column]]:
+        sets = sets_of_nodes(docs, classes, nodes.select(F.col("node").alias("wanted")).distinct(), words)
+        each = sets.select("of_node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+        counts = each.groupBy(F.col("shingle").alias("of_shingle")).agg(F.count(F.lit(1)).alias("n"))
+        ranked = each.join(counts, F.col("shingle") == F.col("of_shingle")).groupBy("of_node", "size").agg(
+            F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("ranked"))
+        first = ranked.select("of_node", "size", F.posexplode(F.slice("ranked", 1, prefix_size(F.col("size"), share).cast("int"))).alias("at", "s"))
+        mark = F.shiftleft(F.col("size").cast("long"), 32) + F.col("at")
+        members = first.where("s.n > 1").select(F.col("s.shingle").alias("key"), F.col("of_node").alias("node"), mark.alias("mark"))
+        return members, may_be_similar(share)
+
+    return crowd

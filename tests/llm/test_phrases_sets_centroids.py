@@ -192,6 +192,20 @@ def test_min_max_components_match_brute_force(spark):
     assert found == brute_components(rows, 3, 85)
 
 
+def test_crowds_of_similar_texts_lose_no_link(spark):
+    """Many texts around one, most pairs of them just below the limit: their candidates come from prefixes."""
+    rng = random.Random(8)
+    rows = []
+    for base in range(2):
+        words = [f"c{base}x{i}" for i in range(120)]
+        for i in range(70):
+            rows.append((len(rows), " ".join(edited(rng, words, rng.choice([0.015, 0.025, 0.04])))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = brute_components(rows, 3, 85)
+    assert 10 < len({r[2] for r in expected}) < 130
+    assert sorted((tuple(r) for r in min_max.shingle_components(docs).collect()), key=str) == expected
+
+
 def test_min_max_of_odd_and_empty_tables(spark, odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     found = sorted((tuple(r) for r in min_max.shingle_components(odd).collect()), key=str)
