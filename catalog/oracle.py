@@ -270,11 +270,11 @@ ORACLE_SQL["lookup_substring"] = _lookup(list(DICTIONARY.items()))
 ORACLE_SQL["lookup_nested"] = _lookup([(k, v) for k, values in NESTED_DICTIONARY.items() for v in values])
 ORACLE_SQL["lookup_table"] = """
     with d as (select p_partkey as ord, 'part-' || cast(p_partkey as varchar) as key,
-            p_type || ' ' || regexp_extract(p_name, '([^ ]*)$', 1) || ' ' || cast(p_size as varchar) as val
+            p_type || ' ' || p_name || ' ' || cast(p_size as varchar) as val
         from part),
-    t as (select p_partkey, regexp_extract(p_name, '([^ ]*)$', 1) || ' ' || cast(p_size as varchar) as t from part
+    t as (select p_partkey, p_name || ' ' || cast(p_size as varchar) as t from part
         union all
-        select -p_partkey - 1, 'the ' || p_type || ' ' || regexp_extract(p_name, '([^ ]*)$', 1) || ' '
+        select -p_partkey - 1, 'the ' || p_type || ' ' || p_name || ' '
             || cast(p_size as varchar) || ' ' || p_brand from part),
     u as (select distinct t from t),
     f as (select t, arg_min(key, ord) as key from u

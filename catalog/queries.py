@@ -427,18 +427,18 @@ def lookup_nested(spark, sf_dir):
 
 @query
 def lookup_table(spark, sf_dir):
-    """Part names and brands against a dictionary that grows with the table."""
+    """Whole part names, sizes and brands against a dictionary that grows with the table, in both directions."""
     parts = table(spark, sf_dir, "part")
     number = F.col("p_partkey").cast("string")
     dictionary = parts.select(
         F.col("p_partkey").alias("ord"),
         F.concat(F.lit("part-"), number).alias("key"),
-        F.concat_ws(" ", "p_type", F.substring_index("p_name", " ", -1), F.col("p_size")).alias("val"),
+        F.concat_ws(" ", "p_type", "p_name", F.col("p_size")).alias("val"),
     )
-    texts = parts.select("p_partkey", F.concat_ws(" ", F.substring_index("p_name", " ", -1), "p_size").alias("t"))
+    texts = parts.select("p_partkey", F.concat_ws(" ", "p_name", "p_size").alias("t"))
     longer = parts.select(
         (-F.col("p_partkey") - 1).alias("p_partkey"),
-        F.concat_ws(" ", F.lit("the"), "p_type", F.substring_index("p_name", " ", -1), "p_size", "p_brand").alias("t"),
+        F.concat_ws(" ", F.lit("the"), "p_type", "p_name", "p_size", "p_brand").alias("t"),
     )
     return lookup.lookup(texts.unionByName(longer), "t", dictionary)
 

@@ -2,10 +2,9 @@
 
 A dictionary of up to :data:`INLINE_LIMIT` entries, passed as Python values, becomes one
 ``CASE`` expression: no join and no shuffle.  A larger one, and any that is a table, is
-matched by equality instead, with the same results: "a is inside b" holds exactly when a equals one of
-b's substrings of a's length.  So the containing side is unfolded into its
-substrings of the lengths that occur on the other side, and both sides meet in an
-equi-join.  The unfolded side grows with its own text only, whatever the number of
+matched through an index of rare grams (:mod:`.grams`), with the same results: the containing
+side is cut into those pieces that may be equal to a text on the other side, and both sides meet in an
+equi-join.  The cut side grows with its own text only, whatever the number of
 entries, a match carries one row, and Spark broadcasts the other side only when
 its size allows.
 """
@@ -18,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import first_match
+from .grams import GRAMS, pieces_like
 
 INLINE_LIMIT = 200
 SALTS = 16
@@ -50,14 +50,18 @@ def substrings(col: Column, lengths: Column) -> Column:
 
 
 def _unfold(df: DataFrame, column: str, other: DataFrame, other_column: str, keep, name: str) -> DataFrame:
-    """Rows ``(*keep, name)``: the substrings of a column that are as long as a text on the other side."""
-    lengths = other.agg(F.array_sort(F.collect_set(F.length(other_column)))).scalar()
+    """Rows ``(*keep, name)``: pieces of a column, among them each that is equal to a text on the other side."""
+    texts = other.select(F.col(other_column).alias("_needle")).where(F.length("_needle") > 0).distinct()
+    # Texts too short for a gram have one length or two, and as many pieces as there are places.
+    short = texts.where(F.length("_needle") < GRAMS[0])
+    lengths = short.agg(F.array_sort(F.collect_set(F.length("_needle")))).scalar()
     parts = df.withColumn("_lengths", lengths).select(
         *keep, substrings(F.col(column), F.col("_lengths")).alias("_parts")
     )
     # The outer form keeps the optimizer from computing the list once more as a filter
     # on its size; its null rows meet nothing in the join.
-    return parts.select(*keep, F.explode_outer("_parts").alias(name))
+    brief = parts.select(*keep, F.explode_outer("_parts").alias(name))
+    return brief.union(pieces_like(df, column, texts, "_needle", keep, name))
 
 
 def lookup(
@@ -79,9 +83,14 @@ def lookup(
         if len(entries) <= INLINE_LIMIT:
             return df.withColumn(target, _inline(F.col(text), entries))
         dictionary = df.sparkSession.createDataFrame(entries, "ord long, key string, val string")
-    # One row per different text: a frequent text is searched once.
-    texts = df.select(F.col(text).alias("s")).distinct()
-    return _attach(df, text, _first_entries(texts, dictionary), target)
+    # One row per different text: a frequent text is searched once.  Matches carry its digest.
+    keyed = df.withColumn("_digest", _digest(F.col(text)))
+    texts = df.select(F.col(text).alias("s")).distinct().withColumn("digest", _digest(F.col("s")))
+    return _attach(keyed, "_digest", _first_entries(texts, dictionary), target).drop("_digest")
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
 def _inline(s: Column, entries) -> Column:
@@ -95,18 +104,18 @@ def _inline(s: Column, entries) -> Column:
 
 
 def _first_entries(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """``(s, key)`` for every text with a match; ``texts`` holds distinct ``s``."""
+    """``(s, key)`` for every text with a match, ``s`` being its digest; ``texts`` holds distinct ``(s, digest)``."""
     # Only the numbers of the entries are aggregated, the keys come in at the end.
     first = F.min("ord").alias("ord")
     usable = dictionary.where(F.col("val").isNotNull())
     values = usable.groupBy("val").agg(first)
 
-    # Text inside a value: the first entry of each substring is found beforehand.
+    # Text inside a value: the first entry of each piece is found beforehand.
     parts = _unfold(values, "val", texts, "s", ["ord"], "s")
-    in_value = texts.join(parts.groupBy("s").agg(first), "s")
+    in_value = texts.join(parts.groupBy("s").agg(first), "s").select("digest", "ord")
 
     # Value inside a text.
-    in_text = _unfold(texts, "s", values, "val", ["s"], "val").join(values, "val").select("s", "ord")
+    in_text = _unfold(texts, "s", values, "val", ["digest"], "val").join(values, "val").select("digest", "ord")
 
     # The empty text is inside every value, an empty value inside every text.
     anyway = texts.withColumns({
@@ -114,9 +123,9 @@ def _first_entries(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
         "blank": usable.where(F.col("val") == "").agg(first).scalar(),
     })
     always = F.least(F.when(F.col("s") == "", F.col("any")), F.when(F.col("s").isNotNull(), F.col("blank")))
-    found = in_value.unionByName(in_text).unionByName(anyway.select("s", always.alias("ord")))
+    found = in_value.unionByName(in_text).unionByName(anyway.select("digest", always.alias("ord")))
     keys = usable.select("ord", "key").distinct()
-    return found.groupBy("s").agg(first).join(keys, "ord").select("s", "key")
+    return found.groupBy("digest").agg(first).join(keys, "ord").select(F.col("digest").alias("s"), "key")
 
 
 def _attach(df: DataFrame, text: str, results: DataFrame, target: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reportweave.operators import lookup as L
+from reportweave.operators.grams import pieces_like
 
 
 def search(entries, text):
@@ -48,6 +49,34 @@ def test_golden_rows(spark, form):
     assert nested == {0: "y", 1: "x", 2: "x", 3: None, 4: None}
 
 
+@pytest.mark.parametrize("frequent", [1, 5, 10_000])
+def test_pieces_hold_every_needle(spark, frequent):
+    """Grams of either length, also where most are frequent, and code points beyond the first plane."""
+    rng = random.Random(12)
+
+    def word(low, high):
+        return "".join(rng.choice("ab\U0001F600\U0001F601 é\n") for _ in range(rng.randint(low, high)))
+
+    texts = [word(0, 40) for _ in range(60)] + [None, "", "ab"]
+    needles = [t[i : i + rng.randint(3, 20)] for t in texts if t for i in (rng.randrange(len(t)),)] + [word(3, 9) for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    others = spark.createDataFrame([(n,) for n in needles] + [(None,)], "n string")
+    pieces = {(r.i, r.p) for r in pieces_like(rows, "t", others, "n", ["i"], "p", frequent=frequent).collect()}
+    for i, t in enumerate(texts):
+        for n in needles:
+            if t and len(n) >= 3:
+                assert ((i, n) in pieces) == (n in t)
+    assert all(p is None or p in texts[i] for i, p in pieces)
+
+
+def test_pieces_do_not_grow_with_the_number_of_needles(spark):
+    """Needles of one shape cost what one of them costs."""
+    rows = spark.createDataFrame([(0, "x" * 50 + "qqq" + "y" * 50)], "i int, t string")
+    few, many = (spark.createDataFrame([("qqq" + f"{n:03}",) for n in range(k)] + [("qqqyyy",)], "n string") for k in (1, 500))
+    counts = [pieces_like(rows, "t", needles, "n", ["i"], "p").count() for needles in (few, many)]
+    assert counts[0] == counts[1] == 1
+
+
 def test_random_lookup(spark, form):
     rng = random.Random(11)
     word = lambda n: "".join(rng.choice("aé b") for _ in range(rng.randint(0, n)))
