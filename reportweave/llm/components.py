@@ -70,7 +70,7 @@ def linked_through_keys(
     one, so that large groups of similar nodes become components without their pairs; then, in keys
     that still hold several components, pairs across these.  In keys of more than FEW nodes, ``crowd`` may find
     these pairs: it takes the nodes and returns members by narrower keys that lose no link between them,
-    and their condition.  Without it, another comparison with one node chosen by hash comes before all pairs across.
+    and their condition; such nodes are first compared with one that is central to them.  Without it, another comparison with one node chosen by hash comes before all pairs across.
     """
 
     def alike(a: Column, b: Column) -> Column:
@@ -94,6 +94,15 @@ def linked_through_keys(
         several = named.groupBy(F.col("key").alias("of_key")).agg(F.min("part").alias("low"), F.max("part").alias("high"))
         return stored(named.join(several.where("low <> high"), F.col("key") == F.col("of_key"), "left_semi"))
 
+    def central(rows: DataFrame) -> DataFrame:
+        """Each node with that of the nodes it shares keys with that is in the fullest keys."""
+        scores = rows.groupBy(F.col("node").alias("of_node")).agg(F.sum("n").alias("score"))
+        scored = rows.select("key", "node", "mark").join(scores, F.col("node") == F.col("of_node"))
+        best = scored.groupBy(F.col("key").alias("of_key")).agg(F.max(F.struct("score", "node", "mark")).alias("r"))
+        met = scored.join(best, F.col("key") == F.col("of_key")).where(
+            (F.col("node") != F.col("r.node")) & alike(F.col("mark"), F.col("r.mark")))
+        return met.groupBy("node").agg(F.max("r").alias("r")).select("node", F.col("r.node").alias("rep"))
+
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.repartition(tasks, "key")
     least = dealt.groupBy(F.col("key").alias("of_key")).agg(
@@ -103,7 +112,13 @@ def linked_through_keys(
     star = (F.col("node") != F.col("rep")) & alike(F.col("mark"), F.col("rep_mark"))
     # A key of two has no other pair than that with its smallest node.
     shared = stored(dealt.join(least, (F.col("key") == F.col("of_key")) & (star | (F.col("n") > 2))).drop("of_key"))
-    found = stored(verify(pairs(shared.where(star), "rep")))
+    if crowd is None:
+        compared = pairs(shared.where(star), "rep")
+    else:
+        # In a crowd, keys have many smallest nodes; each node is compared with the most central one it meets.
+        compared = pairs(shared.where(star & (F.col("n") <= FEW)), "rep").union(
+            pairs(central(shared.where(F.col("n") > FEW)), "rep")).distinct()
+    found = stored(verify(compared))
     crowded = shared.where("n > 2").select("key", "node", "mark", "n")
     roots = connected_components(found)
     rest = parted(crowded, roots)
