@@ -101,6 +101,18 @@ ORACLE_SQL["clean_and_keep_hooks"] = _answers(
     O.structured_ctes(),
     ["kept as (select * from structured where position('at fault' in response) > 0)"],
 )
+ORACLE_SQL["run_metrics"] = _answers(
+    "select (select count(*) from responses) as processed,"
+    " (select count(*) from responses where response is null) as without_response,"
+    " (select count(*) from responses) - count(*) as dropped, count(*) as included,"
+    " count(*) filter (q2_av_brand = 'Unknown') as no_brand,"
+    " count(*) filter (q2_av_model = 'Unknown') as no_model,"
+    " count(*) filter (q2_av_year = 'Unknown') as no_year,"
+    " count(*) filter (q2_other_road_user is null) as no_road_user,"
+    " count(*) filter (q2_other_vehicle is null or q2_other_vehicle = '') as no_vehicle from kept",
+    O.structured_ctes(),
+    ["kept as (select * from structured where position('at fault' in response) > 0)"],
+)
 ORACLE_SQL["unknown_question"] = _answers(
     "select 'category' as variable, 'wrong question' as value, count(*) as n from answers"
 )
@@ -310,6 +322,7 @@ ORACLE_SQL["batch_inference"] = _outcome + """
     select report, case when status = 'ok' then 'Q1. Yes, ' || cast(n as varchar) || ' characters.' end as response,
            status, case status when 'rejected' then 'refused' when 'failed' then 'ValueError: broken' end as error,
            cast(attempts as integer) as attempts from a"""
+ORACLE_SQL["restarted_inference"] = f"select *, 1 as times from ({ORACLE_SQL['batch_inference']})"
 ORACLE_SQL["inference_outcomes"] = _outcome + (
     "select 'status' as variable, status as value, count(*) as n from a group by 2"
 )
@@ -331,17 +344,17 @@ ORACLE_SQL["append_answers"] = _answers(
     _hist("(select case when response is null then 'No' else q1_category end as q1_category"
           " from rows join responses using (report))", ["q1_category"]), Q1,
 )
-_lines = "(select replace(coalesce(response, ''), chr(10), ' ') as line from responses)"
 ORACLE_SQL["report_scan"] = (
-    f"with {O.responses_cte('orders')} select cast(sum(strlen(line) + 1) as bigint) as n_bytes,"
-    f" cast(sum(length(line) + 1) as bigint) as n_chars from {_lines}"
+    f"with {O.responses_cte('orders')}, parts as (select cast(split_part(report, '-', -1) as bigint) % 25 as part,"
+    " coalesce(response, '') as r from responses)"
+    " select part, cast(sum(strlen(r) + 1) as bigint) as n_bytes, cast(sum(length(r) + 1) as bigint) as n_chars,"
+    " count(*) as n_responses, cast(sum(strlen(r) + 1) as bigint) as listed from parts group by part"
 )
-_one_line = (
-    f"with {O.responses_cte('orders').replace('responses as', 'originals as')},"
-    " responses as (select report, replace(coalesce(response, ''), chr(10), ' ') as response from originals),"
-    f" {O.answers_cte()}, {Q1[0]} "
+ORACLE_SQL["stream_intake"] = _answers(
+    _hist("(select * from rows join av using (report) join ov using (report))",
+          ["q1_category", "q2_av_brand", "q2_other_vehicle"]),
+    Q1, O.av_ctes(), O.vehicle_ctes(),
 )
-ORACLE_SQL["stream_intake"] = _one_line + _hist("rows", ["q1_category"])
 ORACLE_SQL["stream_structured"] = _answers(
     _hist("(select * from rows join av using (report))", ["q1_category", "q2_av_brand", "q2_av_year"]),
     Q1, O.av_ctes(),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +16,13 @@ from reportweave.functions import fixed_values as V
 from reportweave.functions import text as T
 from reportweave.operators import charts, inference, lookup, statistics
 from reportweave.operators.questions import categorise, categorise_all
+from reportweave.plans.metrics import write_run
 from reportweave.plans.structure import coverage, flatten_categories, sorted_columns, structure, with_answers
 from reportweave.session import scratch_folder, spread
 from reportweave.sources import readers, writers
+from reportweave.sources.listing import list_reports
 from reportweave.streaming import intake
+from reportweave.streaming.inference import Pace, infer_restartable
 
 from . import responses as generated
 
@@ -182,6 +186,16 @@ def coverage_of_fields(spark, sf_dir):
     return coverage(structure(order_responses(spark, sf_dir)))
 
 
+@query
+def run_metrics(spark, sf_dir):
+    """Counts of a run, taken while it is structured and written."""
+    counts = write_run(
+        order_responses(spark, sf_dir), scratch_folder(spark, "run"),
+        keep=lambda df: df.where(F.contains(F.col("response"), F.lit("at fault"))),
+    )
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{name} long" for name in counts))
+
+
 @query
 def clean_and_keep_hooks(spark, sf_dir):
     """Hooks of the user before structuring: drop unanswered reports, keep guilty verdicts' texts."""
@@ -510,6 +524,52 @@ def batch_inference(spark, sf_dir):
     return _conversation_answers(spark, sf_dir)
 
 
+class Killed(Exception):
+    """Ends a run, as a lost driver would."""
+
+
+def alternating_client():
+    """Like the other one, but what is delayed is delayed every other time."""
+    calls: dict[str, int] = {}
+
+    def call(messages: str) -> str:
+        calls[messages] = calls.get(messages, 0) + 1
+        if len(messages) % 11 == 0:
+            raise inference.Rejected("refused")
+        if len(messages) % 7 == 0 and calls[messages] % 2 == 1:
+            raise inference.RateLimited("later")
+        if len(messages) % 13 == 0:
+            raise ValueError("broken")
+        return f"Q1. Yes, {len(messages)} characters."
+
+    return call
+
+
+@query
+def restarted_inference(spark, sf_dir):
+    """A run that is killed while its third batch is open, resumed, and run once more: each request is answered once."""
+    path = scratch_folder(spark, "inference")
+    turns = table(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", F.col("conv_id"), F.col("turn")).alias("report"),
+        F.lit(0).alias("page_no"), F.col("text").cast("binary").alias("content"),
+    )
+    requests = inference.build_requests(inference.assemble_pages(turns), "?")
+    settings = {"pace": Pace(attempts=3, wait=0.0), "per_file": max(1, turns.count() // 40), "files_per_batch": 8}
+
+    def kill(number: int) -> None:
+        if number == 2:
+            raise Killed(number)
+
+    try:
+        infer_restartable(requests, alternating_client, path, on_batch=kill, **settings)
+    except StreamingQueryException:
+        pass
+    infer_restartable(requests, alternating_client, path, **settings)
+    answers = infer_restartable(requests, alternating_client, path, **settings)
+    times = spark.read.parquet(f"{path}/answers").groupBy("report", "request").agg(F.count(F.lit(1)).alias("times"))
+    return answers.join(times, ["report", "request"]).select("report", "response", "status", "error", "attempts", "times")
+
+
 @query
 def inference_outcomes(spark, sf_dir):
     """Answered and failed requests, counted and put together again."""
@@ -560,37 +620,49 @@ def append_answers(spark, sf_dir):
     return charts.hist(rows, "q1_category")
 
 
+# Ends a response in a report file; responses themselves have line breaks.
+END = "\f"
+
+
 def _report_files(spark, sf_dir) -> str:
-    """Answers as text files: each file is a report that holds many of them."""
+    """Whole responses as text files, one file for every twenty-fifth part of the reports."""
     path = scratch_folder(spark, "reports")
-    line = F.replace(F.coalesce("response", F.lit("")), F.lit("\n"), F.lit(" ")).alias("value")
-    order_responses(spark, sf_dir).select(line).write.option("maxRecordsPerFile", 2000).text(path)
+    part = F.substring_index("report", "-", -1).cast("long") % 25
+    rows = order_responses(spark, sf_dir).select(part.alias("part"), F.coalesce("response", F.lit("")).alias("value"))
+    rows.repartition(25, "part").write.partitionBy("part").option("lineSep", END).text(path)
     return path
 
 
-def _file_lines(files: DataFrame) -> DataFrame:
-    text = F.btrim(F.decode("content", "UTF-8"), F.lit("\n"))
-    return files.select("length", F.explode(F.split(text, "\n")).alias("line"))
+def _file_responses(files: DataFrame) -> DataFrame:
+    """One row per response; what follows the last end is nothing."""
+    texts = F.split(F.decode("content", "UTF-8"), END)
+    return files.select(F.explode(F.slice(texts, 1, F.size(texts) - 1)).alias("response"))
 
 
 @query
 def report_scan(spark, sf_dir):
-    files = readers.read_reports(spark, _report_files(spark, sf_dir), glob="*.txt")
-    lines = files.select("length", F.length(F.decode("content", "UTF-8")).alias("chars"))
-    return lines.agg(F.sum("length").alias("n_bytes"), F.sum("chars").alias("n_chars"))
+    """One row per file, against the listing of the same folder."""
+    path = _report_files(spark, sf_dir)
+    part = F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part")
+    content = F.decode("content", "UTF-8")
+    files = readers.read_reports(spark, path, glob="*.txt", recursive=True).select(
+        part, "length", F.length(content).alias("n_chars"), (F.length(content) - F.length(F.replace(content, F.lit(END)))).alias("n_responses"))
+    listed = list_reports(spark, path, glob="*.txt", recursive=True).select(part, F.col("length").alias("listed"))
+    return files.groupBy("part").agg(
+        F.sum("length").alias("n_bytes"), F.sum("n_chars").alias("n_chars"), F.sum("n_responses").alias("n_responses"),
+    ).join(listed.groupBy("part").agg(F.sum("listed").alias("listed")), "part")
 
 
 @query
 def stream_intake(spark, sf_dir):
-    """Report files taken in as a stream, two per batch, answers structured on the way."""
+    """Report files taken in as a stream, two per batch, whole answers structured on the way."""
     path = scratch_folder(spark, "intake")
     stream = intake.stream_reports(
-        spark, _report_files(spark, sf_dir), f"{path}/sink", f"{path}/progress", every=2, glob="*.txt",
-        step=lambda files: _file_lines(files).select(F.col("line").alias("response")),
+        spark, f"{_report_files(spark, sf_dir)}/part=*", f"{path}/sink", f"{path}/progress", every=2, glob="*.txt",
+        step=lambda files: structure(_file_responses(files)),
     )
     stream.awaitTermination()
-    rows = one_category(intake.read_batches(spark, f"{path}/sink"), "q1", 1, "q1_category")
-    return charts.hist(rows, "q1_category")
+    return charts.hist(intake.read_batches(spark, f"{path}/sink"), ["q1_category", "q2_av_brand", "q2_other_vehicle"])
 
 
 def _answer_files(spark, sf_dir, path: str) -> str:

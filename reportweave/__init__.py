@@ -26,8 +26,11 @@ from .operators.inference import (
 )
 from .operators.lookup import keyword_lookup, lookup
 from .operators.questions import categorise, categorise_all, category
+from .plans.metrics import RunCounts, write_run
 from .plans.structure import coverage, flatten_categories, sorted_columns, structure, with_answers
 from .session import scratch_folder, tune
+from .sources.listing import list_reports
 from .sources.readers import load_table, pending, read_reports, read_responses
 from .sources.writers import append_responses, save_table, write_structured
+from .streaming.inference import Pace, committed, infer_restartable, stage_requests
 from .streaming.intake import latest_counts, read_batches, stream_counts, stream_reports, stream_structured

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -86,18 +86,22 @@ def flatten_categories(structured: DataFrame) -> DataFrame:
     return structured.select(*[c for c in structured.columns if c not in NESTED_FIELDS], *flat)
 
 
-def coverage(structured: DataFrame) -> DataFrame:
-    """One row: number of rows, and rows in which a field of question 2 was not found."""
-    fields = {
+def missing_fields() -> dict[str, Column]:
+    """Tests on a structured row: a field of question 2 was not found."""
+    return {
         "no_brand": F.col("q2_av_brand") == V.UNKNOWN,
         "no_model": F.col("q2_av_model") == V.UNKNOWN,
         "no_year": F.col("q2_av_year") == V.UNKNOWN,
         "no_road_user": F.col("q2_other_road_user").isNull(),
         "no_vehicle": F.coalesce(F.col("q2_other_vehicle"), F.lit("")) == "",
     }
+
+
+def coverage(structured: DataFrame) -> DataFrame:
+    """One row: number of rows, and rows in which a field of question 2 was not found."""
     return structured.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        *[F.count_if(test).alias(name) for name, test in fields.items()],
+        *[F.count_if(test).alias(name) for name, test in missing_fields().items()],
     )
 
 

@@ -55,8 +55,8 @@ def test_read_reports(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "deep.pdf").write_bytes(b"d")
     everything = read_reports(spark, str(tmp_path))
-    assert {r.report: r.length for r in everything.collect()} == {"one.pdf": 6, "two.pdf": 100, "note.txt": 1}
-    assert read_reports(spark, str(tmp_path), glob="*.pdf").count() == 2
+    assert {r.report: r.length for r in everything.collect()} == {"one.pdf": 6, "two.pdf": 100, "note.txt": 1, "empty.pdf": 0}
+    assert read_reports(spark, str(tmp_path), glob="*.pdf").count() == 3
 
 
 def test_csv_keeps_answers_whole(spark, responses, tmp_path):
