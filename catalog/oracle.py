@@ -355,6 +355,23 @@ ORACLE_SQL["stream_intake"] = _answers(
           ["q1_category", "q2_av_brand", "q2_other_vehicle"]),
     Q1, O.av_ctes(), O.vehicle_ctes(),
 )
+ORACLE_SQL["stream_snapshot"] = (
+    f"with {O.responses_cte('orders')} select files, true as complete, n_responses, n_chars"
+    " from (select unnest(range(5, 26, 5)) as files),"
+    " (select count(*) as n_responses, cast(sum(length(coalesce(response, ''))) as bigint) as n_chars from responses)"
+)
+_latest = (
+    f"with {O.responses_cte('orders').replace('responses as', 'originals as')}, deliveries as ("
+    "select report, response, 1 as answered_at from originals union all"
+    " select report, 'Q1. No, corrected.', cast(split_part(report, '-', -1) as bigint) % 2 * 2 from originals"
+    " where cast(split_part(report, '-', -1) as bigint) % 3 = 0),"
+    " responses as (select report, response from deliveries qualify row_number() over"
+    " (partition by report order by answered_at desc, response desc nulls last) = 1),"
+    f" {O.answers_cte()}, {Q1[0]}, counted as ({_hist('rows', ['q1_category'])}) "
+)
+ORACLE_SQL["stream_latest"] = (
+    _latest + "select *, 'forward' as delivery from counted union all select *, 'backward' from counted"
+)
 ORACLE_SQL["stream_structured"] = _answers(
     _hist("(select * from rows join av using (report))", ["q1_category", "q2_av_brand", "q2_av_year"]),
     Q1, O.av_ctes(),

@@ -21,7 +21,7 @@ from reportweave.plans.structure import coverage, flatten_categories, sorted_col
 from reportweave.session import scratch_folder, spread
 from reportweave.sources import readers, writers
 from reportweave.sources.listing import list_reports
-from reportweave.streaming import intake
+from reportweave.streaming import intake, snapshots
 from reportweave.streaming.inference import Pace, infer_restartable
 
 from . import responses as generated
@@ -665,6 +665,40 @@ def stream_intake(spark, sf_dir):
     return charts.hist(intake.read_batches(spark, f"{path}/sink"), ["q1_category", "q2_av_brand", "q2_other_vehicle"])
 
 
+@query
+def stream_snapshot(spark, sf_dir):
+    """A snapshot after every five files, read beside a batch that was torn."""
+    path = scratch_folder(spark, "snapshots")
+    reports, sink = f"{_report_files(spark, sf_dir)}/part=*", f"{path}/sink"
+    snapshots.stream_snapshots(
+        spark, reports, sink, f"{path}/progress", every=5, glob="*.txt", step=_file_responses).awaitTermination()
+    spark.createDataFrame([("torn",)], "response string").write.parquet(f"{sink}/data/batch-5-torn")
+    whole = snapshots.read_snapshot(spark, sink).agg(
+        F.count(F.lit(1)).alias("n_responses"), F.sum(F.length("response")).alias("n_chars"))
+    some = snapshots.read_snapshot(spark, sink, total_files=12).count()
+    known = snapshots.snapshots(spark, sink)
+    complete = F.when(F.col("total_files") == 10, F.col("total_rows") == some).otherwise(F.lit(True)).alias("complete")
+    return known.select(F.col("total_files").alias("files"), complete).crossJoin(whole)
+
+
+@query
+def stream_latest(spark, sf_dir):
+    """Answers that come again with corrections, delivered in either order and once more: each report counts once."""
+    path = scratch_folder(spark, "latest")
+    rows = order_responses(spark, sf_dir).select("report", "response", F.lit(1).alias("answered_at"))
+    key = F.substring_index("report", "-", -1).cast("long")
+    again = rows.where(key % 3 == 0).select("report", F.lit("Q1. No, corrected.").alias("response"), (key % 2 * 2).cast("int").alias("answered_at"))
+    results = []
+    for name, deliveries in {"forward": (rows, again, again), "backward": (again, rows, rows)}.items():
+        for i, delivery in enumerate(deliveries):
+            delivery.write.mode("append").parquet(f"{path}/{name}")
+            stream = spark.readStream.schema("report string, response string, answered_at int").parquet(f"{path}/{name}")
+            snapshots.stream_latest(stream, f"{path}/{name}-sink", f"{path}/{name}-progress").awaitTermination()
+        latest = snapshots.read_latest(spark, f"{path}/{name}-sink")
+        results.append(charts.hist(one_category(latest, "q1", 1, "q1_category"), "q1_category").withColumn("delivery", F.lit(name)))
+    return results[0].unionByName(results[1])
+
+
 def _answer_files(spark, sf_dir, path: str) -> str:
     order_responses(spark, sf_dir).write.option("maxRecordsPerFile", 4000).parquet(path)
     return path

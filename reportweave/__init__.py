@@ -34,3 +34,4 @@ from .sources.readers import load_table, pending, read_reports, read_responses
 from .sources.writers import append_responses, save_table, write_structured
 from .streaming.inference import Pace, committed, infer_restartable, stage_requests
 from .streaming.intake import latest_counts, read_batches, stream_counts, stream_reports, stream_structured
+from .streaming.snapshots import read_latest, read_snapshot, snapshots, stream_latest, stream_snapshots

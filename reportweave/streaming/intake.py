@@ -33,6 +33,18 @@ def read_batches(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.option("basePath", sink).parquet(f"{sink}/{BATCH}=*").drop(BATCH)
 
 
+def report_files(spark: SparkSession, path: str, every: int, glob: str | None = None) -> DataFrame:
+    """The files of a folder as a stream, ``every`` files per batch."""
+    reader = (
+        spark.readStream.format("binaryFile")
+        .schema(REPORT_FILE_SCHEMA)
+        .option("maxFilesPerTrigger", every)
+    )
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.load(path).select(file_name(F.col("path")).alias("report"), "*")
+
+
 def stream_reports(
     spark: SparkSession,
     path: str,
@@ -47,14 +59,7 @@ def stream_reports(
     ``step`` turns a batch of ``(report, path, modificationTime, length, content)``
     into what is written, for instance the answers of a model.
     """
-    reader = (
-        spark.readStream.format("binaryFile")
-        .schema(REPORT_FILE_SCHEMA)
-        .option("maxFilesPerTrigger", every)
-    )
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path).select(file_name(F.col("path")).alias("report"), "*")
+    files = report_files(spark, path, every, glob)
     return (
         files.writeStream.foreachBatch(_batch_writer(sink, step))
         .option("checkpointLocation", checkpoint)
