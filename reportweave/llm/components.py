@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from reportweave.llm.common import stored
 
 
+LINKS_OF_A_TASK = 50_000
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links`` (``a``, ``b``); root is the smallest node reachable.
 
@@ -23,6 +26,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = stored(ordered.distinct())
     state = _state(edges)
     while state[0]:
+        # Few links need few tasks and files in each of the steps; a round makes no more than twice as many.
+        tasks = state[0] // LINKS_OF_A_TASK + 1
         # Larger neighbours: every neighbour above u is linked to the smallest around u (u included).
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -30,14 +35,14 @@ def connected_components(links: DataFrame) -> DataFrame:
             both.join(smallest, F.col("u") == F.col("k")).where("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         )
-        grown = stored(large.distinct())
+        grown = stored(large.distinct().coalesce(tasks))
         # Smaller neighbours: u and all of them are linked to the smallest.
         least = grown.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         small = grown.join(least, F.col("u") == F.col("k")).select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
             .alias("e")
         )
-        edges = stored(small.select("e.*").where("u <> v").distinct())
+        edges = stored(small.select("e.*").where("u <> v").distinct().coalesce(tasks))
         before, state = state, _state(edges)
         if state == before:
             break
