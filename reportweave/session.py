@@ -35,7 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError(f"{CHECKPOINT_DIR} has to name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="reportweave-")
         spark.conf.set(CHECKPOINT_DIR, base)
