@@ -280,3 +280,11 @@ def test_held_out_accuracy(spark, sf_dir):
     toxic = toxicity.score_toxicity(docs, labels).join(labels, "doc_id").where("held_out")
     assert toxic.where("predicted = 1 and toxic = 0").count() <= 0.02 * toxic.count()
     assert toxic.where("predicted = 1 and toxic = 1").count() >= 0.5 * toxic.where("toxic = 1").count()
+
+
+def test_line_dedup_with_columns_of_its_own_names(spark):
+    rows = [(1, "same line here for all\nfirst text", "x", 5, "k"), (2, "same line here for all\nanother one", "y", 6, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, dropped string, of_doc int, key string")
+    found = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert found[1].text == rows[0][1] and found[2].text == "another one" and found[None].text is None
+    assert (found[2].dropped, found[2].of_doc, found[1].key) == ("y", 6, "k")
