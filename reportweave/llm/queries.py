@@ -39,7 +39,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(documents(spark, sf_dir)).drop("spans")
+    return scan_licenses(documents(spark, sf_dir))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
