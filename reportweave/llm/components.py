@@ -65,6 +65,7 @@ def linked_through_keys(
     accept: int | Callable[[Column, Column], Column],
     verify: Callable[[DataFrame], DataFrame],
     crowd: Callable[[DataFrame], tuple[DataFrame, Callable[[Column, Column], Column]]] | None = None,
+    few: int = FEW,
 ) -> DataFrame:
     """``(node, root)`` of all nodes that are linked: components under links between nodes of a shared key.
 
@@ -73,7 +74,7 @@ def linked_through_keys(
     and returns those that are links.  Every candidate counts, but few are looked at whose ends
     are known to be connected: first, all nodes of a key are compared with its smallest
     one, so that large groups of similar nodes become components without their pairs; then, in keys
-    that still hold several components, pairs across these.  In keys of more than FEW nodes, ``crowd`` may find
+    that still hold several components, pairs across these.  In keys of more than ``few`` nodes, ``crowd`` may find
     these pairs: it takes the nodes and returns members by narrower keys that lose no link between them,
     and their condition; such nodes are first compared with one that is central to them.  Without it, another comparison with one node chosen by hash comes before all pairs across.
     """
@@ -121,14 +122,14 @@ def linked_through_keys(
         compared = pairs(shared.where(star), "rep")
     else:
         # In a crowd, keys have many smallest nodes; each node is compared with the most central one it meets.
-        compared = pairs(shared.where(star & (F.col("n") <= FEW)), "rep").union(
-            pairs(central(shared.where(F.col("n") > FEW)), "rep")).distinct()
+        compared = pairs(shared.where(star & (F.col("n") <= few)), "rep").union(
+            pairs(central(shared.where(F.col("n") > few)), "rep")).distinct()
     found = stored(verify(compared))
     crowded = shared.where("n > 2").select("key", "node", "mark", "n")
     roots = connected_components(found)
     rest = parted(crowded, roots)
     if crowd is None:
-        chosen = rest.where(F.col("n") > FEW).groupBy(F.col("key").alias("of_key")).agg(
+        chosen = rest.where(F.col("n") > few).groupBy(F.col("key").alias("of_key")).agg(
             F.min_by(F.struct("node", "mark", "part"), F.xxhash64("node")).alias("r")
         ).select("of_key", F.col("r.node").alias("rep"), F.col("r.mark").alias("rep_mark"), F.col("r.part").alias("rep_part"))
         second = rest.join(chosen, (F.col("key") == F.col("of_key")) & (F.col("part") != F.col("rep_part"))
@@ -139,8 +140,8 @@ def linked_through_keys(
             rest = parted(rest.drop("part"), connected_components(found))
         more = verify(across(rest, alike))
     else:
-        candidates = across(rest.where(F.col("n") <= FEW), alike)
-        many = rest.where(F.col("n") > FEW).select("node", "part").distinct()
+        candidates = across(rest.where(F.col("n") <= few), alike)
+        many = rest.where(F.col("n") > few).select("node", "part").distinct()
         narrow, condition = crowd(many.select("node"))
         of_node = many.withColumnRenamed("node", "of_node")
         named = stored(narrow.join(of_node, F.col("node") == F.col("of_node")).select("key", "node", "mark", "part"))
