@@ -7,10 +7,10 @@ text's own most frequent n-grams, of how far their ranks differ.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,55 +24,122 @@ PROFILE = 300
 LONGEST_GRAM = 3
 # Scale of the score: distances differ by a few tenths between languages.
 SHARPNESS = 20.0
-WORDS_KEPT = 60_000
-# Words longer than this are no words of a language (links, keys); their grams are not kept for reuse.
-LONGEST_KEPT = 40
+# Numbers of n-grams that a task keeps for reuse, and counted n-grams that it adds up at once.
+GRAMS_KEPT, GRAMS_HELD = 500_000, 2_000_000
+# Characters that are counted at once, and texts that are ranked at once unless a single one is longer.
+SLICE, SLICE_TEXTS = 1 << 18, 1 << 10
+# An n-gram is a number: its code points side by side, the last one lowest.
+POINT_BITS = 21
+MARK = ord("_")
 
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case."""
-    return re.findall(r"[^\W\d_]+", text.lower())
 
+def gram_of(code: int) -> str:
+    points = [code >> POINT_BITS * i & (1 << POINT_BITS) - 1 for i in reversed(range(LONGEST_GRAM))]
+    return "".join(chr(p) for p in points if p)
 
-def grams_of(word: str) -> list[str]:
-    """n-grams of a word with its ends marked; the mark alone is no n-gram."""
-    padded = f"_{word}_"
-    return [
-        padded[i : i + n]
-        for n in range(1, LONGEST_GRAM + 1)
-        for i in range(len(padded) - n + 1)
-        if n > 1 or padded[i] != "_"
+
+def code_of(gram: str) -> int:
+    return reduce(lambda code, c: code << POINT_BITS | ord(c), gram, 0)
+
+
+def added_up(parts: list[Counts]) -> Counts:
+    """Counts ``(group, code, n)`` of several parts as one, in order of group and code."""
+    group, code, n = map(np.concatenate, zip(*parts, strict=True))
+    order = np.lexsort((code, group))
+    group, code, n = group[order], code[order], n[order]
+    first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (code[1:] != code[:-1]))[: len(code)])
+    return group[first], code[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def counted_piece(piece: str, groups: np.ndarray) -> Counts:
+    """Counts of the n-grams around every character but the first and the last, which give context only.
+
+    Words are runs of letters and number signs, and both ends of a word are marked.  So each
+    letter gives itself, itself with the one before, and itself with both neighbours; the last
+    of a word gives itself with the mark as well.
+    """
+    points, at = np.unique(np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    letter = np.fromiter((c.isalnum() and not c.isdecimal() for c in map(chr, points.tolist())), bool, len(points))
+    # Numbers of the characters of this piece from 2 on, 1 is the mark, 0 is nothing.
+    number = np.where(letter, np.cumsum(letter) + 1, 1).astype(np.uint64)
+    point = np.append([0, MARK], points[letter]).astype(np.uint64)
+    bits = np.uint64(len(point).bit_length())
+    here = number[at]
+    is_letter = letter[at]
+    mid = np.flatnonzero(is_letter[1:-1]) + 1
+    y, before, after = here[mid], here[mid - 1], here[mid + 1]
+    head = groups[mid - 1].astype(np.uint64) << (np.uint64(LONGEST_GRAM) * bits)
+    two = head | (before << bits) | y
+    last = np.flatnonzero(after == 1)
+    keys = np.concatenate([
+        head | y, two, head | (((before << bits) | y) << bits) | after, head[last] | (y[last] << bits) | np.uint64(1)
+    ])
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    n = np.diff(np.append(first, len(keys)))
+    keys = keys[first]
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    code = np.zeros(len(keys), np.uint64)
+    for i in reversed(range(LONGEST_GRAM)):
+        code = (code << np.uint64(POINT_BITS)) | point[((keys >> (np.uint64(i) * bits)) & mask).astype(np.int64)]
+    return keys >> (np.uint64(LONGEST_GRAM) * bits), code, n
+
+
+def gram_counts(texts: list[str], groups: list[int]) -> Counts:
+    """``(group, code, n)`` in order of group: how often each n-gram occurs in the texts of a group.
+
+    Up to 1024 groups.  However long the texts are, a piece of SLICE characters is counted at once.
+    """
+    lower = [t.lower() for t in texts]
+    joined = "\n" + "\n".join(lower) + "\n"
+    owner = np.repeat(np.array(groups, np.uint16), [len(t) + 1 for t in lower])
+    parts = [
+        counted_piece(joined[i : i + SLICE + 2], owner[i : i + SLICE]) for i in range(0, len(joined) - 1, SLICE)
     ]
+    return parts[0] if len(parts) == 1 else added_up(parts)
+
+
+def slices(texts: Iterable[str]) -> Iterator[list[str]]:
+    """Texts in order, up to SLICE_TEXTS of SLICE characters at once; a longer text is alone."""
+    some, size = [], 0
+    for text in texts:
+        if some and (size + len(text) >= SLICE or len(some) == SLICE_TEXTS):
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text) + 1
+    if some:
+        yield some
 
 
 def language_profiles(docs: DataFrame) -> list[tuple[str, list[str]]]:
     """Languages in order of their names, each with its n-grams by rank.
 
-    Learned from all texts with a language outside the held-out rows.  Every task counts
-    its words first and their n-grams once per distinct word; the table has a row per
-    language, n-gram and task.  What comes to the driver is PROFILE rows per language.
+    Learned from all texts with a language outside the held-out rows.  Every task adds up
+    its counts; the table has a row per language, n-gram and task, or more if a task meets very many.
+    What comes to the driver is PROFILE rows per language.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: dict[str, Counter] = defaultdict(Counter)
-
-        def grams() -> pd.DataFrame:
-            rows = []
-            for lang, counted in words.items():
-                n = Counter()
-                for word, times in counted.items():
-                    for gram in grams_of(word):
-                        n[gram] += times
-                rows += [(lang, gram, times) for gram, times in n.items()]
-            words.clear()
-            return pd.DataFrame(rows, columns=["lang", "gram", "n"])
+        held: dict[str, list[Counts]] = defaultdict(list)
+
+        def rows() -> Iterator[pd.DataFrame]:
+            for lang, parts in held.items():
+                _, code, n = added_up(parts)
+                yield pd.DataFrame({"lang": lang, "gram": [gram_of(c) for c in code.tolist()], "n": n})
+            held.clear()
 
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                words[lang].update(words_of(text))
-            if sum(map(len, words.values())) > 10 * WORDS_KEPT:
-                yield grams()
-        yield grams()
+            for lang, texts in batch.groupby("lang")["text"]:
+                for some in slices(texts):
+                    held[lang].append(gram_counts(some, [0] * len(some)))
+                    if sum(len(n) for parts in held.values() for _, _, n in parts) > GRAMS_HELD:
+                        held.update({each: [added_up(parts)] for each, parts in held.items()})
+                        if sum(len(n) for parts in held.values() for _, _, n in parts) > GRAMS_HELD // 2:
+                            yield from rows()
+        yield from rows()
 
     known = docs.where(F.col("lang").isNotNull() & ~in_held_out(F.col("doc_id")))
     counted = known.select("lang", whole_text(F.col("text")).alias("text")).mapInPandas(
@@ -87,64 +154,84 @@ def language_profiles(docs: DataFrame) -> list[tuple[str, list[str]]]:
     return sorted(profiles.items())
 
 
+class GramNumbers(dict):
+    """Numbers of n-grams by their codes; those of the profiles come first, others have their checksum behind these.
+
+    Numbers made on demand are kept up to a bound.
+    """
+
+    def __init__(self, known: list[str]):
+        self.known = {code_of(gram): i for i, gram in enumerate(known)}
+        super().__init__(self.known)
+
+    def __missing__(self, code: int) -> int:
+        if len(self) >= GRAMS_KEPT + len(self.known):
+            self.clear()
+            self.update(self.known)
+        self[code] = number = len(self.known) + zlib.crc32(gram_of(code).encode())
+        return number
+
+
 class Ranker:
-    """Out-of-place distances of texts to all profiles."""
+    """Out-of-place distances of texts to all profiles, up to SLICE_TEXTS texts at once."""
 
     def __init__(self, profiles: list[tuple[str, list[str]]]):
         self.langs = [lang for lang, _ in profiles]
-        self.ids = {g: i for i, g in enumerate(sorted({g for _, grams in profiles for g in grams}))}
-        self.ranks = np.full((len(self.ids), max(1, len(profiles))), -1, dtype=np.int64)
+        known = sorted({g for _, grams in profiles for g in grams})
+        self.numbers = GramNumbers(known)
+        # The last row is for n-grams of no profile.
+        self.ranks = np.full((len(known) + 1, len(profiles)), -1, dtype=np.int32)
         for k, (_, grams) in enumerate(profiles):
             for rank, gram in enumerate(grams):
-                self.ranks[self.ids[gram], k] = rank
-        self.tie = np.array([zlib.crc32(g.encode()) for g in self.ids], dtype=np.int64)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def grams(self, word: str) -> np.ndarray:
-        """Ids of a word's n-grams: those of the profiles, else a number made from the n-gram."""
-        found = self.cache.get(word)
-        if found is None:
-            first = len(self.ids)
-            found = np.array([self.ids.get(g, -1) if g in self.ids else first + zlib.crc32(g.encode())
-                              for g in grams_of(word)], dtype=np.int64)
-            if len(word) <= LONGEST_KEPT:
-                if len(self.cache) >= WORDS_KEPT:
-                    self.cache.clear()
-                self.cache[word] = found
-        return found
-
-    def top(self, text: str) -> np.ndarray:
-        """Ids of the text's most frequent n-grams by rank; equal counts in order of a checksum."""
-        counted = Counter(words_of(text))
+                self.ranks[self.numbers[code_of(gram)], k] = rank
+        self.checksum = np.array([zlib.crc32(g.encode()) for g in known], dtype=np.uint64)
+
+    def top(self, texts: list[str]) -> Counts:
+        """``(text, place, number)``: the most frequent n-grams of each text in order of rank.
+
+        Equal counts go in order of a checksum.  Texts without a letter have none.
+        """
+        text, code, n = gram_counts(texts, list(range(len(texts))))
+        distinct, where = np.unique(code, return_inverse=True)
         # Runs may consist of number signs such as ½ alone.
-        if not any(any(map(str.isalpha, w)) for w in counted):
-            return np.empty(0, dtype=np.int64)
-        parts = [self.grams(w) for w in counted]
-        ids = np.concatenate(parts)
-        times = np.repeat(np.fromiter(counted.values(), np.int64, len(counted)), [len(p) for p in parts])
-        each, where = np.unique(ids, return_inverse=True)
-        n = np.bincount(where, weights=times).astype(np.int64)
-        known = each < len(self.ids)
-        tie = np.where(known, self.tie[np.where(known, each, 0)] if len(self.tie) else 0, each - len(self.ids))
-        order = (n << 32) - tie
-        if len(each) > PROFILE:
-            best = np.argpartition(-order, PROFILE)[:PROFILE]
-            each, order = each[best], order[best]
-        return each[np.argsort(-order, kind="stable")]
-
-    def predict(self, text: str) -> tuple[str, float]:
-        """The nearest language and its share of ``exp(-SHARPNESS * distance)``."""
-        top = self.top(text)
-        if not len(top) or not self.langs:
-            return "und", 0.0
-        known = top < len(self.ids)
-        ranks = self.ranks[np.where(known, top, 0)] if len(self.ids) else np.full((len(top), 1), -1)
-        place = np.arange(len(top))[:, None]
-        out = np.where(known[:, None] & (ranks >= 0), np.abs(ranks - place), PROFILE)
-        distance = out.sum(axis=0) / (len(top) * PROFILE)
-        near = np.exp(-SHARPNESS * (distance - distance.min()))
-        best = int(np.argmin(distance))
-        return self.langs[best], float(near[best] / near.sum())
+        alpha = np.zeros(len(distinct), bool)
+        single = distinct[distinct < 1 << POINT_BITS].tolist()
+        alpha[: len(single)] = [chr(c).isalpha() for c in single]
+        lettered = np.bincount(text[alpha[where]].astype(np.int64), minlength=len(texts)) > 0
+        kept = lettered[text.astype(np.int64)]
+        gram = np.fromiter(map(self.numbers.__getitem__, distinct.tolist()), np.uint64, len(distinct))[where][kept]
+        text, n = text[kept], n[kept].astype(np.uint64)
+        if not len(text):
+            return text, n, gram
+        known = gram < len(self.checksum)
+        checksum = gram - np.uint64(len(self.checksum))
+        checksum[known] = self.checksum[gram[known].astype(np.int64)]
+        # Text, count and checksum share 64 bits: 10 + 19 + 32, or 0 + 32 + 32 for a single long text.
+        most = n.max()
+        order = (((text << np.uint64(int(most).bit_length())) | (most - n)) << np.uint64(32)) | checksum
+        order = np.argsort(order, kind="stable")
+        text, gram = text[order], gram[order]
+        place = np.arange(len(text)) - np.searchsorted(text, text)
+        best = place < PROFILE
+        return text[best], place[best], gram[best]
+
+    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        """The nearest language of each text and its share of ``exp(-SHARPNESS * distance)``."""
+        result = [("und", 0.0)] * len(texts)
+        text, place, gram = self.top(texts)
+        if not len(text) or not self.langs:
+            return result
+        ranks = self.ranks[np.minimum(gram, len(self.checksum)).astype(np.int64)]
+        near = np.where(ranks >= 0, PROFILE - np.abs(ranks - place[:, None].astype(np.int32)), 0)
+        first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        whole = np.diff(np.append(first, len(text)))[:, None] * PROFILE
+        distance = (whole - np.add.reduceat(near, first, axis=0, dtype=np.int64)) / whole
+        shares = np.exp(-SHARPNESS * (distance - distance.min(axis=1, keepdims=True)))
+        best = distance.argmin(axis=1)
+        scores = shares[np.arange(len(best)), best] / shares.sum(axis=1)
+        for t, k, score in zip(text[first].tolist(), best.tolist(), scores.tolist(), strict=True):
+            result[t] = self.langs[k], score
+        return result
 
 
 def identify_language(docs: DataFrame) -> DataFrame:
@@ -161,7 +248,8 @@ def identify_language(docs: DataFrame) -> DataFrame:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ranker = Ranker(shared.value)
         for batch in batches:
-            yield pd.DataFrame([ranker.predict(v) for v in batch], columns=["lang_pred", "score"])
+            predicted = [p for some in slices(batch) for p in ranker.predict(some)]
+            yield pd.DataFrame(predicted, columns=["lang_pred", "score"])
 
     predicted = docs.select(
         "doc_id", in_held_out(F.col("doc_id")).alias("held_out"), predict(whole_text(F.col("text"))).alias("p")
