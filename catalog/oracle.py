@@ -96,6 +96,23 @@ ORACLE_SQL["coverage_of_fields"] = _answers(
     " from av join ru using (report) join ov using (report)",
     O.av_ctes(), O.road_user_ctes(), O.vehicle_ctes(),
 )
+ORACLE_SQL["unmatched_phrases_of_fields"] = _answers(
+    "select field, cast(rank as integer) as rank, phrase, n from (select *, row_number() over"
+    " (partition by field order by n desc, phrase) as rank from counted) where rank <= 20",
+    O.structured_ctes(),
+    [
+        "missed as (select report, field, list_filter(string_split_regex(lower(q2), '[^\\p{L}\\p{N}]+'),"
+        " lambda w: w <> '') as words from (select report, q2, unnest(list_filter(["
+        "case when q2_av_brand = 'Unknown' then 'brand' end, case when q2_av_model = 'Unknown' then 'model' end,"
+        " case when q2_av_year = 'Unknown' then 'year' end,"
+        " case when q2_other_road_user is null then 'road_user' end,"
+        " case when coalesce(q2_other_vehicle, '') = '' then 'vehicle' end], lambda f: f is not null)) as field"
+        " from structured))",
+        "counted as (select field, phrase, count(*) as n from (select distinct report, field,"
+        " array_to_string(words[cast(i as bigint):cast(i + k - 1 as bigint)], ' ') as phrase from missed, range(1, 4) t(k),"
+        " range(1, 2000) s(i) where i + k - 1 <= len(words)) group by 1, 2)",
+    ],
+)
 ORACLE_SQL["clean_and_keep_hooks"] = _answers(
     _hist("kept", ["q1_category", "q2_other_road_user"]),
     O.structured_ctes(),
@@ -204,6 +221,39 @@ ORACLE_SQL["lowess"] = _lowess(12, "15", 4)
 ORACLE_SQL["lowess_frac_color"] = _lowess(8, "quantile_disc(abs(d), 0.5)", 3)
 
 
+def _lowess_robust(points: int, reach: float, rounds: int) -> str:
+    """Lines on the grid of each colour, fitted again with bisquare weights of the residuals."""
+    parts = [
+        "p as materialized (select row_number() over () as id, l_returnflag as color, l_quantity as x,"
+        " l_extendedprice * case when l_orderkey % 40 = 0 then 10 else 1 end as y from lineitem)",
+        "e as materialized (select color, min(x) as lo, (max(x) - min(x)) / {last} as step from p group by color)",
+        "r0 as materialized (select id, color, x, y, 1.0::double as b from p)",
+    ]
+    for k in range(rounds + 1):
+        parts += [
+            f"w{k} as (select color, cast(i as integer) as point, lo + i * step as place, y, x - (lo + i * step) as d,"
+            f" b * pow(1 - pow(abs(x - (lo + i * step)) / {{reach}}, 3), 3) as w from r{k} join e using (color),"
+            f" range({{points}}) t(i) where abs(x - (lo + i * step)) < {{reach}})",
+            f"f{k} as materialized (select color, point, place, (sum(w * d * d) * sum(w * y) - sum(w * d) * sum(w * d * y))"
+            f" / (sum(w) * sum(w * d * d) - sum(w * d) * sum(w * d)) as fit from w{k} group by 1, 2, 3)",
+        ]
+        if k < rounds:
+            parts += [
+                f"o{k} as materialized (select id, r{k}.color, x, y, abs(y - (f.fit + ((x - lo) / step - f.point)"
+                f" * (g.fit - f.fit))) as off from r{k} join e on r{k}.color = e.color"
+                f" join f{k} f on f.color = e.color and f.point = least(floor((x - lo) / step), {{last}} - 1)"
+                f" join f{k} g on g.color = e.color and g.point = f.point + 1)",
+                f"m{k} as (select color, quantile_disc(off, 0.5) as median from o{k} group by color)",
+                f"r{k + 1} as materialized (select id, color, x, y, case when off < 6 * median"
+                f" then pow(1 - pow(off / (6 * median), 2), 2) else 0 end as b from o{k} join m{k} using (color))",
+            ]
+    ctes = ", ".join(parts).format(points=points, last=points - 1, reach=reach)
+    return f"with {ctes} select color, point, round(place, 6) as x, round(fit, 3) as fit from f{rounds}"
+
+
+ORACLE_SQL["lowess_robust"] = _lowess_robust(12, 15, 3)
+
+
 def _box(color: str | None) -> str:
     key = f"{color} as color, " if color else ""
     names = "color, " if color else ""
@@ -235,6 +285,43 @@ ORACLE_SQL["kde"] = """
     select point, round(x, 6) as x,
            round(sum(exp(-0.5 * pow((value - x) / h, 2))) / (n * h * sqrt(2 * pi())), 9) as density
     from events, g where value is not null group by point, x, n, h"""
+ORACLE_SQL["kde_binned"] = """
+    with e as (select min(value) as lo, max(value) as hi, stddev_samp(value) as sd, count(value) as n,
+            (quantile_disc(value, 0.75) - quantile_disc(value, 0.25)) / 1.349 as iqr from events),
+    b as (select lo, (hi - lo) / 39 as step, 1.059 * least(sd, iqr) * pow(n, -0.2) as h, (hi - lo) / 4095 as width from e),
+    v as (select event_type as color, (value - lo) / width as pos, least(floor((value - lo) / width), 4094) as place
+          from events, b where value is not null),
+    s as (select color, place, 1 - (pos - place) as mass from v union all select color, place + 1, pos - place from v),
+    m as (select color, place, sum(mass) as mass from s group by 1, 2),
+    t as (select color, sum(mass) as n from m group by 1)
+    select color, cast(i as integer) as point, round(lo + i * step, 6) as x,
+           round(sum(case when abs(place * width - i * step) < 6 * h
+                     then mass * exp(-0.5 * pow((place * width - i * step) / h, 2)) else 0 end)
+                 / (n * h * sqrt(2 * pi())), 9) as density
+    from m join t using (color), b, range(40) g(i) group by color, i, lo, step, h, n"""
+
+
+def _capped(columns: str, source: str, axes: list[str], color: str, key: str, most: int) -> str:
+    """The first row of every cell and colour by digest, then the second ones, and so on."""
+    share = f"{most}.0::double / count(distinct {color})"
+    parts = f"floor(sqrt({share}))" if len(axes) == 2 else f"floor({share})"
+    ends = ", ".join(f"min({a}) as lo{i}, max({a}) as hi{i}" for i, a in enumerate(axes))
+    cells = ", ".join(f"least(parts - 1, floor(({a} - lo{i}) * parts / (hi{i} - lo{i})))" for i, a in enumerate(axes))
+    return f"""
+    with e as (select {parts} as parts, {ends} from {source}),
+    r as (select t.*, md5({key}) as digest,
+            row_number() over (partition by {color}, {cells} order by md5({key})) as turn from {source} t, e)
+    select {columns} from r order by turn, digest limit {most}"""
+
+
+ORACLE_SQL["scatter_capped"] = _capped(
+    "l_quantity, l_extendedprice, l_returnflag, l_orderkey, l_linenumber", "lineitem",
+    ["l_quantity", "l_extendedprice"], "l_returnflag", "l_orderkey || '|' || l_linenumber", 400,
+)
+ORACLE_SQL["rug_capped"] = _capped(
+    "event_type as color, value", "(select * from events where value is not null)", ["value"], "event_type",
+    "cast(event_id as varchar)", 300,
+)
 ORACLE_SQL["rug"] = "select event_type as color, value from events where value is not null"
 
 # --- texts --------------------------------------------------------------------------

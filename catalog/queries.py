@@ -17,7 +17,7 @@ from reportweave.functions import text as T
 from reportweave.operators import charts, inference, lookup, statistics
 from reportweave.operators.questions import categorise, categorise_all
 from reportweave.plans.metrics import write_run
-from reportweave.plans.structure import coverage, flatten_categories, sorted_columns, structure, with_answers
+from reportweave.plans.structure import coverage, flatten_categories, sorted_columns, structure, unmatched_phrases, with_answers
 from reportweave.session import scratch_folder, spread
 from reportweave.sources import readers, writers
 from reportweave.sources.listing import list_reports
@@ -186,6 +186,11 @@ def coverage_of_fields(spark, sf_dir):
     return coverage(structure(order_responses(spark, sf_dir)))
 
 
+@query
+def unmatched_phrases_of_fields(spark, sf_dir):
+    return unmatched_phrases(structure(order_responses(spark, sf_dir)))
+
+
 @query
 def run_metrics(spark, sf_dir):
     """Counts of a run, taken while it is structured and written."""
@@ -317,6 +322,16 @@ def lowess_frac_color(spark, sf_dir):
     return line.select("color", "point", rounded("x"), rounded("fit", 3))
 
 
+@query
+def lowess_robust(spark, sf_dir):
+    """Three rounds against outliers: one price in 40 is ten times as high."""
+    lines = table(spark, sf_dir, "lineitem").withColumn(
+        "price", F.col("l_extendedprice") * F.when(F.col("l_orderkey") % 40 == 0, 10).otherwise(1)
+    )
+    line = statistics.lowess(lines, "l_quantity", "price", "l_returnflag", points=12, bandwidth=15, rounds=3)
+    return line.select("color", "point", rounded("x"), rounded("fit", 3))
+
+
 @query
 def box_stats(spark, sf_dir):
     boxes = statistics.box(table(spark, sf_dir, "events"), "value")
@@ -335,6 +350,27 @@ def kde(spark, sf_dir):
     return curve.select("point", rounded("x"), rounded("density", 9))
 
 
+@query
+def kde_binned(spark, sf_dir):
+    curve = statistics.density(table(spark, sf_dir, "events"), "value", "event_type", points=40, bins=4096)
+    return curve.select("color", "point", rounded("x"), rounded("density", 9))
+
+
+@query
+def scatter_capped(spark, sf_dir):
+    """Up to 400 points, all regions and colours among them."""
+    tables = charts.scatter(
+        table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", color="l_returnflag",
+        hover=["l_orderkey", "l_linenumber"], most=400, key=["l_orderkey", "l_linenumber"],
+    )
+    return tables["points"]
+
+
+@query
+def rug_capped(spark, sf_dir):
+    return charts.marginal(table(spark, sf_dir, "events"), "value", "rug", "event_type", most=300, key="event_id")
+
+
 @query
 def rug(spark, sf_dir):
     return charts.marginal(table(spark, sf_dir, "events"), "value", "rug", "event_type")

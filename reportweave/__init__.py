@@ -13,7 +13,7 @@ from .functions.text import (
     split_list,
     strip,
 )
-from .operators.charts import bar, hist, hist_nested, marginal, scatter
+from .operators.charts import bar, capped, hist, hist_nested, marginal, scatter
 from .operators.inference import (
     Rejected,
     RateLimited,
@@ -27,7 +27,7 @@ from .operators.inference import (
 from .operators.lookup import keyword_lookup, lookup
 from .operators.questions import categorise, categorise_all, category
 from .plans.metrics import RunCounts, write_run
-from .plans.structure import coverage, flatten_categories, sorted_columns, structure, with_answers
+from .plans.structure import coverage, flatten_categories, sorted_columns, structure, unmatched_phrases, with_answers
 from .session import scratch_folder, tune
 from .sources.listing import list_reports
 from .sources.readers import load_table, pending, read_reports, read_responses

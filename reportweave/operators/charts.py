@@ -11,6 +11,7 @@ from functools import reduce
 from operator import add
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -131,6 +132,53 @@ def bar(df: DataFrame, y, x: str, stacked: bool = False, pretty: bool = False) -
     return df.select(F.col(x).alias("x"), F.inline(F.array(*segments)))
 
 
+def capped(
+    df: DataFrame, axes, most: int, color: str | None = None, key=None, keep=()
+) -> DataFrame:
+    """Up to ``most`` rows to draw, repeatable, with every region and colour that has any.
+
+    The range of each of the one or two number ``axes`` is cut evenly, into as many parts as let
+    all cells of all colours together be ``most`` or fewer.  Rows are ordered within their cell
+    and colour by a digest of ``key``, columns that tell rows apart (else of all columns returned).
+    The first row of every cell and colour is taken, then the second of each, and so on; the last
+    round goes by digest.  So outliers and thin regions stay.  With more colours than ``most``, some
+    colours are left out.  Rows without a number on an axis cannot be drawn and are left out.
+    Returns the axes, ``color`` and ``keep`` under their own names.
+
+    A task keeps ``most`` rows of a cell and colour at most before rows are exchanged.
+    """
+    axes, key = _names(axes), _names(key) if key else None
+    if not 1 <= len(axes) <= 2 or not all(S.is_number(df, c) for c in axes):
+        raise ValueError("one or two number columns are needed")
+    if most < 1:
+        raise ValueError("most has to be 1 at least")
+    names = list(dict.fromkeys([*axes, *([color] if color else []), *keep]))
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key or names)]
+    rows = df.select(
+        F.struct(*names).alias("row"), F.md5(F.concat_ws("|", *fields)).alias("digest"),
+        (F.col(color) if color else F.lit(None)).alias("color"),
+        *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(axes)],
+    )
+    for i in range(len(axes)):
+        rows = rows.where(F.col(f"v{i}").isNotNull() & ~F.isnan(f"v{i}") & (F.abs(f"v{i}") != float("inf")))
+    colours = F.count_distinct("color") + F.max(F.col("color").isNull().cast("int"))
+    ends = [f(f"v{i}").alias(f"{f.__name__}{i}") for i in range(len(axes)) for f in (F.min, F.max)]
+    whole = rows.agg(F.struct(colours.alias("colours"), *ends).alias("s")).scalar()
+    rows = rows.withColumn("s", whole)
+    share = F.lit(float(most)) / F.col("s.colours")
+    parts = F.greatest(F.lit(1), F.floor(F.sqrt(share) if len(axes) == 2 else share))
+    cells = [
+        F.coalesce(F.least(parts - 1, F.floor(F.try_divide(
+            (F.col(f"v{i}") - F.col(f"s.min{i}")) * parts, F.col(f"s.max{i}") - F.col(f"s.min{i}")
+        ))), F.lit(0)).alias(f"c{i}")
+        for i in range(len(axes))
+    ]
+    placed = rows.select("row", "digest", "color", *cells)
+    first = W.partitionBy("color", *[f"c{i}" for i in range(len(axes))]).orderBy("digest")
+    turns = placed.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= most)
+    return turns.orderBy("turn", "digest").limit(most).select("row.*")
+
+
 def scatter(
     df: DataFrame,
     x: str,
@@ -146,11 +194,16 @@ def scatter(
     marginal_x: str | None = "violin",
     marginal_y: str | None = "violin",
     fraction: float | None = None,
+    most: int | None = None,
+    key=None,
 ) -> dict[str, DataFrame]:
     """Tables of a scatter plot: ``points``, ``trendline``, ``marginal_x``, ``marginal_y``.
 
-    ``fraction`` draws a sample of the points; statistics always use all rows.
+    ``fraction`` draws a sample of the points, ``most`` draws so many with all regions of the plot
+    (see ``capped``, also for ``key``); statistics always use all rows.
     """
+    if fraction and most:
+        raise ValueError("fraction and most cannot be used together")
     if marker_size and size:
         raise ValueError("marker_size and size cannot be used together")
     if marker_size and "histogram" in (marginal_x, marginal_y):
@@ -161,6 +214,8 @@ def scatter(
     if pretty:
         df = prettify(df, dict.fromkeys(c for c in (x, y, color, size, text) if c))
     points = df.select(*shown)
+    if most:
+        points = capped(df, [x, y], most, color, key, shown)
     tables = {"points": points.sample(fraction) if fraction else points}
     if trendline == "ols":
         tables["trendline"] = S.ols(df, x, y, color)
@@ -179,8 +234,16 @@ def marginal(
     color: str | None = None,
     nbins: int = 20,
     fraction: float | None = None,
+    most: int | None = None,
+    key=None,
 ) -> DataFrame:
-    """Marginal of a column: ``rug``, ``histogram``, ``box`` or ``violin``."""
+    """Marginal of a column: ``rug``, ``histogram``, ``box`` or ``violin``.
+
+    ``fraction`` or ``most`` (see ``capped``) bound the ticks of a rug.
+    """
+    if kind == "rug" and most:
+        ticks = capped(df, x, most, color, key)
+        return ticks.select(*[F.col(color).alias("color")] if color else [], F.col(x).alias("value"))
     if kind == "rug":
         by = [F.col(color).alias("color")] if color else []
         ticks = df.where(F.col(x).isNotNull()).select(*by, F.col(x).alias("value"))

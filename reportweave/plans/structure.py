@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -105,6 +106,37 @@ def coverage(structured: DataFrame) -> DataFrame:
     )
 
 
+def unmatched_phrases(structured: DataFrame, answer: str = "q2", top: int = 20, longest: int = 3) -> DataFrame:
+    """``(field, rank, phrase, n)``: what the answers say most often where a field was not found.
+
+    Phrases are one to ``longest`` neighbouring words in lower case, of letters and digits; ``n``
+    answers have the phrase.  Of equal counts, the phrase that is smaller comes first.  Counts
+    are exact: answers are first counted by phrase and by the set of fields they miss, so that
+    an answer is not repeated for its fields.
+    """
+    words = F.filter(F.split(F.lower(answer), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+    def phrases(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size("words") - n + 1)
+        runs = F.transform(starts, lambda i: F.array_join(F.slice("words", i, n), " "))
+        return F.when(F.size("words") >= n, runs).otherwise(F.array().cast("array<string>"))
+
+    tests = missing_fields()
+    fields = F.filter(
+        F.array(*[F.when(test, F.lit(name.removeprefix("no_"))) for name, test in tests.items()]), lambda f: f.isNotNull()
+    )
+    missed = structured.select(fields.alias("fields"), words.alias("words")).where("size(fields) > 0 and words is not null")
+    each = F.array_distinct(F.concat(*[phrases(n) for n in range(1, longest + 1)]))
+    counted = missed.select("fields", F.explode(each).alias("phrase")).groupBy("fields", "phrase").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    summed = counted.select(F.explode("fields").alias("field"), "phrase", "n").groupBy("field", "phrase").agg(
+        F.sum("n").alias("n")
+    )
+    rank = F.row_number().over(W.partitionBy("field").orderBy(F.desc("n"), "phrase"))
+    return summed.withColumn("rank", rank).where(F.col("rank") <= top).select("field", "rank", "phrase", "n")
+
+
 def sorted_columns(df: DataFrame) -> DataFrame:
     """Columns in alphabetical order."""
     return df.select(*sorted(df.columns))

@@ -181,3 +181,76 @@ def test_marginals(letters):
     assert C.marginal(letters, "n", "violin").count() == 50
     with pytest.raises(ValueError):
         C.marginal(letters, "n", "spiral")
+
+
+def test_binned_density_is_within_its_bound(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(0, 1, 700), rng.normal(9, 0.3, 300)]).tolist() + [None, float("nan")]
+    df = spark.createDataFrame([(v, "a" if i % 3 else None) for i, v in enumerate(values)], "v double, c string")
+    h, bins = 0.4, 500
+    exact = {(r.color, r.point): r.density for r in S.density(df, "v", "c", bandwidth=h).collect()}
+    binned = S.density(df, "v", "c", bandwidth=h, bins=bins).collect()
+    width = (max(values[:-2]) - min(values[:-2])) / (bins - 1)
+    bound = ((width / h) ** 2 / 8 + np.exp(-S.CUT**2 / 2)) / (h * np.sqrt(2 * np.pi))
+    assert len(binned) == len(exact) == 100
+    assert max(abs(r.density - exact[r.color, r.point]) for r in binned) <= bound
+
+
+def test_binned_density_of_one_value_and_of_none(spark):
+    same = spark.createDataFrame([(4.0,)] * 3, "v double")
+    got = [r.density for r in S.density(same, "v", points=3, bandwidth=2.0, bins=10).collect()]
+    assert got == pytest.approx([1 / (2 * np.sqrt(2 * np.pi))] * 3)
+    assert rows(S.density(same.where("v > 5"), "v", points=3, bandwidth=2.0, bins=10).where("density is not null")) == []
+    with pytest.raises(ValueError):
+        S.density(same, "v", bins=1)
+
+
+def test_robust_line_ignores_outliers(spark):
+    points = [(float(i), 2.0 * i + (i % 5) * 0.1, "a") for i in range(60)] + [(i + 0.5, 900.0, "a") for i in range(0, 60, 12)]
+    # A line without any residual, a single place, and no colour.
+    points += [(float(i), 3.0 * i, None) for i in range(10)] + [(5.0, 1.0, "one"), (5.0, 2.0, "one"), (None, 1.0, "a")]
+    df = spark.createDataFrame(points, "x double, y double, c string")
+    plain = {(r.color, r.point): r for r in S.lowess(df, "x", "y", "c", points=6, bandwidth=15.0).collect()}
+    robust = {(r.color, r.point): r for r in S.lowess(df, "x", "y", "c", points=6, bandwidth=15.0, rounds=3).collect()}
+    assert set(plain) == set(robust)
+    assert all(abs(robust["a", i].fit - 2 * robust["a", i].x) < 1 for i in range(6))
+    assert max(abs(plain["a", i].fit - 2 * plain["a", i].x) for i in range(6)) > 20
+    assert all(robust[None, i].fit == pytest.approx(3 * robust[None, i].x) for i in range(6))
+    assert robust["one", 0].fit == pytest.approx(1.5)
+
+
+def test_capped_points_keep_every_region(spark):
+    crowd = [(float(i % 10), float(i % 7), "red", i) for i in range(900)]
+    lone = [(1000.0, 1000.0, "red", 2000), (0.0, 1000.0, "blue", 2001), (500.0, 3.0, None, 2002)]
+    none = [(None, 1.0, "red", 3000), (1.0, float("nan"), "red", 3001)]
+    df = spark.createDataFrame(crowd + lone + none, "turn double, digest double, color string, row int")
+    kept = C.capped(df, ["turn", "digest"], 30, "color", "row", ["row"])
+    assert kept.columns == ["turn", "digest", "color", "row"]
+    got = {r.row for r in kept.collect()}
+    assert len(got) == 30 and {2000, 2001, 2002} <= got and not got & {3000, 3001}
+    assert {r.row for r in C.capped(df.repartition(7), ["turn", "digest"], 30, "color", "row", ["row"]).collect()} == got
+    assert C.capped(df, ["turn"], 5000).count() == 903 + 1
+    assert C.capped(df, ["turn", "digest"], 2, "color", "row").count() == 2
+    assert C.capped(df.where("row < 0"), ["turn"], 5, "color").count() == 0
+    assert C.scatter(df, "turn", "digest", most=10, key="row")["points"].count() == 10
+    assert C.marginal(df, "turn", "rug", most=10, key="row").columns == ["value"]
+    for wrong in (dict(axes=["color"], most=3), dict(axes=["turn"], most=0), dict(axes=["turn"] * 3, most=3)):
+        with pytest.raises(ValueError):
+            C.capped(df, **wrong)
+
+
+def test_unmatched_phrases(spark):
+    from reportweave.plans.structure import unmatched_phrases
+
+    found = ("Unknown", "Unknown", "Unknown", None, "")
+    answers = [("a big van", *found), ("A big, big VAN", "Waymo", "x", "2020", None, "car"), (None, *found), ("", *found),
+               ("all found", "Waymo", "x", "2020", "Car", "car")]
+    df = spark.createDataFrame(
+        answers, "q2 string, q2_av_brand string, q2_av_model string, q2_av_year string,"
+        " q2_other_road_user string, q2_other_vehicle string",
+    )
+    got = [tuple(r) for r in unmatched_phrases(df, top=3, longest=2).collect()]
+    assert sorted(r for r in got if r[0] == "road_user") == [
+        ("road_user", 1, "a", 2), ("road_user", 2, "a big", 2), ("road_user", 3, "big", 2)]
+    assert sorted(r[1:] for r in got if r[0] == "brand") == [(1, "a", 1), (2, "a big", 1), (3, "big", 1)]
+    assert {r[0] for r in got} == {"brand", "model", "year", "road_user", "vehicle"}
