@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reportweave.llm.common import stored, whole_text, with_few
-from reportweave.llm.votes import hex_of, simhash_votes, terms, weight_of, within_radius, words
+from reportweave.llm.votes import hex_of, simhash_votes, terms, within_radius, words
 
 RADIUS = 3
 # Ids that share a task when texts meet their successors: no more texts than that in one window.
@@ -20,9 +20,9 @@ BLOCK = 256
 
 def fingerprint(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys`` and ``fp``, one row per distinct keys, from whole texts."""
-    each = rows.select(*keys, F.col(text), F.explode(terms(words(F.col(text)))).alias("t"))
+    each = rows.select(*keys, F.explode(terms(words(F.col(text)))).alias("t"))
     length = F.length("t.0") + F.coalesce(F.length("t.1"), F.lit(0))
-    return simhash_votes(each, keys, F.xxhash64("t.0", "t.1"), weight_of(length, F.col(text), 64))
+    return simhash_votes(each, keys, F.xxhash64("t.0", "t.1"), F.least(length, F.lit(64)))
 
 
 def next_in_order(values: DataFrame, column: str) -> DataFrame:

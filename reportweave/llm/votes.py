@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 BITS = 64
 # Two counters in one number, 32 bits apart.
 _PAIR = (1 << 32) | 1
-# Weights of a key have to stay below this in sum, so that its counters never meet.
-MOST_WEIGHT = 1 << 29
-# Bytes of a text from which every term weighs 1, as there might be too many; below, weights go up to 64.
-HUGE_TEXT = 1 << 24
+# Weights of a key have to stay below this in sum, so that its counters never meet.  Texts reach it at half a
+# gigabyte, when their terms no longer fit into a row of Spark, and single lines at 149 MB.
+MOST_WEIGHT = 1 << 30
 
 
 def words(text: Column) -> Column:
@@ -45,7 +44,7 @@ def simhash_votes(rows: DataFrame, keys: list[str], term: Column, weight: Column
         F.sum("_w").alias("_all"), *[F.sum(pair(k)).alias(f"_s{k}") for k in range(BITS // 2)]
     )
     # Twice a counter, less all, is above 0 where a bit wins: it then reaches bit 30 of its half.
-    short = (F.lit((MOST_WEIGHT * 2 - 1) * _PAIR) - F.col("_all") * _PAIR).alias("_short")
+    short = (F.lit((MOST_WEIGHT - 1) * _PAIR) - F.col("_all") * _PAIR).alias("_short")
     counted = summed.select("*", short)
 
     def won(k: int) -> Column:
@@ -55,11 +54,6 @@ def simhash_votes(rows: DataFrame, keys: list[str], term: Column, weight: Column
     return counted.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), map(won, range(BITS // 2))).alias("fp"))
 
 
-def weight_of(n: Column, text: Column, most: int) -> Column:
-    """``n`` up to ``most``, and up to 1 in huge texts."""
-    return F.least(n, F.when(F.octet_length(text) < HUGE_TEXT, most).otherwise(1))
-
-
 def block_keys(fp: Column, radius: int) -> Column:
     """Keys of the permuted block tables: an array of numbers, each for a table and its blocks.
 
