@@ -18,6 +18,7 @@ from ..plans.structure import structure
 from ..sources.readers import REPORT_FILE_SCHEMA, RESPONSES_SCHEMA
 
 BATCH = "batch"
+STATE_PARTS = "spark.sql.shuffle.partitions"
 
 
 def _batch_writer(sink: str, step: Callable[[DataFrame], DataFrame] | None) -> Callable:
@@ -69,9 +70,9 @@ def stream_reports(
 
 
 def read_response_stream(spark: SparkSession, path: str, every: int = 20) -> DataFrame:
-    """Parquet answers as a stream, ``every`` files per batch."""
+    """Parquet answers as a stream, ``every`` files per batch, dealt over all cores however few the files."""
     reader = spark.readStream.schema(RESPONSES_SCHEMA).option("maxFilesPerTrigger", every)
-    return reader.parquet(path)
+    return reader.parquet(path).repartition(spark.sparkContext.defaultParallelism)
 
 
 def stream_structured(responses: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
@@ -87,15 +88,25 @@ def stream_structured(responses: DataFrame, sink: str, checkpoint: str) -> Strea
 
 
 def stream_counts(rows: DataFrame, column: str, sink: str, checkpoint: str) -> StreamingQuery:
-    """Running counts of a category; each batch writes the complete table of counts."""
+    """Running counts of a category; each batch writes the complete table of counts.
+
+    The state has a part per core at most: each part is committed in each batch, and counts are few rows.
+    """
     counts = rows.groupBy(F.col(column).alias("value")).agg(F.count(column).alias("n")).where("n > 0")
-    return (
+    writer = (
         counts.writeStream.outputMode("complete")
         .foreachBatch(_batch_writer(sink, None))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start()
     )
+    # A query keeps the setting that it was first started with.
+    spark = rows.sparkSession
+    parts = spark.conf.get(STATE_PARTS)
+    spark.conf.set(STATE_PARTS, str(min(int(parts), spark.sparkContext.defaultParallelism)))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(STATE_PARTS, parts)
 
 
 def latest_counts(spark: SparkSession, sink: str) -> DataFrame:

@@ -29,6 +29,38 @@ def orders_dir(spark, tmp_path):
     return str(tmp_path)
 
 
+def test_counts_keep_state_in_few_parts(spark, tmp_path):
+    before = spark.conf.get(intake.STATE_PARTS)
+    spark.conf.set(intake.STATE_PARTS, "37")
+    try:
+        spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "x")], "report string, response string").write.parquet(str(tmp_path / "in"))
+        rows = intake.read_response_stream(spark, str(tmp_path / "in"))
+        intake.stream_counts(rows, "response", str(tmp_path / "sink"), str(tmp_path / "progress")).awaitTermination()
+        assert spark.conf.get(intake.STATE_PARTS) == "37"
+    finally:
+        spark.conf.set(intake.STATE_PARTS, before)
+    parts = [p for p in (tmp_path / "progress" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert 0 < len(parts) <= spark.sparkContext.defaultParallelism
+    assert {tuple(r) for r in latest_counts(spark, str(tmp_path / "sink")).collect()} == {("x", 2), ("y", 1)}
+
+
+def test_answers_of_one_file_are_dealt_to_all_cores(spark, tmp_path):
+    spark.range(0, 400, 1, 1).selectExpr("cast(id as string) as report", "'Q1. No.' as response").write.parquet(str(tmp_path / "in"))
+    intake.stream_structured(
+        intake.read_response_stream(spark, str(tmp_path / "in")), str(tmp_path / "sink"), str(tmp_path / "progress")).awaitTermination()
+    assert len(list((tmp_path / "sink").glob("*.parquet"))) == spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(str(tmp_path / "sink")).count() == 400
+
+
+def test_answer_files_stay_few(spark, orders_dir, monkeypatch):
+    monkeypatch.setattr(catalog, "ANSWER_FILES", 2)
+    rows = spark.range(0, 30000).selectExpr("id as o_orderkey", "id as o_custkey", "'O' as o_orderstatus", "'1' as o_orderpriority")
+    rows.write.parquet(f"{orders_dir}/more/orders.parquet")
+    path = catalog._answer_files(spark, f"{orders_dir}/more", f"{orders_dir}/answers")
+    answers = spark.read.parquet(path)
+    assert answers.count() == 30000 and len(answers.inputFiles()) <= 4
+
+
 def test_report_files_are_bounded(spark, orders_dir):
     path = catalog._report_files(spark, orders_dir, 10)
     held = spark.read.format("binaryFile").load(f"{path}/part=*").select(
