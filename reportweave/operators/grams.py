@@ -19,6 +19,14 @@ from ..functions.text import let
 GRAMS, FREQUENT = (3, 8), 1000
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """Rows that no join sends through the driver.
+
+    Spark judges a table by the bytes of its files; unpacked texts, and what is cut out of them, are far larger.
+    """
+    return rows.hint("merge")
+
+
 def characters(text: Column) -> Column:
     """Code points as an array, so that a place is found in one step."""
     return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
@@ -47,7 +55,7 @@ def _filed(needles: DataFrame, places: DataFrame, q: int) -> DataFrame:
     """
     occurs = places.groupBy(F.col("gram").alias("of_gram")).agg(F.count(F.lit(1)).alias("n"))
     own = _places(needles, F.col("key"), F.col("needle"), q)
-    met = own.join(occurs, F.col("gram") == F.col("of_gram"), "left")
+    met = own.join(shuffled(occurs), F.col("gram") == F.col("of_gram"), "left")
     # The largest place is the number of grams less one; a gram that is nowhere has no count.
     rarest = met.groupBy("key").agg(
         F.min(F.struct("n", "gram", "place")).alias("r"), F.bool_or(F.col("n").isNull()).alias("nowhere"))
@@ -69,18 +77,18 @@ def pieces_like(
     meetings = None
     for level, q in enumerate(grams):
         places = _places(rows, of_text, F.col(column), q)
-        filed = left.join(_filed(left, places, q), F.col("key") == F.col("of_key"))
+        filed = shuffled(left).join(_filed(left, places, q), F.col("key") == F.col("of_key"))
         longer = grams[level + 1] if level + 1 < len(grams) else None
         stays = F.lit(True) if longer is None else (F.col("n") < frequent) | (F.length("needle") < longer)
         shapes = filed.where(stays).select(
             F.col("gram").alias("of_gram"), "offset", F.length("needle").alias("size")).distinct()
-        met = places.join(shapes, F.col("gram") == F.col("of_gram")).select(
+        met = shuffled(places).join(shapes, F.col("gram") == F.col("of_gram")).select(
             F.col("key").alias("of_text"), (F.col("place") - F.col("offset")).alias("start"), "size").where("start >= 0")
         meetings = met if meetings is None else meetings.union(met)
         left = filed.where(~stays).select("key", "needle")
     # Two texts of the same hash only try each other's places.
     wanted = meetings.groupBy("of_text").agg(F.collect_set(F.struct("start", "size")).alias("places"))
-    found = rows.withColumn("_text", of_text).join(wanted, F.col("_text") == F.col("of_text"))
+    found = shuffled(rows.withColumn("_text", of_text)).join(wanted, F.col("_text") == F.col("of_text"))
 
     def cut(chars: Column) -> Column:
         fitting = F.filter("places", lambda p: p["start"] + p["size"] <= F.size(chars))

@@ -5,8 +5,7 @@ A dictionary of up to :data:`INLINE_LIMIT` entries, passed as Python values, bec
 matched through an index of rare grams (:mod:`.grams`), with the same results: the containing
 side is cut into those pieces that may be equal to a text on the other side, and both sides meet in an
 equi-join.  The cut side grows with its own text only, whatever the number of
-entries, a match carries one row, and Spark broadcasts the other side only when
-its size allows.
+entries, a match carries one row, and no side with texts is broadcast.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import first_match
-from .grams import GRAMS, pieces_like
+from .grams import GRAMS, pieces_like, shuffled
 
 INLINE_LIMIT = 200
 SALTS = 16
@@ -61,7 +60,7 @@ def _unfold(df: DataFrame, column: str, other: DataFrame, other_column: str, kee
     # The outer form keeps the optimizer from computing the list once more as a filter
     # on its size; its null rows meet nothing in the join.
     brief = parts.select(*keep, F.explode_outer("_parts").alias(name))
-    return brief.union(pieces_like(df, column, texts, "_needle", keep, name))
+    return shuffled(brief.union(pieces_like(df, column, texts, "_needle", keep, name)))
 
 
 def lookup(
@@ -112,7 +111,7 @@ def _first_entries(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     # Text inside a value: the first entry of each piece is found beforehand.
     parts = _unfold(values, "val", texts, "s", ["ord"], "s")
-    in_value = texts.join(parts.groupBy("s").agg(first), "s").select("digest", "ord")
+    in_value = shuffled(texts).join(parts.groupBy("s").agg(first), "s").select("digest", "ord")
 
     # Value inside a text.
     in_text = _unfold(texts, "s", values, "val", ["digest"], "val").join(values, "val").select("digest", "ord")
@@ -125,7 +124,7 @@ def _first_entries(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     always = F.least(F.when(F.col("s") == "", F.col("any")), F.when(F.col("s").isNotNull(), F.col("blank")))
     found = in_value.unionByName(in_text).unionByName(anyway.select("digest", always.alias("ord")))
     keys = usable.select("ord", "key").distinct()
-    return found.groupBy("digest").agg(first).join(keys, "ord").select(F.col("digest").alias("s"), "key")
+    return found.groupBy("digest").agg(first).join(shuffled(keys), "ord").select(F.col("digest").alias("s"), "key")
 
 
 def _attach(df: DataFrame, text: str, results: DataFrame, target: str) -> DataFrame:
@@ -141,7 +140,7 @@ def _attach(df: DataFrame, text: str, results: DataFrame, target: str) -> DataFr
         F.col("s").alias("_s"), F.col("key").alias("_key"), salts.alias("_other_salt")
     )
     joined = salted.join(
-        repeated, (F.col(text) == F.col("_s")) & (F.col("_salt") == F.col("_other_salt")), "left"
+        shuffled(repeated), (F.col(text) == F.col("_s")) & (F.col("_salt") == F.col("_other_salt")), "left"
     )
     # A column of the same name is replaced where it is.
     columns = df.columns if target in df.columns else [*df.columns, target]

@@ -80,3 +80,11 @@ def test_responses_of_one_file_are_dealt_to_all_cores(spark):
     one = spark.createDataFrame([(bytearray(catalog.END.join(map(str, range(400))).encode() + b"\f"),)], "content binary").coalesce(1)
     dealt = sizes(catalog._file_responses(one))
     assert sum(dealt) == 400 and len(dealt) == spark.sparkContext.defaultParallelism
+
+
+def test_no_text_is_broadcast_by_lookups(spark):
+    texts = spark.createDataFrame([(1, "one red car"), (2, "blue"), (3, None)], "id int, text string")
+    rules = spark.createDataFrame([(1, "warm", "red"), (2, "cold", "blue")], "priority int, category string, keyword string")
+    found = lookup.keyword_lookup(texts, "text", rules)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.category) for r in found.collect()} == {(1, "warm"), (2, "cold"), (3, "unknown")}
