@@ -147,6 +147,20 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     )
 
 
+def without_near_fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """One document of each component of :func:`near_duplicates`, that of the smallest doc_id, with all its columns.
+
+    Rows without an id are documents of their own, after those with one; rows that repeat an id are one document.
+    """
+
+    def first_of_components(named: DataFrame) -> DataFrame:
+        linked = near_duplicates(named, words)
+        gone = stored(linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct())
+        return with_few(named, gone, named["doc_id"] == gone["_gone_id"], "left_anti")
+
+    return with_own_ids(docs, first_of_components)
+
+
 # Near-duplicate texts: word shingles, and the Jaccard similarity of their sets that links two texts.
 SHINGLE, SIMILARITY = 5, 0.8
 # Texts whose shingles are counted, the fewest of them that make a shingle common, and how many common ones

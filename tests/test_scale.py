@@ -88,3 +88,13 @@ def test_no_text_is_broadcast_by_lookups(spark):
     found = lookup.keyword_lookup(texts, "text", rules)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.id, r.category) for r in found.collect()} == {(1, "warm"), (2, "cold"), (3, "unknown")}
+
+
+def test_pipeline_drops_near_fingerprints(spark, tmp_path):
+    # The repeated words decide the fingerprint, the sets of shingles have next to nothing in common.
+    texts = ["x y z " * 200 + " ".join(f"{w}{i}" for i in range(100)) for w in ("one", "two")]
+    docs = spark.createDataFrame(
+        [(1, texts[0]), (2, texts[1]), (3, "quite another text of some words"), (None, texts[0])], "doc_id long, text string")
+    assert {r.doc_id for r in near_dedup.without_near_duplicates(docs).collect()} == {1, 2, 3}
+    assert {r.doc_id for r in near_dedup.without_near_fingerprints(docs).collect()} == {1, 3}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()} == {1, 3}
