@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Records of one CSV file.  Records span lines, so that plain readers give a file to one task.
+CSV_RECORDS = 50_000
+
+
 def nested_as_json(df: DataFrame) -> DataFrame:
     """Struct, array and map columns as JSON text, the others unchanged."""
     nested = [f.name for f in df.schema if f.dataType.typeName() in ("struct", "array", "map")]
@@ -15,7 +19,10 @@ def nested_as_json(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with header, nested columns as JSON; null and ``''`` read back alike."""
+    """CSV with header, nested columns as JSON; null and ``''`` read back alike.
+
+    A file holds CSV_RECORDS records at most, whatever a task writes.
+    """
     (
         nested_as_json(df).write.mode(mode)
         .option("header", True)
@@ -23,6 +30,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
+        .option("maxRecordsPerFile", CSV_RECORDS)
         .csv(path)
     )
 

@@ -82,6 +82,14 @@ def test_responses_of_one_file_are_dealt_to_all_cores(spark):
     assert sum(dealt) == 400 and len(dealt) == spark.sparkContext.defaultParallelism
 
 
+def test_csv_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "CSV_RECORDS", 10)
+    rows = spark.range(0, 95, 1, 1).selectExpr("cast(id as string) as report", "concat('a', chr(10), id) as response")
+    write_structured(rows, str(tmp_path / "csv"), format="csv")
+    assert len(list((tmp_path / "csv").glob("*.csv"))) == 10
+    assert {tuple(r) for r in read_responses(spark, str(tmp_path / "csv")).collect()} == {(str(i), f"a\n{i}") for i in range(95)}
+
+
 def test_no_text_is_broadcast_by_lookups(spark):
     texts = spark.createDataFrame([(1, "one red car"), (2, "blue"), (3, None)], "id int, text string")
     rules = spark.createDataFrame([(1, "warm", "red"), (2, "cold", "blue")], "priority int, category string, keyword string")
