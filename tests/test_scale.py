@@ -98,6 +98,15 @@ def test_no_text_is_broadcast_by_lookups(spark):
     assert {(r.id, r.category) for r in found.collect()} == {(1, "warm"), (2, "cold"), (3, "unknown")}
 
 
+def test_slugs_of_every_character(spark):
+    texts = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(i, "|".join(texts[i : i + 64])) for i in range(0, len(texts), 64)], "i int, text string")
+    expected = {i: unicodedata.normalize("NFKD", "|".join(texts[i : i + 64])).encode("ascii", "ignore").decode() for i in range(0, len(texts), 64)}
+    assert {r.i: r.form for r in rows.select("i", T._ascii_form(F.col("text")).alias("form")).collect()} == expected
+    plan = rows.select(T.slugify(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan
+
+
 def test_pipeline_drops_near_fingerprints(spark, tmp_path):
     # The repeated words decide the fingerprint, the sets of shingles have next to nothing in common.
     texts = ["x y z " * 200 + " ".join(f"{w}{i}" for i in range(100)) for w in ("one", "two")]
