@@ -77,8 +77,8 @@ def csv_records(spark: SparkSession, path: str, header: bool = True) -> DataFram
     splits = lines.groupBy("file", "block").agg(F.sum(quotes).alias("n"))
     before = F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
     opens = splits.select("file", "block", (F.coalesce(before, F.lit(0)) % 2 == 1).alias("opens"))
-    # One row per split, so Spark sends them to the lines while they are few.
-    known = lines.join(opens, ["file", "block"]).sortWithinPartitions("file", "block", "seq")
+    # One row per split goes to the lines, which stay where they are read.
+    known = lines.join(F.broadcast(opens), ["file", "block"]).sortWithinPartitions("file", "block", "seq")
     pieces = known.select("file", "block", "opens", "value").mapInArrow(lambda batches: _cut(batches, header), _PIECES)
 
     whole = pieces.where("kind = 'record'").select("text")

@@ -90,6 +90,19 @@ def test_csv_files_are_bounded(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in read_responses(spark, str(tmp_path / "csv")).collect()} == {(str(i), f"a\n{i}") for i in range(95)}
 
 
+def test_csv_lines_are_not_exchanged(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('report,response\n"1","x\ny"\n')
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = csv_records.csv_records(spark, str(tmp_path))
+        plan = records._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert [r.record for r in records.collect()] == ['"1","x\ny"']
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_no_text_is_broadcast_by_lookups(spark):
     texts = spark.createDataFrame([(1, "one red car"), (2, "blue"), (3, None)], "id int, text string")
     rules = spark.createDataFrame([(1, "warm", "red"), (2, "cold", "blue")], "priority int, category string, keyword string")
