@@ -48,11 +48,16 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Distribute a small table over the cores before costly expressions.
+# Rows of one task before costly expressions.
+ROWS_PER_TASK = 50_000
 
-    A table of fewer splits than cores would be parsed by a few tasks; a large one
-    has plenty of splits and is left as it is, without a shuffle.
+
+def spread(df: DataFrame, rows: int = ROWS_PER_TASK) -> DataFrame:
+    """Deal a table out to tasks of ``rows`` rows at most before costly expressions.
+
+    Splits are made by bytes and row groups, so a table that packs well would be computed by few long tasks.
+    The count comes from the footers of Parquet files.  Rows are dealt in turn, so that keys that repeat or are null
+    make no task larger.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(tasks)

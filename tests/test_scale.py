@@ -29,6 +29,12 @@ def orders_dir(spark, tmp_path):
     return str(tmp_path)
 
 
+def test_spread_by_rows(spark):
+    one_split = spark.range(0, 2000, 1, 1).select((F.col("id") * 0).alias("key"), "id")
+    dealt = sizes(spread(one_split, 100))
+    assert sum(dealt) == 2000 and len(dealt) == 20 and max(dealt) <= 110
+
+
 def test_counts_keep_state_in_few_parts(spark, tmp_path):
     before = spark.conf.get(intake.STATE_PARTS)
     spark.conf.set(intake.STATE_PARTS, "37")
