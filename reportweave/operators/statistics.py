@@ -74,8 +74,8 @@ def _counted(rows: DataFrame, by: list[str]) -> DataFrame:
 def quantiles(counted: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
     """``(*by, q)``: the values of rank ``ceil(share * rows)`` of every group, exact at any size.
 
-    ``counted`` has ``(*by, v, n)``.  Values are counted by ranges first; only those of the
-    ranges that hold a rank are then put in order.  Ranges are even on a scale of signed
+    ``counted`` has ``(*by, v, n)``, a value in one row or in several.  Values are counted by ranges first; only
+    those of the ranges that hold a rank are then counted one by one and put in order.  Ranges are even on a scale of signed
     logarithms, which keeps the order and is not spoilt by a few huge values.
     """
     placed = counted.withColumn("g", F.signum("v") * F.log1p(F.abs("v")))
@@ -97,7 +97,9 @@ def quantiles(counted: DataFrame, by: list[str], shares: list[float]) -> DataFra
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     within = W.partitionBy(*by, "k").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    ordered = placed.join(wanted, same).withColumn("upto", F.col("before") + F.sum("n").over(within))
+    # One row per group and rank, so the values stay where they are.
+    held = placed.join(F.broadcast(wanted), same).groupBy(*by, "k", "before", "rank", "v").agg(F.sum("n").alias("n"))
+    ordered = held.withColumn("upto", F.col("before") + F.sum("n").over(within))
     found = ordered.where((F.col("upto") - F.col("n") < F.col("rank")) & (F.col("rank") <= F.col("upto")))
     values = F.array_sort(F.collect_list(F.struct("k", "v")))
     return found.groupBy(*by).agg(F.transform(values, lambda e: e["v"]).alias("q"))
@@ -109,7 +111,8 @@ def _with_quantiles(rows: DataFrame, by: list[str], table: DataFrame) -> DataFra
         return rows.withColumn("q", table.select("q").scalar())
     renamed = table.select(*[F.col(c).alias(f"_{c}") for c in by], "q")
     same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
-    return rows.join(renamed, same).drop(*[f"_{c}" for c in by])
+    # A row per colour goes to the rows, which stay where they are read.
+    return rows.join(F.broadcast(renamed), same).drop(*[f"_{c}" for c in by])
 
 
 def box(df: DataFrame, x: str, color: str | None = None) -> DataFrame:
@@ -280,9 +283,10 @@ def lowess(
         ).withColumn("left", F.greatest(F.lit(0), F.least(F.floor("at"), F.lit(points - 2))).cast("int"))
         fit = F.expr("get(line, left) + (at - left) * coalesce(get(line, left + 1) - get(line, left), 0D)")
         off = off.withColumn("off", F.abs(F.col("y") - fit)).drop("line", "at", "left")
-        known = off.where("off is not null").select(*by, F.col("off").alias("v"))
+        # Residuals hardly repeat: counting them all would hold a row for each.
+        known = off.where("off is not null").select(*by, F.col("off").alias("v"), F.lit(1).cast("long").alias("n"))
         # Colours without any residual are kept with a null median.
-        medians = quantiles(_counted(known, by), by, [0.5]).unionByName(
+        medians = quantiles(known, by, [0.5]).unionByName(
             lines.select(*by, F.lit(None).cast("array<double>").alias("q"))
         )
         medians = _written(medians.groupBy(*by).agg(F.max("q").alias("q")))

@@ -117,6 +117,18 @@ def test_no_text_is_broadcast_by_lookups(spark):
     assert {(r.id, r.category) for r in found.collect()} == {(1, "warm"), (2, "cold"), (3, "unknown")}
 
 
+def test_quantiles_of_values_in_several_rows(spark):
+    rows = spark.createDataFrame([(v, 1) for v in [5.0, 1.0, 5.0, 5.0, 2.0, 9.0, 5.0]], "v double, n long")
+    assert statistics.quantiles(rows, [], [0.25, 0.5, 1.0]).first().q == [2.0, 5.0, 9.0]
+
+
+def test_residuals_are_not_counted_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "_counted", None)
+    rows = spark.range(200).selectExpr("cast(id as double) as x", "id * 2.0D as y")
+    fits = statistics.lowess(rows, "x", "y", points=5, bandwidth=40, rounds=2).collect()
+    assert len(fits) == 5 and all(abs(r.fit - 2 * r.x) < 1e-6 for r in fits)
+
+
 def test_slugs_of_every_character(spark):
     texts = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     rows = spark.createDataFrame([(i, "|".join(texts[i : i + 64])) for i in range(0, len(texts), 64)], "i int, text string")
