@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from reportweave.llm.common import FIRST_OWN_ID, stored, with_own_ids
 from reportweave.llm.components import linked_through_keys
-from reportweave.llm.shingle_sets import lists, mixed_with, prefixes_of_crowd, shingle_set, similar_pairs, slices
+from reportweave.llm.shingle_sets import (
+    lists, mixed_with, prefixes_of_crowd, set_sketch, shingle_set, similar_pairs, sketches_near, slices,
+)
 
 SHINGLE, SHARE = 3, 85
 # 32 bands of four values: a pair at similarity 0.85 shares no band with probability 5e-11.
@@ -53,24 +55,26 @@ def band_keys(low: np.ndarray, high: np.ndarray, rows: int = ROWS) -> np.ndarray
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, n_shingles, digest, keys)``: size and digest of the set, and its band keys, none for an empty set."""
+    """``(doc_id, n_shingles, digest, keys, sketch)``: size, digest and sketch of the set, and its band keys, none for an empty set."""
     import xxhash
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, offsets = permutations(PERMUTATIONS)
         nothing = np.empty(0, dtype=np.uint64)
         for rows in slices(batches, 1024):
-            sizes, digests, keys = [], [], []
+            sizes, digests, keys, sketches = [], [], [], []
             for text in rows["text"]:
                 found = shingle_set(text, words)
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                sketches.append(set_sketch(found))
                 keys.append(band_keys(*min_max(found, factors, offsets)) if len(found) else nothing)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["doc_id"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists(keys)],
-                ["doc_id", "n_shingles", "digest", "keys"])
+                [pa.array(rows["doc_id"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists(keys), lists(sketches)],
+                ["doc_id", "n_shingles", "digest", "keys", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(of_task, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    columns = "doc_id long, n_shingles long, digest binary, keys array<long>, sketch array<long>"
+    return docs.select("doc_id", "text").mapInArrow(of_task, columns)
 
 
 def shingle_components(docs: DataFrame, words: int = SHINGLE, share: int = SHARE) -> DataFrame:
@@ -94,7 +98,7 @@ def _components(docs: DataFrame, words: int, share: int) -> DataFrame:
     filled = marked.where("n_shingles > 0")
     classes = stored(filled.groupBy("digest").agg(
         F.first("digest").alias("node"), F.min("doc_id").alias("first_id"), F.min(real_id).alias("real_id"), F.first("n_shingles").alias("n"),
-        F.first("keys").alias("keys")))
+        F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
 
     def sizes_allow(a: Column, b: Column) -> Column:
         """No intersection is larger than the smaller set, no union smaller than the larger one."""
@@ -102,7 +106,8 @@ def _components(docs: DataFrame, words: int, share: int) -> DataFrame:
 
     members = classes.select(F.explode("keys").alias("key"), "node", F.col("n").alias("mark"))
     similar, crowd = similar_pairs(docs, classes, words, share), prefixes_of_crowd(docs, classes, words, share)
-    roots = linked_through_keys(members, sizes_allow, similar, crowd)
+    sketches = classes.select("node", F.array_append("sketch", F.col("n")).alias("sketch"))
+    roots = linked_through_keys(members, sizes_allow, similar, crowd, sketches=sketches, near=sketches_near(share))
     rooted = stored(classes.join(roots, classes["node"] == roots["node"], "left").select(
         "digest", "real_id", F.coalesce("root", "digest").alias("root")))
     least = rooted.groupBy(F.col("root").alias("of_root")).agg(F.min("real_id").alias("component_id"))

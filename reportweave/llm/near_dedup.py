@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from reportweave.llm.common import stored, with_few, with_own_ids
 from reportweave.llm.components import linked_through_keys
 from reportweave.llm.shingle_sets import (
-    TEXTS_AT_A_TIME, lists, lower_ascii, may_be_similar, prefixes_of_crowd, shingle_set, similar_pairs, slices,
+    TEXTS_AT_A_TIME, lists, lower_ascii, may_be_similar, prefixes_of_crowd, set_sketch, shingle_set, similar_pairs, sketches_near, slices,
 )
 
 RADIUS = 3
@@ -201,7 +201,7 @@ def _common_shingles(texts: DataFrame, n_texts: int, words: int) -> tuple[np.nda
 
 
 def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, share: int) -> DataFrame:
-    """``(doc_id, digest, n, keys)``: digest and size of the set of shingles, and its prefix."""
+    """``(doc_id, digest, n, keys, sketch)``: digest, size and sketch of the set of shingles, and its prefix."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,9 +213,11 @@ def _prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], words: in
             digests = [xxhash.xxh3_128_digest(found.tobytes() or (text or "").encode()) for found, text in zip(sets, rows["text"], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows["doc_id"], pa.int64()), pa.array(digests, pa.binary()), pa.array([len(found) for found in sets], pa.int64()),
-                 lists([prefix(found, shared.value, share) for found in sets])], ["doc_id", "digest", "n", "keys"])
+                 lists([prefix(found, shared.value, share) for found in sets]), lists([set_sketch(found) for found in sets])],
+                ["doc_id", "digest", "n", "keys", "sketch"])
 
-    return texts.select("doc_id", "text").mapInArrow(of_task, "doc_id long, digest binary, n long, keys array<long>")
+    columns = "doc_id long, digest binary, n long, keys array<long>, sketch array<long>"
+    return texts.select("doc_id", "text").mapInArrow(of_task, columns)
 
 
 def text_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -231,11 +233,13 @@ def text_groups(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMIL
     known = docs.where("doc_id is not null").select("doc_id", "text")
     marked = stored(_prefixes(known, _common_shingles(known, known.count(), words), words, share))
     classes = stored(marked.groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+        F.min("doc_id").alias("node"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys"),
+        F.first("sketch").alias("sketch")))
     placed = classes.select("node", "n", F.posexplode("keys").alias("at", "key"))
     members = placed.select("key", "node", (F.shiftleft(F.col("n"), 32) + F.col("at")).alias("mark"))
     similar, crowd = similar_pairs(docs, classes, words, share), prefixes_of_crowd(docs, classes, words, share)
-    roots = linked_through_keys(members, may_be_similar(share), similar, crowd)
+    sketches = classes.select("node", F.array_append("sketch", F.col("n")).alias("sketch"))
+    roots = linked_through_keys(members, may_be_similar(share), similar, crowd, sketches=sketches, near=sketches_near(share))
     # The smallest node of a component is its root, so the root names the group.
     named = classes.join(roots, classes["node"] == roots["node"], "left").select(
         F.col("digest").alias("of_digest"), F.coalesce("root", classes["node"]).alias("group_id")

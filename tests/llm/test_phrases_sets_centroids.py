@@ -206,6 +206,31 @@ def test_crowds_of_similar_texts_lose_no_link(spark):
     assert sorted((tuple(r) for r in min_max.shingle_components(docs).collect()), key=str) == expected
 
 
+def test_crowds_that_are_not_similar_are_not_compared_in_full(spark, monkeypatch):
+    """Texts that share three quarters of their shingles are candidates of each other, but their full sets are not joined."""
+    rng = random.Random(9)
+    words = [f"d{i}" for i in range(150)]
+    rows = [(i, " ".join(w if rng.random() > 0.045 else f"x{rng.random()}" for w in words)) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " end") for i in range(5)]
+    candidates = []
+    similar = min_max.similar_pairs
+
+    def counted(*args):
+        verify = similar(*args)
+
+        def counting(pairs):
+            candidates.append(pairs.count())
+            return verify(pairs)
+
+        return counting
+
+    monkeypatch.setattr(min_max, "similar_pairs", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = brute_components(rows, 3, 85)
+    assert sorted((tuple(r) for r in min_max.shingle_components(docs).collect()), key=str) == expected
+    assert sum(candidates) < 1500  # of 7,750 pairs
+
+
 def test_min_max_of_odd_and_empty_tables(spark, odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     found = sorted((tuple(r) for r in min_max.shingle_components(odd).collect()), key=str)
