@@ -5,9 +5,11 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +114,26 @@ def test_collocations_match_brute_force(spark):
     assert result(collocations.collocations(docs, least=6, top=30)) == expected
 
 
+class TaskOnly:
+    """Keeps the function that a task runs."""
+
+    def mapInArrow(self, function, schema):
+        return function
+
+
+def test_a_chunk_costs_what_it_holds(monkeypatch):
+    """Many languages make many small chunks, each of which adds to tables of millions of counts."""
+    rows = pa.RecordBatch.from_pylist([{"lang": f"l{i}", "text": "a b c d e " * 3} for i in range(60)])
+    of_task = collocations._first_pass(TaskOnly(), 5, 2)
+    began = time.process_time()
+    found = [row for batch in of_task(iter([rows])) for row in batch.to_pylist()]
+    assert time.process_time() - began < 5
+    assert sum(row["number"] for row in found if row["kind"] == 0) == 60 * 15
+    # Counts that are cut in between are those that are cut at the end.
+    monkeypatch.setattr(collocations, "CUT", 20)
+    assert found == [row for batch in of_task(iter([rows])) for row in batch.to_pylist()]
+
+
 def test_collocations_of_many_ranges(spark):
     """Bounds in the middle of the paths, with parts looked up in other ranges."""
     rng = random.Random(4)
