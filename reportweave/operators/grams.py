@@ -48,13 +48,15 @@ def _places(rows: DataFrame, key: Column, text: Column, q: int) -> DataFrame:
     return rows.select(key.alias("key"), F.posexplode(_grams(text, q)).alias("place", "gram"))
 
 
-def _filed(needles: DataFrame, places: DataFrame, q: int) -> DataFrame:
+def _filed(needles: DataFrame, places: DataFrame, q: int, few: bool) -> DataFrame:
     """``(key, gram, offset, n)`` of the needles of q characters or more all of whose grams occur.
 
     ``n`` is how often the gram occurs in the haystacks.
     """
-    occurs = places.groupBy(F.col("gram").alias("of_gram")).agg(F.count(F.lit(1)).alias("n"))
     own = _places(needles, F.col("key"), F.col("needle"), q)
+    if few:
+        places = places.join(F.broadcast(own.select("gram").distinct()), "gram", "left_semi")
+    occurs = places.groupBy(F.col("gram").alias("of_gram")).agg(F.count(F.lit(1)).alias("n"))
     met = own.join(shuffled(occurs), F.col("gram") == F.col("of_gram"), "left")
     # The largest place is the number of grams less one; a gram that is nowhere has no count.
     rarest = met.groupBy("key").agg(
@@ -65,10 +67,11 @@ def _filed(needles: DataFrame, places: DataFrame, q: int) -> DataFrame:
 
 def pieces_like(
     rows: DataFrame, column: str, needles: DataFrame, needle: str, keep: list[str], name: str,
-    grams: tuple[int, ...] = GRAMS, frequent: int = FREQUENT,
+    grams: tuple[int, ...] = GRAMS, frequent: int = FREQUENT, few: bool = False,
 ) -> DataFrame:
     """``(*keep, name)``: pieces of a column, among them each that is equal to a needle of ``grams[0]`` characters or more.
 
+    With ``few`` needles, their grams and shapes go to the haystacks, whose grams then are not shuffled.
     Pieces of a row differ from each other.  Null texts have none.  Characters are code points.
     """
     key = F.unhex(F.md5(F.col(needle)))
@@ -77,22 +80,31 @@ def pieces_like(
     meetings = None
     for level, q in enumerate(grams):
         places = _places(rows, of_text, F.col(column), q)
-        filed = shuffled(left).join(_filed(left, places, q), F.col("key") == F.col("of_key"))
+        filed = shuffled(left).join(_filed(left, places, q, few), F.col("key") == F.col("of_key"))
         longer = grams[level + 1] if level + 1 < len(grams) else None
         stays = F.lit(True) if longer is None else (F.col("n") < frequent) | (F.length("needle") < longer)
         shapes = filed.where(stays).select(
             F.col("gram").alias("of_gram"), "offset", F.length("needle").alias("size")).distinct()
-        met = shuffled(places).join(shapes, F.col("gram") == F.col("of_gram")).select(
+        haystacks, shapes = (places, F.broadcast(shapes)) if few else (shuffled(places), shapes)
+        met = haystacks.join(shapes, F.col("gram") == F.col("of_gram")).select(
             F.col("key").alias("of_text"), (F.col("place") - F.col("offset")).alias("start"), "size").where("start >= 0")
         meetings = met if meetings is None else meetings.union(met)
         left = filed.where(~stays).select("key", "needle")
     # Two texts of the same hash only try each other's places.
-    wanted = meetings.groupBy("of_text").agg(F.collect_set(F.struct("start", "size")).alias("places"))
+    # A place is one number, a quarter of a struct.
+    place = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("size").cast("long"))
+    wanted = meetings.groupBy("of_text").agg(F.collect_set(place).alias("places"))
     found = shuffled(rows.withColumn("_text", of_text)).join(wanted, F.col("_text") == F.col("of_text"))
 
     def cut(chars: Column) -> Column:
-        fitting = F.filter("places", lambda p: p["start"] + p["size"] <= F.size(chars))
-        return F.array_distinct(F.transform(fitting, lambda p: F.array_join(F.slice(chars, p["start"] + 1, p["size"]), "")))
+        def start(p: Column) -> Column:
+            return F.shiftright(p, 32).cast("int")
+
+        def size(p: Column) -> Column:
+            return p.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+        fitting = F.filter("places", lambda p: start(p) + size(p) <= F.size(chars))
+        return F.array_distinct(F.transform(fitting, lambda p: F.array_join(F.slice(chars, start(p) + 1, size(p)), "")))
 
     pieces = let(characters(F.col(column)), cut)
     return found.select(*keep, pieces.alias("_pieces")).select(*keep, F.explode_outer("_pieces").alias(name))

@@ -20,6 +20,10 @@ from .grams import GRAMS, pieces_like, shuffled
 
 INLINE_LIMIT = 200
 SALTS = 16
+# Rows of a text from which they are salted.
+FREQUENT_ROWS = 10_000
+# Keywords, and characters of all of them, up to which they go to the texts (some 20 MB), if there are so many of these.
+FEW_KEYWORDS, FEW_CHARACTERS, MANY_TEXTS = 20_000, 200_000, 10_000
 SUPPLEMENTARY = r"[\x{10000}-\x{10FFFF}]"
 
 
@@ -48,7 +52,7 @@ def substrings(col: Column, lengths: Column) -> Column:
     return F.when(F.rlike(col, F.lit(SUPPLEMENTARY)), whole).otherwise(pieces)
 
 
-def _unfold(df: DataFrame, column: str, other: DataFrame, other_column: str, keep, name: str) -> DataFrame:
+def _unfold(df: DataFrame, column: str, other: DataFrame, other_column: str, keep, name: str, few: bool = False) -> DataFrame:
     """Rows ``(*keep, name)``: pieces of a column, among them each that is equal to a text on the other side."""
     texts = other.select(F.col(other_column).alias("_needle")).where(F.length("_needle") > 0).distinct()
     # Texts too short for a gram have one length or two, and as many pieces as there are places.
@@ -60,7 +64,7 @@ def _unfold(df: DataFrame, column: str, other: DataFrame, other_column: str, kee
     # The outer form keeps the optimizer from computing the list once more as a filter
     # on its size; its null rows meet nothing in the join.
     brief = parts.select(*keep, F.explode_outer("_parts").alias(name))
-    return shuffled(brief.union(pieces_like(df, column, texts, "_needle", keep, name)))
+    return shuffled(brief.union(pieces_like(df, column, texts, "_needle", keep, name, few=few)))
 
 
 def lookup(
@@ -127,17 +131,26 @@ def _first_entries(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     return found.groupBy("digest").agg(first).join(shuffled(keys), "ord").select(F.col("digest").alias("s"), "key")
 
 
-def _attach(df: DataFrame, text: str, results: DataFrame, target: str) -> DataFrame:
+def _attach(df: DataFrame, text: str, results: DataFrame, target: str, counted: bool = False) -> DataFrame:
     """Join results ``(s, key)`` back to all rows, spreading the rows of a frequent text.
 
     A salt taken from the whole row splits one text over several partitions; the
     results, one short row per text, are repeated for each salt.  Rows that are
-    equal throughout share a salt; adaptive execution splits those at run time.
+    equal throughout share a salt; adaptive execution splits those at run time.  If texts are ``counted``, only those of
+    FREQUENT_ROWS rows or more, and null ones, have salts: there are few, and results of the others come once.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    of_row = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
+    salted, last = df.withColumn("_salt", of_row), F.lit(SALTS - 1)
+    if counted:
+        frequent = F.broadcast(df.groupBy(F.col(text).alias("_often")).agg(F.count(F.lit(1)).alias("_n")).where(
+            F.col("_often").isNotNull() & (F.col("_n") >= FREQUENT_ROWS)).select("_often"))
+        spread_out = F.col("_often").isNotNull() | F.col(text).isNull()
+        salted = salted.join(frequent, F.col(text) == F.col("_often"), "left").withColumn(
+            "_salt", F.when(spread_out, F.col("_salt")).otherwise(0)).drop("_often")
+        results = results.join(frequent, F.col("s") == F.col("_often"), "left")
+        last = F.when(F.col("_often").isNotNull(), SALTS - 1).otherwise(0)
     repeated = results.select(
-        F.col("s").alias("_s"), F.col("key").alias("_key"), salts.alias("_other_salt")
+        F.col("s").alias("_s"), F.col("key").alias("_key"), F.explode(F.sequence(F.lit(0), last)).alias("_other_salt")
     )
     joined = salted.join(
         shuffled(repeated), (F.col(text) == F.col("_s")) & (F.col("_salt") == F.col("_other_salt")), "left"
@@ -174,16 +187,19 @@ def keyword_lookup(
     rule = F.min(F.struct("priority", "category")).alias("rule")
     words = rules.where(F.col("keyword").isNotNull()).groupBy("keyword").agg(rule)
     # Texts travel as a digest; only their substrings of keyword length are exchanged.
-    keyed = df.withColumn("_digest", F.sha2(F.lower(F.col(text)), 256))
+    size = words.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("keyword")).alias("characters")).first()
+    # Keywords are many times less than the grams of many texts; then only what meets is exchanged.
+    few = size.n <= FEW_KEYWORDS and (size.characters or 0) <= FEW_CHARACTERS and df.count() >= MANY_TEXTS
+    keyed = df.withColumn("_digest", _digest(F.lower(F.col(text))))
     low = keyed.select("_digest", F.lower(F.col(text)).alias("_low"))
     hits = (
-        _unfold(low, "_low", words, "keyword", ["_digest"], "keyword")
-        .join(words, "keyword")
+        _unfold(low, "_low", words, "keyword", ["_digest"], "keyword", few)
+        .join(F.broadcast(words) if few else words, "keyword")
         .groupBy(F.col("_digest").alias("s"))
         .agg(F.min("rule").alias("rule"))
         .select("s", F.col("rule").alias("key"))
     )
     # An empty keyword is in every text, so it joins in at the end.
     blank = F.when(F.col("_digest").isNotNull(), words.where("keyword = ''").agg(F.min("rule")).scalar())
-    joined = _attach(keyed, "_digest", hits, "_rule").withColumn("_rule", F.least("_rule", blank))
+    joined = _attach(keyed, "_digest", hits, "_rule", counted=few).withColumn("_rule", F.least("_rule", blank))
     return joined.withColumn(target, F.coalesce("_rule.category", F.lit(default))).drop("_digest", "_rule")

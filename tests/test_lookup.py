@@ -145,3 +145,27 @@ def test_edge_cases_are_the_same_in_both_forms(spark, form):
             i: "unknown" if t is None else next(c for _, c, w in rules if w is not None and w in t) for i, t in enumerate(texts)
         }
         assert found(got) == want
+
+
+def test_few_keywords_go_to_many_texts(spark, monkeypatch):
+    """Keywords of all lengths, repeated and null texts: the grams of the texts are not exchanged, and the result is the same."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcé😀") for _ in range(rng.randrange(1, 14))) for _ in range(150)]
+    texts = ["".join(rng.choice([*"abcABCé😀 ", rng.choice(words)]) for _ in range(rng.randrange(60))) for _ in range(200)]
+    rows = [(i, text) for i, text in enumerate([*texts, *[texts[0]] * 40, "", None, None])]
+    rules = [(rng.randrange(50), f"c{rng.randrange(5)}", word) for word in [*words[:120], None]]
+    df = spark.createDataFrame(rows, "id int, text string")
+    table = spark.createDataFrame(rules, "priority int, category string, keyword string")
+
+    def first(text):
+        met = [(p, c) for p, c, w in rules if w is not None and text is not None and w in text.lower()]
+        return min(met)[1] if met else "unknown"
+
+    for few in (False, True):
+        if few:
+            monkeypatch.setattr(L, "MANY_TEXTS", 1)
+            monkeypatch.setattr(L, "FREQUENT_ROWS", 20)
+        found = L.keyword_lookup(df, "text", table)
+        assert {r.id: r.category for r in found.collect()} == {i: first(text) for i, text in rows}
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [gram" in line and "Inner" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
