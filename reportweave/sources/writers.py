@@ -18,10 +18,11 @@ def nested_as_json(df: DataFrame) -> DataFrame:
     }) if nested else df
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", compression: str | None = None) -> None:
     """CSV with header, nested columns as JSON; null and ``''`` read back alike.
 
-    A file holds CSV_RECORDS records at most, whatever a task writes.
+    A file holds CSV_RECORDS records at most, whatever a task writes.  With ``compression`` (such as gzip) files are
+    packed, which readers see by their names; a packed file is read by one task.
     """
     (
         nested_as_json(df).write.mode(mode)
@@ -31,16 +32,19 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .option("maxRecordsPerFile", CSV_RECORDS)
-        .csv(path)
+        .csv(path, compression=compression)
     )
 
 
-def write_structured(df: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite") -> None:
-    """The structured table, typed in Parquet or flattened to text in CSV."""
+def write_structured(
+    df: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite", compression: str | None = None,
+) -> None:
+    """The structured table, typed in Parquet or flattened to text in CSV; ``compression`` is that of the format by default."""
     if format == "csv":
-        write_csv(df, path, mode)
+        write_csv(df, path, mode, compression)
     else:
-        df.write.mode(mode).format(format).save(path)
+        writer = df.write.mode(mode).format(format)
+        (writer.option("compression", compression) if compression else writer).save(path)
 
 
 def append_responses(df: DataFrame, path: str) -> None:

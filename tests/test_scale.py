@@ -96,6 +96,15 @@ def test_csv_files_are_bounded(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in read_responses(spark, str(tmp_path / "csv")).collect()} == {(str(i), f"a\n{i}") for i in range(95)}
 
 
+def test_the_structured_table_is_packed(spark, orders_dir, tmp_path, monkeypatch):
+    """The whole table as CSV is many times as large as the tables that it is made from."""
+    monkeypatch.setattr(catalog, "scratch_folder", lambda spark, purpose: str(tmp_path / purpose))
+    counts = catalog.QUERIES["structured_csv"](spark, orders_dir).collect()
+    files = list((tmp_path / "csv").glob("part-*"))
+    assert sum(r.n for r in counts) == 1200
+    assert files and all(f.name.endswith(".csv.gz") for f in files)
+
+
 def test_csv_lines_are_not_exchanged(spark, tmp_path):
     (tmp_path / "a.csv").write_text('report,response\n"1","x\ny"\n')
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
