@@ -57,3 +57,16 @@ def test_latest_answers_in_any_order(spark, tmp_path):
             stream_latest(stream, sink, progress).awaitTermination()
         found = {r.report: (r.response, r.answered_at) for r in read_latest(spark, sink).collect()}
         assert found == expected
+
+
+def test_latest_answers_are_kept_on_disk(spark, tmp_path):
+    """The state grows with the reports, so it is not in the memory of the executors; the session's own setting stays."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for i, rows in enumerate([[("a", "x", 1), ("b", "x", 2)], [("a", "y", 1), ("b", "z", 1)], [("a", "y", 1)]]):
+        spark.createDataFrame(rows, "report string, response string, answered_at int").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("report string, response string, answered_at int").parquet(str(tmp_path / "in"))
+        stream_latest(stream, str(tmp_path / "sink"), str(tmp_path / "progress")).awaitTermination()
+        assert "RocksDBStateStoreProvider" in (tmp_path / f"progress/offsets/{i}").read_text()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    latest = read_latest(spark, str(tmp_path / "sink"))
+    assert {tuple(r) for r in latest.collect()} == {("a", "y", 1), ("b", "x", 2)}
